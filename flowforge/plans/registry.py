@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "flowforge.plans.q_labelling",
+    "flowforge.plans.q_cleaning",
 ]
 
 
