@@ -177,7 +177,10 @@ def head_percent(df: DataFrame, pct: float, order_cols: Sequence[str],
     splits = sorted(set(float(q) for q in qs))
     splits = [float("-inf")] + splits + [float("inf")]
     keyed = df.withColumn("_x", F.coalesce(F.col(first).cast("double"), F.lit(float("inf"))))
-    bucketed = Bucketizer(splits=splits, inputCol="_x", outputCol="_bk").transform(keyed)
+    if len(splits) < 3:
+        bucketed = keyed.withColumn("_bk", F.lit(0.0))
+    else:
+        bucketed = Bucketizer(splits=splits, inputCol="_x", outputCol="_bk").transform(keyed)
     counts = bucketed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).orderBy("_bk").collect()
     before = 0
     cut_bucket, cut_offset = None, 0

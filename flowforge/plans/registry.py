@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "flowforge.plans.q_labelling",
     "flowforge.plans.q_cleaning",
+    "flowforge.plans.q_split",
 ]
 
 
