@@ -8,6 +8,7 @@ _MODULES = [
     "flowforge.plans.q_labelling",
     "flowforge.plans.q_cleaning",
     "flowforge.plans.q_split",
+    "flowforge.plans.q_stats",
 ]
 
 
