@@ -9,6 +9,7 @@ _MODULES = [
     "flowforge.plans.q_cleaning",
     "flowforge.plans.q_split",
     "flowforge.plans.q_stats",
+    "flowforge.plans.q_metrics",
 ]
 
 
