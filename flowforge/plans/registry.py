@@ -10,6 +10,7 @@ _MODULES = [
     "flowforge.plans.q_split",
     "flowforge.plans.q_stats",
     "flowforge.plans.q_metrics",
+    "flowforge.plans.q_models",
 ]
 
 
