@@ -206,3 +206,31 @@ FROM ev
 ORDER BY timestamp NULLS LAST, dst_port NULLS LAST, src_addr NULLS LAST, dst_addr NULLS LAST, event_id
 """,
 }
+
+
+def stream_rule_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rule_label`` run as a Structured Streaming query over the events file,
+    written to a checkpointed file sink and read back."""
+    from flowforge.plans.tables import table
+    from flowforge.streaming.labelling import run_label_stream
+
+    ev = table(spark, sf_dir, "events")
+
+    def to_flows(stream):
+        from flowforge.functions.exprs import epoch_micros
+        return stream.select(
+            F.col("event_id"), F.col("user_id").alias("src_addr"),
+            F.col("event_type").alias("dst_addr"),
+            F.get_json_object("props", "$.k").cast("bigint").alias("dst_port"),
+            epoch_micros(stream, "ts").alias("timestamp"),
+            F.when(F.col("event_type") == "signup", F.lit("prelabelled"))
+             .otherwise(F.lit("NeedLabel")).alias("label"))
+
+    sink = run_label_stream(spark, sf_dir, ev.schema, to_flows,
+                            lambda s: label_flows(s, EVENT_RULES).select("event_id", "label"),
+                            glob="events.parquet")
+    return spark.read.parquet(sink)
+
+
+QUERIES["stream_rule_label"] = stream_rule_label
+ORACLE["stream_rule_label"] = _RULE_LABEL_SQL
