@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 MODELS = ["MLP", "LDA", "QDA", "SVM", "k-NN", "DT", "RF"]
 
 
-def features_array(cols) -> F.Column:
-    """Pack feature columns into one ``array<double>`` column."""
-    return F.array(*[F.col(c).cast("double") for c in cols])
+def features_array(cols, fill_null: float | None = None) -> F.Column:
+    """Pack feature columns into one ``array<double>`` column.
+
+    ``fill_null`` replaces missing values (after z-scoring, a zero-variance
+    feature is NULL; 0 is its centred value and carries no information)."""
+    if fill_null is None:
+        return F.array(*[F.col(c).cast("double") for c in cols])
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float(fill_null))) for c in cols])
 
 
 def _vectors(df: DataFrame, features: str = "features") -> DataFrame:

@@ -138,7 +138,7 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str],
     return (ranked.join(F.broadcast(cut_df), label_col, "inner")
             .withColumn("split", split)
             .filter(F.col("split").isNotNull())
-            .drop("_h", "_rank", "_tr", "_cv", "_te"))
+            .select(*df.columns, "split"))
 
 
 def class_sizes(df: DataFrame, label_col: str) -> DataFrame:

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 from flowforge.operators import classifiers as C
 from flowforge.operators.cic_rules import CAPTURE_DAYS
-from flowforge.operators.cleaning import cast_rate_columns, drop_outliers, remove_empty_lines, validate_labels
+from pyspark.sql import types as T
+
+from flowforge.operators.cleaning import validate_labels
+from flowforge.session import ensure_checkpoint_dir, wide_table_settings
 from flowforge.operators.labelling import label_by_day
 from flowforge.operators.metrics import binary_metrics, metric_rows, metric_table
 from flowforge.operators.profile import class_counts, constant_features
 from flowforge.operators.projection import canonical_labels, select_features
 from flowforge.operators.scaling import apply_label_index, fit_label_index, normalize_splits
 from flowforge.operators.split import split_sizes, stratified_split
-from flowforge.schema import (CANONICAL_CLASSES, ORIGINAL_CLASSES, TRAIN_PERCENTAGES,
-                              feature_columns, original_to_canonical)
+from flowforge.schema import (CANONICAL_CLASSES, INFINITY_TOKENS, ORIGINAL_CLASSES,
+                              TRAIN_PERCENTAGES, feature_columns, original_to_canonical)
 from flowforge.sources.flows import (day_from_file, load_splits, read_flows, write_labelled,
                                      write_metric_table, write_splits)
 
@@ -33,6 +36,7 @@ def label_capture_files(spark: SparkSession, paths: Sequence[str], output: str |
     Returns the per-(day, label) counts.  No shuffle in the labelling plan; the
     counts are one small aggregation.
     """
+    wide_table_settings(spark)
     flows = day_from_file(read_flows(spark, paths, "generated"))
     labelled = label_by_day(flows, "day", CAPTURE_DAYS).drop("source_file")
     if output is not None:
@@ -48,11 +52,30 @@ def _percentages(dataset: str, names: Sequence[str]) -> dict:
 
 
 def clean_flows(df: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """C1 + C4 + C3 + B6 in one row-local pass (the per-file repetition of the
-    outlier pass is unnecessary: it is row-local)."""
-    df = remove_empty_lines(df, "flow_id")
-    df = validate_labels(df, classes)
-    return cast_rate_columns(drop_outliers(df))
+    """C1 + C4 + C3 + B6 as one projection and one filter (row-local; the
+    per-file repetition of the outlier pass is unnecessary).
+
+    Every column gets its final cleaning expression in a single ``select`` so
+    the plan stays flat: blank strings and infinity tokens -> NULL, NaN ->
+    NULL, rate columns -> double.  Then rows with a missing key are removed
+    (C1), labels are checked (C4) and rows with any missing cell dropped (C3).
+    """
+    tokens = list(INFINITY_TOKENS)
+    rates = {"flow_byte_per_s", "flow_pkt_per_s"}
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            e = F.when((c == "") | c.isin(*tokens), F.lit(None)).otherwise(c)
+            if f.name in rates:
+                e = e.try_cast("double")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            e = F.when(F.isnan(c), F.lit(None)).otherwise(c)
+        else:
+            e = c
+        cols.append(e.alias(f.name))
+    flat = df.select(*cols).filter(F.col("flow_id").isNotNull())
+    return validate_labels(flat, classes).na.drop(how="any")
 
 
 def build_dataset(spark: SparkSession, paths: Sequence[str], dataset: str,
@@ -63,6 +86,7 @@ def build_dataset(spark: SparkSession, paths: Sequence[str], dataset: str,
     Returns ``(split frame, split sizes, constant features)``; writes the sets
     partitioned by ``split`` when ``output`` is given.
     """
+    wide_table_settings(spark)
     if dataset == "cic-ids2017":
         flows = read_flows(spark, paths, "original", with_file=False)
         flows = clean_flows(flows, ORIGINAL_CLASSES)
@@ -74,6 +98,11 @@ def build_dataset(spark: SparkSession, paths: Sequence[str], dataset: str,
         names = CANONICAL_CLASSES
     else:
         raise ValueError(f"unknown dataset {dataset!r}")
+    # the split reads the cleaned flows twice (class sizes, then ranks):
+    # materialise them once in the shared checkpoint folder instead of parsing
+    # and cleaning the CSV twice; this also cuts the lineage
+    ensure_checkpoint_dir(spark)
+    flows = flows.checkpoint()
     # flows have no unique key: order by a hash of the whole row, so identical
     # rows are interchangeable and the split is deterministic as a multiset
     key_cols = [c for c in flows.columns]
@@ -92,6 +121,7 @@ def compare_classifiers(spark: SparkSession, root: str, dataset: str,
     """K4: load the sets, select features, index labels on train, z-score with
     training statistics (no clip, float64), fit each model on train, score on
     test, and return the 13 x models metric table."""
+    wide_table_settings(spark)
     sets = load_splits(spark, root, dataset)
     feats = feature_columns(dataset)
     idx = fit_label_index(sets["train"])
@@ -103,7 +133,8 @@ def compare_classifiers(spark: SparkSession, root: str, dataset: str,
     tagged = apply_label_index(idx, tagged)
     tagged = normalize_splits(tagged, feats, "split", "train", "z_score_std", 0, "float64")
     tagged = tagged.select(F.monotonically_increasing_id().alias("id"), "split", "label_idx",
-                           C.features_array(feats).alias("features"))
+                           C.features_array(feats, fill_null=0.0).alias("features"))
+    ensure_checkpoint_dir(spark)
     tagged = tagged.checkpoint()  # cut lineage once; every model reads it
     train = tagged.filter(F.col("split") == "train")
     test = tagged.filter(F.col("split") == "test")

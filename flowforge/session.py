@@ -30,6 +30,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FLOWFORGE_DRIVER_MEMORY", "16g"))
     )
@@ -39,6 +40,14 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def wide_table_settings(spark: SparkSession) -> None:
+    """Flow tables have 80+ columns, each cleaned by a ``CASE``; Catalyst's
+    constraint propagation grows combinatorially over such projections and
+    can stall planning for minutes.  It only feeds filter inference, which
+    these plans do not need."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def pin_utc(spark: SparkSession) -> None:
     """Fix the session zone; rules and oracles are written against UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
