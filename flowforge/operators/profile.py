@@ -57,38 +57,121 @@ def constant_features(df: DataFrame, split_col: str = "split",
             .select("column"))
 
 
-def _stat_aggs(c: str, exact: bool, accuracy: int):
-    pct = (F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))) if exact
-           else F.percentile_approx(F.col(c), F.array(F.lit(0.25), F.lit(0.75)), accuracy))
-    return [F.min(c).cast("double"), F.max(c).cast("double"), F.avg(c),
-            F.stddev_pop(c), pct]
+def _interp(lo_v, hi_v, frac):
+    return lo_v + (hi_v - lo_v) * frac
 
 
 def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
-                 accuracy: int = 100_000) -> DataFrame:
-    """Per column: min, max, mean, population std, 25th/75th percentile
-    (linear interpolation).  One aggregation for all columns.
-
-    ``exact=False`` uses ``percentile_approx`` (bounded memory per task, rank
-    error <= 1/accuracy), the setting for columns with very many distinct
-    values at scale.
+                 accuracy: int = 10_000, probs: Sequence[float] = (0.25, 0.75),
+                 quantiles: bool = True) -> DataFrame:
+    """Per column: min, max, mean, population std, 25th/75th percentile with
+    linear interpolation (position ``q*(n-1)``).  Rows ``(column, min, max,
+    mean, std, q1, q3)``.
+
+    Exact quartiles in two aggregation passes with bounded memory per task:
+
+    1. one pass for min/max/mean/std/count and ``percentile_approx`` values
+       bracketing every target rank (rank error <= n/accuracy);
+    2. one pass counting rows below each bracket and collecting only the
+       values inside it (about ``6n/accuracy`` values per target); the exact
+       order statistic is picked from that short sorted list.
+
+    Spark's exact ``percentile`` keeps a map of every distinct value and
+    merges it in one task, which does not scale to continuous features.
+    ``exact=False`` stops after pass 1 and uses ``percentile_approx``;
+    ``quantiles=False`` skips the quartiles (one pass, q1/q3 NULL).
     """
+    cols = list(cols)
+    spark = df.sparkSession
+    delta = 3.0 / accuracy
+    brackets = []
+    for q in probs:
+        brackets += [max(0.0, q - delta), min(1.0, q + delta)]
     aggs = []
-    for c in cols:
-        mn, mx, mean, std, pct = _stat_aggs(c, exact, accuracy)
-        aggs.append(F.struct(F.lit(c).alias("column"), mn.alias("min"), mx.alias("max"),
-                             mean.alias("mean"), std.alias("std"),
-                             pct.getItem(0).cast("double").alias("q1"),
-                             pct.getItem(1).cast("double").alias("q3")).alias(c))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"mean{i}"),
+                 F.stddev_pop(x).alias(f"sd{i}"), F.count(x).alias(f"n{i}")]
+        if quantiles:
+            aggs += [F.percentile_approx(x, list(probs), accuracy).alias(f"ap{i}"),
+                     F.percentile_approx(x, brackets, accuracy).alias(f"br{i}")]
+    first = df.agg(*aggs).first()
+
+    quart = {}
+    if not quantiles:
+        quart = {c: [None] * len(probs) for c in cols}
+    elif exact:
+        # target ranks (0-based) per column and quantile
+        targets = []  # (col index, q index, rank, lo value, hi value)
+        for i, c in enumerate(cols):
+            n = first[f"n{i}"]
+            if not n:
+                continue
+            br = first[f"br{i}"]
+            for j, q in enumerate(probs):
+                pos = q * (n - 1)
+                for r in {int(pos // 1), int(-(-pos // 1))}:
+                    targets.append((i, j, r, br[2 * j], br[2 * j + 1]))
+        resolved = {}
+        pending = targets
+        widen = 1
+        while pending:
+            aggs2 = []
+            for t, (i, j, r, lo, hi) in enumerate(pending):
+                x = F.col(cols[i]).cast("double")
+                aggs2 += [F.count_if(x < F.lit(lo)).alias(f"b{t}"),
+                          F.sort_array(F.collect_list(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x)))
+                          .alias(f"v{t}")]
+            row = df.agg(*aggs2).first()
+            retry = []
+            for t, (i, j, r, lo, hi) in enumerate(pending):
+                below, vals = row[f"b{t}"], row[f"v{t}"]
+                k = r - below
+                if 0 <= k < len(vals):
+                    resolved[(i, r)] = vals[k]
+                else:  # bracket missed (not expected): widen it and retry
+                    n = first[f"n{i}"]
+                    if n <= 8 * accuracy:
+                        lo2, hi2 = float("-inf"), float("inf")
+                    elif widen >= 8:
+                        raise RuntimeError(f"quantile bracket of {cols[i]!r} missed rank {r}")
+                    else:
+                        w = (hi - lo) if hi > lo else 1.0
+                        lo2, hi2 = lo - 4 * widen * w, hi + 4 * widen * w
+                    retry.append((i, j, r, lo2, hi2))
+            pending = retry
+            widen *= 2
+        for i, c in enumerate(cols):
+            n = first[f"n{i}"]
+            vals = []
+            for q in probs:
+                if not n:
+                    vals.append(None)
+                    continue
+                pos = q * (n - 1)
+                lo_r, hi_r = int(pos // 1), int(-(-pos // 1))
+                vals.append(_interp(resolved[(i, lo_r)], resolved[(i, hi_r)], pos - lo_r))
+            quart[c] = vals
+    else:
+        for i, c in enumerate(cols):
+            ap = first[f"ap{i}"]
+            quart[c] = [float(v) if v is not None else None for v in ap] if ap else [None] * len(probs)
+
+    rows = []
+    for i, c in enumerate(cols):
+        q = quart[c]
+        rows.append((c, first[f"mn{i}"], first[f"mx{i}"], first[f"mean{i}"], first[f"sd{i}"],
+                     q[0], q[1] if len(q) > 1 else None))
+    return spark.createDataFrame(
+        rows, "column string, min double, max double, mean double, std double, q1 double, q3 double")
 
 
 def global_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
-                 accuracy: int = 100_000) -> DataFrame:
+                 accuracy: int = 10_000, quantiles: bool = True) -> DataFrame:
     """The same statistics over all listed columns together (one scaler for all)."""
     long = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("value"))
-    return column_stats(long, ["value"], exact, accuracy).withColumn("column", F.lit("__all__"))
+    return column_stats(long, ["value"], exact, accuracy, quantiles=quantiles) \
+        .withColumn("column", F.lit("__all__"))
 
 
 # Histogram bin edges per scaling method.

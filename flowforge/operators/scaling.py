@@ -91,8 +91,9 @@ class Normalizer:
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> NormalizerModel:
         cols = list(cols)
-        st = (column_stats(df, cols, self.exact) if self.per_column
-              else global_stats(df, cols, self.exact))
+        need_q = self.method == "robust_scaling"  # only the robust scaler needs quartiles
+        st = (column_stats(df, cols, self.exact, quantiles=need_q) if self.per_column
+              else global_stats(df, cols, self.exact, quantiles=need_q))
         stats = {r["column"]: ColumnStats(r["min"], r["max"], r["mean"], r["std"], r["q1"], r["q3"])
                  for r in st.collect()}
         self.model = NormalizerModel(self.method, stats, cols)
