@@ -113,7 +113,7 @@ def split_cut_points(class_sizes: Mapping, percentages: Mapping) -> dict:
 
 
 def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str],
-                     percentages: Mapping, seed: int = 0, **rank_opts) -> DataFrame:
+                     percentages: Mapping, seed: int = 0, prefix_len: int = 4) -> DataFrame:
     """Exact per-class train / crossval / test split.
 
     Per class of ``n`` rows (ordered by ``md5(key|seed)``): the first
@@ -121,22 +121,34 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str],
     the next ``int(n*p_test/100)`` test; the rest and classes without a
     percentage are left out.  A float percentage means cv = test = half of it.
     Adds column ``split``.
+
+    Two passes over the data: (1) counts per (class, hash bucket) -- a small
+    table from which both the class sizes (cut points) and the bucket offsets
+    come; (2) ``row_number`` inside (class, bucket) plus the offset.  With
+    ``prefix_len`` hex digits there are ``16**prefix_len`` buckets per class, so
+    a class of a third of 10**12 rows ranks about 5 M rows per bucket.
     """
     pct = _pct_triplets(percentages)  # validates before any job runs
-    sizes = {r[0]: r[1] for r in class_sizes(df, label_col).collect()}
-    cuts = split_cut_points(sizes, pct)
+    key_cols = list(key_cols)
     spark = df.sparkSession
+    hd = (df.withColumn("_h", hash_key(key_cols, seed))
+          .withColumn("_b", F.substring("_h", 1, prefix_len)))
+    counts = (hd.filter(F.col(label_col).isNotNull())
+              .groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))).cache()
+    sizes = {r[0]: r[1] for r in counts.groupBy(label_col).agg(F.sum("_n")).collect()}
+    cuts = split_cut_points(sizes, pct)
     cut_df = spark.createDataFrame(
         [(k, v[0], v[0] + v[1], v[0] + v[1] + v[2]) for k, v in cuts.items()],
-        f"{label_col} string, _tr long, _cv long, _te long")
-    ranked = hash_rank(df, [label_col], key_cols, seed,
-                       group_counts={(k,): v for k, v in sizes.items()}, **rank_opts)
-    r = F.col("_rank")
+        f"{label_col} {df.schema[label_col].dataType.simpleString()}, _tr long, _cv long, _te long")
+    offsets = _offsets(counts, [label_col], "_b").drop("_n").join(F.broadcast(cut_df), label_col)
+    n_off = len(cuts) * (16 ** prefix_len)
+    ranked = _join_small(hd, offsets, [label_col, "_b"], n_off)
+    w = Window.partitionBy(label_col, "_b").orderBy("_h", *key_cols)
+    r = F.col("_off") + F.row_number().over(w)
     split = (F.when(r <= F.col("_tr"), F.lit("train"))
              .when(r <= F.col("_cv"), F.lit("crossval"))
              .when(r <= F.col("_te"), F.lit("test")))
-    return (ranked.join(F.broadcast(cut_df), label_col, "inner")
-            .withColumn("split", split)
+    return (ranked.withColumn("split", split)
             .filter(F.col("split").isNotNull())
             .select(*df.columns, "split"))
 

@@ -65,8 +65,7 @@ def test_two_level_rank_equals_plain_window(spark):
 def test_split_exact_disjoint_and_partition_independent(spark):
     pct = {"big": 20.0, "mid": 50.0, "small": (10.0, 10.0, 80.0)}
     a = stratified_split(_frame(spark, parts=1), "label", ["id"], pct, seed=3)
-    b = stratified_split(_frame(spark, parts=17), "label", ["id"], pct, seed=3,
-                         target_rows_per_bucket=40, max_prefix=2)
+    b = stratified_split(_frame(spark, parts=17), "label", ["id"], pct, seed=3, prefix_len=1)
     ra = {(r["id"], r["split"]) for r in a.collect()}
     rb = {(r["id"], r["split"]) for r in b.collect()}
     assert ra == rb
