@@ -59,7 +59,10 @@ def _ml_fit_predict(est, train, test, label, features, id_col):
 def decision_tree(train, test, label="label_idx", features="features", id_col="id",
                   seed=0, max_depth=30, max_bins=32):
     from pyspark.ml.classification import DecisionTreeClassifier
-    est = DecisionTreeClassifier(seed=seed, maxDepth=max_depth, maxBins=max_bins)
+    # deep trees: keep node ids on the executors instead of shipping the tree
+    # every level, and let each pass split more nodes at once
+    est = DecisionTreeClassifier(seed=seed, maxDepth=max_depth, maxBins=max_bins,
+                                 cacheNodeIds=True, maxMemoryInMB=1024)
     return _ml_fit_predict(est, train, test, label, features, id_col)[1]
 
 
@@ -67,17 +70,20 @@ def random_forest(train, test, label="label_idx", features="features", id_col="i
                   seed=0, num_trees=100, max_depth=30, max_bins=32):
     from pyspark.ml.classification import RandomForestClassifier
     est = RandomForestClassifier(seed=seed, numTrees=num_trees, maxDepth=max_depth,
-                                 featureSubsetStrategy="sqrt", maxBins=max_bins)
+                                 featureSubsetStrategy="sqrt", maxBins=max_bins,
+                                 cacheNodeIds=True, maxMemoryInMB=1024)
     return _ml_fit_predict(est, train, test, label, features, id_col)[1]
 
 
 def linear_svm(train, test, label="label_idx", features="features", id_col="id",
-               c=1.0, max_iter=100):
-    """One-vs-rest linear SVM; ``regParam = 1/(C n)`` matches a C-weighted loss sum."""
+               c=1.0, max_iter=100, tol=1e-4):
+    """One-vs-rest linear SVM; ``regParam = 1/(C n)`` matches a C-weighted loss
+    sum, and ``tol`` is the usual liblinear stopping tolerance."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
     n = train.count()
     n_cls = train.select(label).distinct().count()
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False)
+    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False,
+                    tol=tol)
     # the binary problems are independent: fit them concurrently
     ovr = OneVsRest(classifier=svc, parallelism=max(1, min(n_cls, 16)))
     return _ml_fit_predict(ovr, train, test, label, features, id_col)[1]

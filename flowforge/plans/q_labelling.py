@@ -221,7 +221,7 @@ def stream_rule_label(spark: SparkSession, sf_dir: str) -> DataFrame:
         return stream.select(
             F.col("event_id"), F.col("user_id").alias("src_addr"),
             F.col("event_type").alias("dst_addr"),
-            F.get_json_object("props", "$.k").cast("bigint").alias("dst_port"),
+            F.get_json_object("props", "$.k").try_cast("bigint").alias("dst_port"),
             epoch_micros(stream, "ts").alias("timestamp"),
             F.when(F.col("event_type") == "signup", F.lit("prelabelled"))
              .otherwise(F.lit("NeedLabel")).alias("label"))

@@ -20,7 +20,8 @@ def embedding_splits(spark: SparkSession, sf_dir: str):
         F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label_idx"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features"))
     pct = {i: EMB_TRAIN_PCT for i in range(10)}
-    s = stratified_split(e, "label_idx", ["id"], pct, seed=EMB_SEED)
+    # train and test both read the split: keep it (small) instead of ranking twice
+    s = stratified_split(e, "label_idx", ["id"], pct, seed=EMB_SEED).cache()
     train = s.filter(F.col("split") == "train").drop("split")
     test = s.filter(F.col("split") == "test").drop("split")
     return train, test

@@ -34,7 +34,7 @@ def event_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id"),
         F.col("user_id").alias("src_addr"),
         F.col("event_type").alias("dst_addr"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("dst_port"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("dst_port"),
         epoch_micros(ev, "ts").alias("timestamp"),
         F.when(F.col("event_type") == "signup", F.lit("prelabelled"))
          .otherwise(F.lit("NeedLabel")).alias("label"),
@@ -48,7 +48,7 @@ EVENT_FLOWS_SQL = """
 SELECT event_id,
        user_id AS src_addr,
        event_type AS dst_addr,
-       CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst_port,
+       TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst_port,
        epoch_us(ts) AS timestamp,
        CASE WHEN event_type = 'signup' THEN 'prelabelled' ELSE 'NeedLabel' END AS label,
        lower(dayname(ts)) AS day,

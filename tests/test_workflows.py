@@ -129,3 +129,22 @@ def test_build_generated_and_compare(spark, tmp_path):
     assert set(vals) >= {"TP", "FP", "FN", "TN", "MCC", "Training time"}
     assert vals["Accuracy"]["DT"] >= 0.9 and vals["Accuracy"]["k-NN"] >= 0.9
     assert os.path.isdir(tmp_path / "metrics")
+
+
+def test_read_parquet_drops_pandas_index(spark, tmp_path):
+    import pandas as pd
+    pdf = pd.DataFrame({"a": [1, 2, 3], "label": ["x", "y", "z"]}).sample(frac=1, random_state=0)
+    p = str(tmp_path / "set.parquet")
+    pdf.to_parquet(p)
+    from flowforge.sources.flows import read_parquet
+    df = read_parquet(spark, p)
+    assert df.columns == ["a", "label"] and df.count() == 3
+
+
+def test_iso_8859_1_labels(spark, tmp_path):
+    header = [f"c{i}" for i in range(85)]
+    rnd = random.Random(3)
+    rows = _orig_rows(rnd, 2, "Web Attack \x96 Brute Force")
+    _write_csv(tmp_path / "x.csv", header, rows)
+    labels = {r["label"] for r in read_flows(spark, str(tmp_path / "x.csv"), "original").collect()}
+    assert labels == {"Web Attack \x96 Brute Force"}
