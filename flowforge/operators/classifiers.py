@@ -48,12 +48,21 @@ def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
 # pyspark.ml estimators
 # ---------------------------------------------------------------------------
 
-def _ml_fit_predict(est, train, test, label, features, id_col):
+def ml_fit(est, train, label="label_idx", features="features"):
+    """Fit a ``pyspark.ml`` classifier on the feature-array frame (eager)."""
     tr = _vectors(train, features).withColumn("_y", F.col(label).cast("double"))
-    model = est.setFeaturesCol("_vec").setLabelCol("_y").setPredictionCol("_pred").fit(tr)
-    te = _vectors(test, features)
-    out = model.transform(te)
-    return model, out.select(id_col, label, F.col("_pred").cast("int").alias("prediction"))
+    return est.setFeaturesCol("_vec").setLabelCol("_y").setPredictionCol("_pred").fit(tr)
+
+
+def ml_predict(model, test, label="label_idx", features="features", id_col="id"):
+    """Score with a fitted ``pyspark.ml`` model (a projection, lazy)."""
+    out = model.transform(_vectors(test, features))
+    return out.select(id_col, label, F.col("_pred").cast("int").alias("prediction"))
+
+
+def _ml_fit_predict(est, train, test, label, features, id_col):
+    model = ml_fit(est, train, label, features)
+    return model, ml_predict(model, test, label, features, id_col)
 
 
 def decision_tree(train, test, label="label_idx", features="features", id_col="id",
@@ -304,3 +313,53 @@ def timed_predictions(name: str, fit_predict, *args, **kwargs):
     pred = pred.cache()
     pred.count()
     return pred, time.perf_counter() - t0
+
+
+def timed_fit_predict(fit, predict):
+    """Time training and prediction separately (J8).
+
+    ``fit()`` returns a fitted model (its action runs here); ``predict(model)``
+    returns the prediction frame, materialised with a count.  Returns
+    ``(predictions, train_seconds, predict_seconds)``.
+    """
+    t0 = time.perf_counter()
+    model = fit()
+    t1 = time.perf_counter()
+    pred = predict(model).cache()
+    pred.count()
+    return pred, t1 - t0, time.perf_counter() - t1
+
+
+def model_runs(train: DataFrame, test: DataFrame, n_features: int, n_classes: int,
+               knn_block_rows: int = 4096, label="label_idx", features="features", id_col="id"):
+    """(fit, predict) pairs of the seven models, in the comparison order."""
+    from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
+                                           MultilayerPerceptronClassifier, OneVsRest,
+                                           RandomForestClassifier)
+
+    def ml(est_fn):
+        return (lambda: ml_fit(est_fn(), train, label, features),
+                lambda m: ml_predict(m, test, label, features, id_col))
+
+    def svm():
+        n = train.count()
+        svc = LinearSVC(maxIter=100, regParam=1.0 / max(n, 1), standardization=False, tol=1e-4)
+        return OneVsRest(classifier=svc, parallelism=max(1, min(n_classes, 16)))
+
+    return {
+        "MLP": ml(lambda: MultilayerPerceptronClassifier(
+            layers=[n_features, 256, 256, n_classes], maxIter=100, seed=2021, blockSize=128)),
+        "LDA": (lambda: fit_lda(train, label, features),
+                lambda m: predict_discriminant(m, test, label, features, id_col)),
+        "QDA": (lambda: fit_qda(train, label, features),
+                lambda m: predict_discriminant(m, test, label, features, id_col)),
+        "SVM": ml(svm),
+        # k-NN has no training step: the training rows are the model
+        "k-NN": (lambda: None,
+                 lambda _m: knn(train, test, 5, label, features, id_col, knn_block_rows)),
+        "DT": ml(lambda: DecisionTreeClassifier(seed=0, maxDepth=30, cacheNodeIds=True,
+                                                maxMemoryInMB=1024)),
+        "RF": ml(lambda: RandomForestClassifier(seed=0, numTrees=100, maxDepth=30,
+                                                featureSubsetStrategy="sqrt", cacheNodeIds=True,
+                                                maxMemoryInMB=1024)),
+    }

@@ -72,19 +72,11 @@ def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = embedding_splits(spark, sf_dir)
     train = train.cache()
     test = test.cache()
-    runs = {
-        "MLP": lambda: C.mlp(train, test, n_features=64, n_classes=10),
-        "LDA": lambda: C.lda(train, test),
-        "QDA": lambda: C.qda(train, test),
-        "SVM": lambda: C.linear_svm(train, test),
-        "k-NN": lambda: C.knn(train, test, k=5),
-        "DT": lambda: C.decision_tree(train, test),
-        "RF": lambda: C.random_forest(train, test),
-    }
+    runs = C.model_runs(train, test, 64, 10)
     long = None
-    for name, run in runs.items():
-        pred, sec = C.timed_predictions(name, run)
-        rows = metric_rows(name, binary_metrics(pred), sec, None)
+    for name, (fit, predict) in runs.items():
+        pred, train_sec, pred_sec = C.timed_fit_predict(fit, predict)
+        rows = metric_rows(name, binary_metrics(pred), train_sec, pred_sec)
         long = rows if long is None else long.unionByName(rows)
     return metric_table(long, list(runs))
 

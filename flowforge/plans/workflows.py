@@ -138,20 +138,13 @@ def compare_classifiers(spark: SparkSession, root: str, dataset: str,
     tagged = tagged.checkpoint()  # cut lineage once; every model reads it
     train = tagged.filter(F.col("split") == "train")
     test = tagged.filter(F.col("split") == "test")
-    runs = {
-        "MLP": lambda: C.mlp(train, test, n_features=len(feats), n_classes=n_classes),
-        "LDA": lambda: C.lda(train, test),
-        "QDA": lambda: C.qda(train, test),
-        "SVM": lambda: C.linear_svm(train, test),
-        "k-NN": lambda: C.knn(train, test, k=5, block_rows=knn_block_rows),
-        "DT": lambda: C.decision_tree(train, test),
-        "RF": lambda: C.random_forest(train, test),
-    }
+    runs = C.model_runs(train, test, len(feats), n_classes, knn_block_rows)
     long = None
     chosen = [m for m in models if m in runs]
     for name in chosen:
-        pred, sec = C.timed_predictions(name, runs[name])
-        rows = metric_rows(name, binary_metrics(pred), sec, None)
+        fit, predict = runs[name]
+        pred, train_sec, pred_sec = C.timed_fit_predict(fit, predict)
+        rows = metric_rows(name, binary_metrics(pred), train_sec, pred_sec)
         long = rows if long is None else long.unionByName(rows)
     table = metric_table(long, chosen)
     if output is not None:

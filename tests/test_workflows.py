@@ -126,7 +126,8 @@ def test_build_generated_and_compare(spark, tmp_path):
     table = compare_classifiers(spark, str(tmp_path / "sets"), "lycos-ids2017",
                                 str(tmp_path / "metrics"), models=["LDA", "k-NN", "DT"])
     vals = {r["metric"]: r for r in table.collect()}
-    assert set(vals) >= {"TP", "FP", "FN", "TN", "MCC", "Training time"}
+    assert set(vals) >= {"TP", "FP", "FN", "TN", "MCC", "Training time", "Prediction time"}
+    assert vals["Prediction time"]["k-NN"] > 0 and vals["Training time"]["k-NN"] >= 0
     assert vals["Accuracy"]["DT"] >= 0.9 and vals["Accuracy"]["k-NN"] >= 0.9
     assert os.path.isdir(tmp_path / "metrics")
 
