@@ -92,3 +92,20 @@ def test_subsamples_sizes(spark):
     sizes = {r["subset_id"]: r["count"] for r in out.groupBy("subset_id").count().collect()}
     assert sizes == {1: 34, 2: 34, 3: 34}
     assert out.select("subset_id", "key").distinct().count() == 102
+
+
+def test_split_ignores_input_order(spark):
+    pct = {"big": 20.0, "mid": 50.0, "small": 50.0}
+    df = _frame(spark, parts=3)
+    shuffled = df.orderBy(F.md5(F.col("id").cast("string"))).repartition(7)
+    a = {(r["id"], r["split"]) for r in stratified_split(df, "label", ["id"], pct, seed=9).collect()}
+    b = {(r["id"], r["split"]) for r in stratified_split(shuffled, "label", ["id"], pct, seed=9).collect()}
+    assert a == b
+
+
+def test_seed_changes_selection(spark):
+    pct = {"big": 20.0, "mid": 50.0, "small": 50.0}
+    df = _frame(spark, parts=3)
+    a = {(r["id"], r["split"]) for r in stratified_split(df, "label", ["id"], pct, seed=1).collect()}
+    b = {(r["id"], r["split"]) for r in stratified_split(df, "label", ["id"], pct, seed=2).collect()}
+    assert a != b and len(a) == len(b)
