@@ -188,15 +188,17 @@ def rules_frame(spark, rules: Sequence[Rule]) -> DataFrame:
 
 def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = FlowFields(),
                      sentinel: str = NEED_LABEL, default: str = DEFAULT_LABEL,
-                     broadcast_max_endpoints: int = 200_000) -> DataFrame:
+                     broadcast_max_endpoints: int = 200_000,
+                     broadcast_max_rules: int = 1_000_000) -> DataFrame:
     """Endpoint-keyed interval join with last-rule-wins.
 
     Every rule must name its destination endpoint.  Rules are packed into one
     row per endpoint, ``array<struct>``; the flow table is hash-joined on the
     endpoint (broadcast when the number of endpoints is at most
-    ``broadcast_max_endpoints``, otherwise a shuffle join) and the winning rule
-    is ``array_max`` of the matching ``(seq, label)`` structs.  One output row
-    per input row, no aggregation over flows.
+    ``broadcast_max_endpoints`` and the rules at most ``broadcast_max_rules``,
+    otherwise a shuffle join, where AQE splits a hot endpoint's partition) and
+    the winning rule is ``array_max`` of the matching ``(seq, label)`` structs.
+    One output row per input row, no aggregation over flows.
     """
     missing = rules_df.filter(F.col("dst_addr").isNull()).limit(1).count()
     if missing:
@@ -205,8 +207,9 @@ def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = Fl
     packed = (rules_df.groupBy(F.col("dst_addr").alias("_r_dst"))
               .agg(F.collect_list(F.struct(*[F.col(c) for c in RULE_TABLE_COLUMNS
                                               if c != "dst_addr"])).alias("_r_rules")))
-    n_endpoints = packed.count()
-    if n_endpoints <= broadcast_max_endpoints:
+    sizes = rules_df.agg(F.count(F.lit(1)).alias("n"),
+                         F.countDistinct("dst_addr").alias("e")).first()
+    if sizes["e"] <= broadcast_max_endpoints and sizes["n"] <= broadcast_max_rules:
         packed = F.broadcast(packed)
     joined = df.join(packed, fields.col("dst_addr") == F.col("_r_dst"), "left")
 
