@@ -96,3 +96,16 @@ def test_join_form_needs_endpoint(spark):
     df = spark.createDataFrame([(1, "a", 1, "NeedLabel")], "id int, dst_addr string, timestamp bigint, label string")
     with pytest.raises(ValueError):
         label_flows_join(df, rules_frame(spark, [Rule("x")]))
+
+
+def test_join_form_shuffle_path_equals_broadcast(spark):
+    rules = [Rule("x", dst_addr="hot", ts_lo=0, ts_hi=50), Rule("y", dst_addr="hot", ts_lo=40, ts_hi=60),
+             Rule("z", dst_addr="cold")]
+    # one endpoint holds most rows (hot key)
+    rows = [(i, "s", "hot" if i % 4 else "cold", i % 100, "NeedLabel") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, src_addr string, dst_addr string, timestamp bigint, label string")
+    rf = rules_frame(spark, rules)
+    a = {r["id"]: r["label"] for r in label_flows_join(df, rf).collect()}
+    b = {r["id"]: r["label"] for r in label_flows_join(df, rf, broadcast_max_endpoints=0).collect()}
+    c = {r["id"]: r["label"] for r in label_flows(df, rules).collect()}
+    assert a == b == c
