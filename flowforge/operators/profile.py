@@ -63,7 +63,7 @@ def _interp(lo_v, hi_v, frac):
 
 def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
                  accuracy: int = 10_000, probs: Sequence[float] = (0.25, 0.75),
-                 quantiles: bool = True) -> DataFrame:
+                 quantiles: bool = True, max_bracket: int = 2_000_000) -> DataFrame:
     """Per column: min, max, mean, population std, 25th/75th percentile with
     linear interpolation (position ``q*(n-1)``).  Rows ``(column, min, max,
     mean, std, q1, q3)``.
@@ -76,6 +76,11 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
        values inside it (about ``6n/accuracy`` values per target); the exact
        order statistic is picked from that short sorted list.
 
+    A bracket is collected only when it holds at most ``max_bracket`` values;
+    a larger one (inputs beyond ``accuracy * max_bracket / 6`` rows) is first
+    narrowed by ``percentile_approx`` over the rows inside it, each narrowing
+    pass shrinking it by a factor of about ``accuracy / 6``.
+
     Spark's exact ``percentile`` keeps a map of every distinct value and
     merges it in one task, which does not scale to continuous features.
     ``exact=False`` stops after pass 1 and uses ``percentile_approx``;
@@ -112,35 +117,7 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
                 pos = q * (n - 1)
                 for r in {int(pos // 1), int(-(-pos // 1))}:
                     targets.append((i, j, r, br[2 * j], br[2 * j + 1]))
-        resolved = {}
-        pending = targets
-        widen = 1
-        while pending:
-            aggs2 = []
-            for t, (i, j, r, lo, hi) in enumerate(pending):
-                x = F.col(cols[i]).cast("double")
-                aggs2 += [F.count_if(x < F.lit(lo)).alias(f"b{t}"),
-                          F.sort_array(F.collect_list(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x)))
-                          .alias(f"v{t}")]
-            row = df.agg(*aggs2).first()
-            retry = []
-            for t, (i, j, r, lo, hi) in enumerate(pending):
-                below, vals = row[f"b{t}"], row[f"v{t}"]
-                k = r - below
-                if 0 <= k < len(vals):
-                    resolved[(i, r)] = vals[k]
-                else:  # bracket missed (not expected): widen it and retry
-                    n = first[f"n{i}"]
-                    if n <= 8 * accuracy:
-                        lo2, hi2 = float("-inf"), float("inf")
-                    elif widen >= 8:
-                        raise RuntimeError(f"quantile bracket of {cols[i]!r} missed rank {r}")
-                    else:
-                        w = (hi - lo) if hi > lo else 1.0
-                        lo2, hi2 = lo - 4 * widen * w, hi + 4 * widen * w
-                    retry.append((i, j, r, lo2, hi2))
-            pending = retry
-            widen *= 2
+        resolved = _resolve_ranks(df, cols, first, targets, accuracy, delta, max_bracket)
         for i, c in enumerate(cols):
             n = first[f"n{i}"]
             vals = []
@@ -166,6 +143,94 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
         rows, "column string, min double, max double, mean double, std double, q1 double, q3 double")
 
 
+def _resolve_ranks(df, cols, first, targets, accuracy, delta, max_bracket):
+    """Exact order statistics ``(column index, rank) -> value`` from brackets
+    ``[lo, hi]`` that contain them; see ``column_stats``.
+
+    A bracket expected to hold at most ``max_bracket`` rows is resolved in one
+    grouped pass: every row is tagged per target as *below* the bracket or
+    with its value inside it, and ``groupBy(target, below, value).count()``
+    returns the below-count and the distinct values with their counts (ties
+    collapse, so a hot value costs one row).  Larger brackets are first
+    counted and narrowed with ``percentile_approx`` over their own rows.
+    """
+    resolved = {}
+    # state per target: [i, r, lo, hi, rows expected inside]
+    pending = [[i, r, lo, hi, 8 * first[f"n{i}"] / accuracy] for (i, _j, r, lo, hi) in targets]
+    rounds = 0
+    while pending:
+        rounds += 1
+        if rounds > 12:
+            raise RuntimeError("exact quantile search did not converge")
+        small = [t for t in pending if t[4] <= max_bracket]
+        large = [t for t in pending if t[4] > max_bracket]
+        nxt = []
+        if small:
+            tagged = []
+            for t, (i, r, lo, hi, _e) in enumerate(small):
+                x = F.col(cols[i]).cast("double")
+                tagged.append(F.struct(F.lit(t).alias("t"), (x < F.lit(lo)).alias("below"),
+                                       F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x).alias("v")))
+            groups = (df.select(F.explode(F.array(*tagged)).alias("s")).select("s.*")
+                      .filter(F.col("below") | F.col("v").isNotNull())
+                      .groupBy("t", "below", "v").agg(F.count(F.lit(1)).alias("n"))
+                      .collect())
+            below = {}
+            values = {}
+            for g in groups:
+                if g["below"]:
+                    below[g["t"]] = g["n"]
+                else:
+                    values.setdefault(g["t"], []).append((g["v"], g["n"]))
+            for t, (i, r, lo, hi, _e) in enumerate(small):
+                k = r - below.get(t, 0)
+                acc_n, hit = 0, None
+                for v, n in sorted(values.get(t, [])):
+                    acc_n += n
+                    if k < acc_n:
+                        hit = v
+                        break
+                if k >= 0 and hit is not None:
+                    resolved[(i, r)] = hit
+                else:  # bracket missed the rank (not expected): search the full range
+                    nxt.append([i, r, float("-inf"), float("inf"), first[f"n{i}"]])
+        if large:
+            aggs = []
+            for t, (i, r, lo, hi, _e) in enumerate(large):
+                x = F.col(cols[i]).cast("double")
+                aggs += [F.count_if(x < F.lit(lo)).alias(f"b{t}"),
+                         F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"c{t}")]
+            counts = df.agg(*aggs).first()
+            narrow = []
+            for t, (i, r, lo, hi, _e) in enumerate(large):
+                b, c = counts[f"b{t}"], counts[f"c{t}"]
+                if lo == hi and 0 <= r - b < c:
+                    resolved[(i, r)] = lo  # a single (hot) value holds the rank
+                elif c <= max_bracket:
+                    nxt.append([i, r, lo, hi, c])
+                else:
+                    narrow.append((t, i, r, lo, hi, b, c))
+            if narrow:
+                aggs = []
+                for t, i, r, lo, hi, b, c in narrow:
+                    x = F.col(cols[i]).cast("double")
+                    p = (r - b) / max(c - 1, 1)
+                    aggs.append(F.percentile_approx(
+                        F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x),
+                        [max(0.0, p - delta), min(1.0, p + delta)], accuracy).alias(f"q{t}"))
+                qrow = df.agg(*aggs).first()
+                for t, i, r, lo, hi, b, c in narrow:
+                    nlo, nhi = (float(v) for v in qrow[f"q{t}"])
+                    if (nlo, nhi) == (lo, hi):
+                        # no narrower: every value other than lo and hi sits within
+                        # ~2c/accuracy ranks, so the grouped (tie-collapsing) pass is small
+                        nxt.append([i, r, lo, hi, 0])
+                    else:
+                        nxt.append([i, r, nlo, nhi, 8 * c / accuracy])
+        pending = nxt
+    return resolved
+
+
 def global_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
                  accuracy: int = 10_000, quantiles: bool = True) -> DataFrame:
     """The same statistics over all listed columns together (one scaler for all)."""

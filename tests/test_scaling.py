@@ -76,3 +76,19 @@ def test_normalize_splits_uses_train_stats(spark):
     df = spark.createDataFrame([("train", 1.0), ("train", 3.0), ("test", 5.0)], "split string, x double")
     out = {r["split"] + str(r["x"]) for r in normalize_splits(df, ["x"]).collect()}
     assert out == {"train-1.0", "train1.0", "test3.0"}
+
+
+@pytest.mark.parametrize("max_bracket", [2_000_000, 40])
+def test_exact_quartiles_with_hot_value_and_narrowing(spark, max_bracket):
+    rnd = np.random.default_rng(0)
+    n = 6000
+    x = rnd.normal(size=n)
+    y = np.where(rnd.random(n) < 0.4, 3.0, rnd.normal(size=n))  # a value holding 40 % of rows
+    z = rnd.integers(0, 5, n).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, y, z)],
+                               "x double, y double, z double")
+    st = {r["column"]: r for r in column_stats(df, ["x", "y", "z"], accuracy=100,
+                                               max_bracket=max_bracket).collect()}
+    for c, arr in (("x", x), ("y", y), ("z", z)):
+        assert st[c]["q1"] == pytest.approx(np.percentile(arr, 25), abs=1e-12)
+        assert st[c]["q3"] == pytest.approx(np.percentile(arr, 75), abs=1e-12)
