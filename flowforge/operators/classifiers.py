@@ -263,26 +263,32 @@ def knn_candidates(train: DataFrame, test: DataFrame, k: int = 5, label="label_i
         cols = ["test_id", "train_id", "dist2", "nb_label"]
         if q_pdf.empty or t_pdf.empty:
             return pd.DataFrame({c: [] for c in cols})
-        q = np.stack(q_pdf["q"].to_numpy()).astype(np.float64)
+        q_all = np.stack(q_pdf["q"].to_numpy()).astype(np.float64)
+        q_ids = q_pdf["test_id"].to_numpy()
         x = np.stack(t_pdf["x"].to_numpy()).astype(np.float64)
+        xx = (x * x).sum(1)
         tid = t_pdf["train_id"].to_numpy()
         lab = t_pdf["nb_label"].to_numpy()
         m = min(len(x), k + 8)
-        # fast screen (Gram form), then exact distances for the screened few
-        approx = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
-        cand = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(x) else \
-            np.tile(np.arange(len(x)), (len(q), 1))
-        diff = q[:, None, :] - x[cand]
-        exact = np.einsum("ijk,ijk->ij", diff, diff)
-        order = np.lexsort((tid[cand], exact), axis=1)[:, :k]
-        rows = np.arange(len(q))[:, None]
-        sel = cand[rows, order]
-        return pd.DataFrame({
-            "test_id": np.repeat(q_pdf["test_id"].to_numpy(), sel.shape[1]),
-            "train_id": tid[sel].ravel(),
-            "dist2": exact[rows, order].ravel(),
-            "nb_label": lab[sel].ravel().astype(np.int32),
-        })
+        parts = []
+        for s0 in range(0, len(q_all), 1024):  # bounded distance matrix per step
+            q = q_all[s0:s0 + 1024]
+            # fast screen (Gram form), then exact distances for the screened few
+            approx = (q * q).sum(1)[:, None] + xx[None, :] - 2.0 * (q @ x.T)
+            cand = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(x) else \
+                np.tile(np.arange(len(x)), (len(q), 1))
+            diff = q[:, None, :] - x[cand]
+            exact = np.einsum("ijk,ijk->ij", diff, diff)
+            order = np.lexsort((tid[cand], exact), axis=1)[:, :k]
+            rows = np.arange(len(q))[:, None]
+            sel = cand[rows, order]
+            parts.append(pd.DataFrame({
+                "test_id": np.repeat(q_ids[s0:s0 + 1024], sel.shape[1]),
+                "train_id": tid[sel].ravel(),
+                "dist2": exact[rows, order].ravel(),
+                "nb_label": lab[sel].ravel().astype(np.int32),
+            }))
+        return pd.concat(parts, ignore_index=True)
 
     cands = (te.groupBy("qb", "tb").cogroup(tr.groupBy("qb", "tb"))
              .applyInPandas(local_topk, "test_id long, train_id long, dist2 double, nb_label int"))
