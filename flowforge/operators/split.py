@@ -170,11 +170,11 @@ def head_percent(df: DataFrame, pct: float, order_cols: Sequence[str],
 
     Distributed top-k: the first order column (numeric) is cut into
     equal-depth buckets from approximate quantiles; whole buckets before the
-    cut are kept without sorting, and only the one bucket the cut falls in is
-    ranked.  No single task sees more than about one bucket.
+    cut are kept without sorting, and only the bucket the cut falls in is
+    ranked.  A cut bucket larger than ``rows_per_bucket`` is cut again
+    (recursively), and a bucket of one tied value is cut on the next order
+    column, so no task ranks more than about ``rows_per_bucket`` rows.
     """
-    from pyspark.ml.feature import Bucketizer
-
     order_cols = list(order_cols)
     n = df.count()
     k = int(n * float(pct) / 100)
@@ -182,12 +182,30 @@ def head_percent(df: DataFrame, pct: float, order_cols: Sequence[str],
         return df.limit(0)
     if k >= n:
         return df
+    return _head_k(df, k, n, order_cols, rows_per_bucket, 0)
+
+
+def _rank_small(df: DataFrame, k: int, order_cols: list[str]) -> DataFrame:
+    w = Window.partitionBy(F.lit(0)).orderBy(*[F.asc_nulls_last(c) for c in order_cols])
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(k)).drop("_rn")
+
+
+def _is_numeric(df: DataFrame, name: str) -> bool:
+    from pyspark.sql import types as T
+    return isinstance(df.schema[name].dataType, T.NumericType)
+
+
+def _head_k(df: DataFrame, k: int, n: int, order_cols: list[str], rows_per_bucket: int,
+            depth: int) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer
+
     first = order_cols[0]
-    n_buckets = max(1, min(10_000, n // rows_per_bucket + 1))
+    if n <= rows_per_bucket or depth > 8 or not _is_numeric(df, first):
+        return _rank_small(df, k, order_cols)
+    n_buckets = max(2, min(10_000, n // rows_per_bucket + 1))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(first, probs, 1.0 / (4 * n_buckets)) if probs else []
-    splits = sorted(set(float(q) for q in qs))
-    splits = [float("-inf")] + splits + [float("inf")]
+    qs = df.approxQuantile(first, probs, 1.0 / (4 * n_buckets))
+    splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
     keyed = df.withColumn("_x", F.coalesce(F.col(first).cast("double"), F.lit(float("inf"))))
     if len(splits) < 3:
         bucketed = keyed.withColumn("_bk", F.lit(0.0))
@@ -195,18 +213,28 @@ def head_percent(df: DataFrame, pct: float, order_cols: Sequence[str],
         bucketed = Bucketizer(splits=splits, inputCol="_x", outputCol="_bk").transform(keyed)
     counts = bucketed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).orderBy("_bk").collect()
     before = 0
-    cut_bucket, cut_offset = None, 0
+    cut_bucket, cut_offset, cut_rows = None, 0, 0
     for row in counts:
         if before + row["_n"] >= k:
-            cut_bucket, cut_offset = row["_bk"], before
+            cut_bucket, cut_offset, cut_rows = row["_bk"], before, row["_n"]
             break
         before += row["_n"]
-    whole = bucketed.filter(F.col("_bk") < F.lit(cut_bucket))
-    w = Window.partitionBy("_bk").orderBy(*[F.asc_nulls_last(c) for c in order_cols])
-    edge = (bucketed.filter(F.col("_bk") == F.lit(cut_bucket))
-            .withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= F.lit(k - cut_offset)).drop("_rn"))
-    return whole.unionByName(edge).drop("_x", "_bk")
+    whole = bucketed.filter(F.col("_bk") < F.lit(cut_bucket)).drop("_x", "_bk")
+    edge_rows = bucketed.filter(F.col("_bk") == F.lit(cut_bucket)).drop("_x", "_bk")
+    k_edge = k - cut_offset
+    if cut_rows <= rows_per_bucket:
+        edge = _rank_small(edge_rows, k_edge, order_cols)
+    else:
+        lo_hi = edge_rows.agg(F.min(first).alias("lo"), F.max(first).alias("hi"),
+                              F.count(F.col(first)).alias("nn")).first()
+        if lo_hi["nn"] == cut_rows and lo_hi["lo"] == lo_hi["hi"]:
+            # one tied value: its rows are ordered by the remaining columns
+            rest = order_cols[1:]
+            edge = (_head_k(edge_rows, k_edge, cut_rows, rest, rows_per_bucket, depth + 1)
+                    if rest else edge_rows.limit(k_edge))
+        else:
+            edge = _head_k(edge_rows, k_edge, cut_rows, order_cols, rows_per_bucket, depth + 1)
+    return whole.unionByName(edge)
 
 
 def subsamples(df: DataFrame, n_subset: int, key_cols: Sequence[str], seed: int = 0,

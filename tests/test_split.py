@@ -109,3 +109,12 @@ def test_seed_changes_selection(spark):
     a = {(r["id"], r["split"]) for r in stratified_split(df, "label", ["id"], pct, seed=1).collect()}
     b = {(r["id"], r["split"]) for r in stratified_split(df, "label", ["id"], pct, seed=2).collect()}
     assert a != b and len(a) == len(b)
+
+
+def test_head_percent_recursive_and_ties(spark):
+    # a hot tied value around the cut, a second order column, few rows per bucket
+    rows = [(5 if i % 3 == 0 else i, (i * 37) % 1001, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, k2 long, v long").repartition(4)
+    out = head_percent(df, 40.0, ["k", "k2"], rows_per_bucket=60)
+    want = sorted((r["k"], r["k2"]) for r in df.orderBy("k", "k2").limit(600).collect())
+    assert sorted((r["k"], r["k2"]) for r in out.collect()) == want
