@@ -189,7 +189,8 @@ def rules_frame(spark, rules: Sequence[Rule]) -> DataFrame:
 def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = FlowFields(),
                      sentinel: str = NEED_LABEL, default: str = DEFAULT_LABEL,
                      broadcast_max_endpoints: int = 200_000,
-                     broadcast_max_rules: int = 1_000_000) -> DataFrame:
+                     broadcast_max_rules: int = 1_000_000,
+                     time_bucket_us: int | None = None) -> DataFrame:
     """Endpoint-keyed interval join with last-rule-wins.
 
     Every rule must name its destination endpoint.  Rules are packed into one
@@ -199,19 +200,24 @@ def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = Fl
     otherwise a shuffle join, where AQE splits a hot endpoint's partition) and
     the winning rule is ``array_max`` of the matching ``(seq, label)`` structs.
     One output row per input row, no aggregation over flows.
+
+    ``time_bucket_us`` packs rules with a closed time window per (endpoint,
+    time bucket) instead -- a rule is listed in every bucket its window
+    overlaps -- so a flow only scans the rules of its own bucket; rules with an
+    open window stay in a per-endpoint list.  Same result, for endpoints with
+    very many rules.
     """
     missing = rules_df.filter(F.col("dst_addr").isNull()).limit(1).count()
     if missing:
         raise ValueError("label_flows_join needs a destination endpoint on every rule; "
                          "use label_flows for wildcard-destination rules")
-    packed = (rules_df.groupBy(F.col("dst_addr").alias("_r_dst"))
-              .agg(F.collect_list(F.struct(*[F.col(c) for c in RULE_TABLE_COLUMNS
-                                              if c != "dst_addr"])).alias("_r_rules")))
+    rule_struct = F.struct(*[F.col(c) for c in RULE_TABLE_COLUMNS if c != "dst_addr"])
     sizes = rules_df.agg(F.count(F.lit(1)).alias("n"),
                          F.countDistinct("dst_addr").alias("e")).first()
-    if sizes["e"] <= broadcast_max_endpoints and sizes["n"] <= broadcast_max_rules:
-        packed = F.broadcast(packed)
-    joined = df.join(packed, fields.col("dst_addr") == F.col("_r_dst"), "left")
+    small = sizes["e"] <= broadcast_max_endpoints and sizes["n"] <= broadcast_max_rules
+
+    def maybe_broadcast(t):
+        return F.broadcast(t) if small else t
 
     present = set(df.columns)
 
@@ -232,9 +238,35 @@ def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = Fl
                 & (r["ts_lo"].isNull() | (ts >= r["ts_lo"]))
                 & (r["ts_hi"].isNull() | (ts <= r["ts_hi"])))
 
-    best = F.array_max(F.transform(F.filter(F.col("_r_rules"), hit),
-                                   lambda r: F.struct(r["seq"].alias("seq"), r["label"].alias("label"))))
+    def best_of(col_name):
+        return F.array_max(F.transform(
+            F.filter(F.col(col_name), hit),
+            lambda r: F.struct(r["seq"].alias("seq"), r["label"].alias("label"))))
+
+    if time_bucket_us is None:
+        packed = rules_df.groupBy(F.col("dst_addr").alias("_r_dst")) \
+                         .agg(F.collect_list(rule_struct).alias("_r_rules"))
+        joined = df.join(maybe_broadcast(packed), fields.col("dst_addr") == F.col("_r_dst"), "left")
+        best = best_of("_r_rules")
+        drop = ["_r_dst", "_r_rules"]
+    else:
+        w = int(time_bucket_us)
+        closed = F.col("ts_lo").isNotNull() & F.col("ts_hi").isNotNull()
+        timed = (rules_df.filter(closed)
+                 .withColumn("_r_tb", F.explode(F.sequence(F.floor(F.col("ts_lo") / w),
+                                                           F.floor(F.col("ts_hi") / w))))
+                 .groupBy(F.col("dst_addr").alias("_r_dst"), "_r_tb")
+                 .agg(F.collect_list(rule_struct).alias("_r_timed")))
+        untimed = (rules_df.filter(~closed)
+                   .groupBy(F.col("dst_addr").alias("_u_dst"))
+                   .agg(F.collect_list(rule_struct).alias("_r_open")))
+        flows = df.withColumn("_f_tb", F.floor(ts / w))
+        joined = (flows.join(maybe_broadcast(timed),
+                             (fields.col("dst_addr") == F.col("_r_dst"))
+                             & (F.col("_f_tb") == F.col("_r_tb")), "left")
+                  .join(maybe_broadcast(untimed), fields.col("dst_addr") == F.col("_u_dst"), "left"))
+        best = F.greatest(best_of("_r_timed"), best_of("_r_open"))
+        drop = ["_f_tb", "_r_dst", "_r_tb", "_r_timed", "_u_dst", "_r_open"]
     current = fields.col("label")
     fill = F.when(current == F.lit(sentinel), F.lit(default)).otherwise(current)
-    return (joined.withColumn(fields.label, F.coalesce(best["label"], fill))
-            .drop("_r_dst", "_r_rules"))
+    return joined.withColumn(fields.label, F.coalesce(best["label"], fill)).drop(*drop)

@@ -234,3 +234,14 @@ def stream_rule_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_rule_label"] = stream_rule_label
 ORACLE["stream_rule_label"] = _RULE_LABEL_SQL
+
+
+def rule_label_join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join form with rules packed per (endpoint, day) bucket."""
+    ev = event_flows(spark, sf_dir)
+    rules = rules_frame(spark, EVENT_RULES)
+    return label_flows_join(ev, rules, time_bucket_us=86_400_000_000).select("event_id", "label")
+
+
+QUERIES["rule_label_join_bucketed"] = rule_label_join_bucketed
+ORACLE["rule_label_join_bucketed"] = ORACLE["rule_label_join"]

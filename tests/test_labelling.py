@@ -90,6 +90,11 @@ def test_join_form_equals_case_form(spark):
     a = {r["id"]: r["label"] for r in label_flows(df, rules).collect()}
     b = {r["id"]: r["label"] for r in label_flows_join(df, rules_frame(spark, rules)).collect()}
     assert a == b
+    rules_open = rules + [Rule("open", dst_addr="b", src_addr="s2"), Rule("late", dst_addr="a", ts_lo=90)]
+    a2 = {r["id"]: r["label"] for r in label_flows(df, rules_open).collect()}
+    c = {r["id"]: r["label"] for r in
+         label_flows_join(df, rules_frame(spark, rules_open), time_bucket_us=7).collect()}
+    assert a2 == c
 
 
 def test_join_form_needs_endpoint(spark):
