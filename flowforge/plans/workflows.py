@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowforge.operators import classifiers as C
-from flowforge.operators.cic_rules import CAPTURE_DAYS
+from flowforge.operators.capture_rules import CAPTURE_DAYS
 from pyspark.sql import types as T
 
 from flowforge.operators.cleaning import validate_labels
@@ -80,19 +80,19 @@ def clean_flows(df: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 def build_dataset(spark: SparkSession, paths: Sequence[str], dataset: str,
                   output: str | None = None, seed: int = 0):
-    """K2 (``cic-ids2017``: original layout, renamed by position, labels mapped
-    to canonical names) or K3 (``lycos-ids2017``: generated layout).
+    """K2 (``original``: original layout, renamed by position, labels mapped
+    to canonical names) or K3 (``generated``: generated layout).
 
     Returns ``(split frame, split sizes, constant features)``; writes the sets
     partitioned by ``split`` when ``output`` is given.
     """
     wide_table_settings(spark)
-    if dataset == "cic-ids2017":
+    if dataset == "original":
         flows = read_flows(spark, paths, "original", with_file=False)
         flows = clean_flows(flows, ORIGINAL_CLASSES)
         flows = canonical_labels(flows, original_to_canonical())
         names = CANONICAL_CLASSES + ["Infiltration"]
-    elif dataset == "lycos-ids2017":
+    elif dataset == "generated":
         flows = read_flows(spark, paths, "generated", with_file=False)
         flows = clean_flows(flows, CANONICAL_CLASSES)
         names = CANONICAL_CLASSES

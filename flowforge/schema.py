@@ -85,13 +85,13 @@ ORIGINAL_CLASSES = [
 
 #: Columns removed before modelling, per dataset.
 MODEL_DROP_COLUMNS = {
-    "cic-ids2017": [
+    "original": [
         "flow_byte_per_s", "flow_pkt_per_s", "bwd_psh_flag", "bwd_urg_flag",
         "avg_fwd_byte_per_bulk", "avg_fwd_pkt_per_bulk", "avg_fwd_bulk_rate",
         "avg_bwd_byte_per_bulk", "avg_bwd_pkt_per_bulk", "avg_bwd_bulk_rate",
         "flow_id", "timestamp", "src_addr", "src_port", "dst_addr", "label",
     ],
-    "lycos-ids2017": [
+    "generated": [
         "flag_urg", "fwd_flag_urg", "bwd_flag_urg", "flow_id", "timestamp",
         "src_addr", "src_port", "dst_addr", "label",
     ],
@@ -100,10 +100,10 @@ MODEL_DROP_COLUMNS = {
 #: Per-class training percentages of the two dataset builds, class-id order.
 #: Cross-validation and test percentages are half of these.
 TRAIN_PERCENTAGES = {
-    "cic-ids2017": [9.6941, 18.6674, 37.3679, 32.8573, 34.544, 44.2445,
+    "original": [9.6941, 18.6674, 37.3679, 32.8573, 34.544, 44.2445,
                     48.9476, 25.2079, 45.4546, 50.00, 25.0806, 45.1228,
                     28.5715, 50.0000, 0],
-    "lycos-ids2017": [15.78565, 50.00000, 50.00000, 50.00000, 50.00000,
+    "generated": [15.78565, 50.00000, 50.00000, 50.00000, 50.00000,
                       50.00000, 50.00000, 50.00000, 50.00000, 49.63280,
                       50.00000, 50.00000, 50.00000, 49.31930],
 }
@@ -149,7 +149,7 @@ def original_to_canonical() -> dict[str, str]:
 
 def feature_columns(dataset: str) -> list[str]:
     """Model features of a dataset: every column minus its drop list."""
-    names = ORIGINAL_COLUMNS if dataset == "cic-ids2017" else GENERATED_COLUMNS
+    names = ORIGINAL_COLUMNS if dataset == "original" else GENERATED_COLUMNS
     if dataset not in MODEL_DROP_COLUMNS:
         raise ValueError(f"unknown dataset {dataset!r}")
     drop = set(MODEL_DROP_COLUMNS[dataset])

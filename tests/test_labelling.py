@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowforge.operators.cic_rules import CAPTURE_DAYS
+from flowforge.operators.capture_rules import CAPTURE_DAYS
 from flowforge.operators.labelling import (Drop, FlowFields, Rule, apply_drops, label_by_day,
                                            label_flows, label_flows_join, rules_frame)
 

@@ -29,8 +29,8 @@ GENERATED = {
 
 
 @pytest.mark.parametrize("dataset,golden,names", [
-    ("cic-ids2017", ORIGINAL, CANONICAL_CLASSES + ["Infiltration"]),
-    ("lycos-ids2017", GENERATED, CANONICAL_CLASSES),
+    ("original", ORIGINAL, CANONICAL_CLASSES + ["Infiltration"]),
+    ("generated", GENERATED, CANONICAL_CLASSES),
 ])
 def test_golden_cut_points(dataset, golden, names):
     pct = dict(zip(names, TRAIN_PERCENTAGES[dataset]))

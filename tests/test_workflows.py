@@ -42,7 +42,7 @@ def capture_dir(tmp_path_factory):
     for day, flows in days.items():
         rows = [_gen_row(rnd, fid, s, t, p, pr, ts, "NeedLabel") for fid, s, t, p, pr, ts in flows]
         rows.append([""] * len(GENERATED_COLUMNS))  # blank line of separators
-        _write_csv(os.path.join(d, f"{day}-WorkingHours.pcap_lycos.csv"), GENERATED_COLUMNS, rows)
+        _write_csv(os.path.join(d, f"{day}-WorkingHours.csv"), GENERATED_COLUMNS, rows)
     return str(d)
 
 
@@ -95,9 +95,9 @@ def test_build_original_dataset(spark, tmp_path):
     header = [f"Col {i}" for i in range(85)]
     src = tmp_path / "orig"
     src.mkdir()
-    _write_csv(src / "Wednesday-workingHours.pcap_ISCX.csv", header, rows)
-    split, sizes, const = build_dataset(spark, [str(src / "Wednesday-workingHours.pcap_ISCX.csv")],
-                                        "cic-ids2017", str(tmp_path / "sets" / "cic-ids2017"))
+    _write_csv(src / "Wednesday-original.csv", header, rows)
+    split, sizes, const = build_dataset(spark, [str(src / "Wednesday-original.csv")],
+                                        "original", str(tmp_path / "sets" / "original"))
     got = {(r["label"], r["split"]): r["count"] for r in sizes.collect()}
     # benign: 58 clean rows, 9.6941 % -> 5 train, 4.84705 % -> 2 cv / 2 test
     assert got[("benign", "train")] == int(58 * 9.6941 / 100)
@@ -105,7 +105,7 @@ def test_build_original_dataset(spark, tmp_path):
     assert not any(k[0] == "Infiltration" for k in got)
     assert split.columns[:3] == ORIGINAL_COLUMNS[:3]
     assert "prot" in {r["column"] for r in const.collect()}
-    sets = load_splits(spark, str(tmp_path / "sets"), "cic-ids2017")
+    sets = load_splits(spark, str(tmp_path / "sets"), "original")
     assert sets["train"].count() == sum(v for (l, s), v in got.items() if s == "train")
 
 
@@ -120,10 +120,10 @@ def test_build_generated_and_compare(spark, tmp_path):
             rows.append(r)
     src = tmp_path / "gen"
     src.mkdir()
-    _write_csv(src / "Friday-WorkingHours.pcap_lycos.csv", GENERATED_COLUMNS, rows)
-    build_dataset(spark, [str(src / "Friday-WorkingHours.pcap_lycos.csv")], "lycos-ids2017",
-                  str(tmp_path / "sets" / "lycos-ids2017"))
-    table = compare_classifiers(spark, str(tmp_path / "sets"), "lycos-ids2017",
+    _write_csv(src / "Friday-WorkingHours.csv", GENERATED_COLUMNS, rows)
+    build_dataset(spark, [str(src / "Friday-WorkingHours.csv")], "generated",
+                  str(tmp_path / "sets" / "generated"))
+    table = compare_classifiers(spark, str(tmp_path / "sets"), "generated",
                                 str(tmp_path / "metrics"), models=["LDA", "k-NN", "DT"])
     vals = {r["metric"]: r for r in table.collect()}
     assert set(vals) >= {"TP", "FP", "FN", "TN", "MCC", "Training time", "Prediction time"}
