@@ -48,9 +48,22 @@ def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
 # pyspark.ml estimators
 # ---------------------------------------------------------------------------
 
+#: Iterative estimators run one job per iteration (per tree level); below this
+#: many rows per partition the task launches cost more than the work.
+ROWS_PER_TRAIN_PARTITION = 100_000
+
+
 def ml_fit(est, train, label="label_idx", features="features"):
-    """Fit a ``pyspark.ml`` classifier on the feature-array frame (eager)."""
+    """Fit a ``pyspark.ml`` classifier on the feature-array frame (eager).
+
+    Small training sets are coalesced to ``ceil(n / ROWS_PER_TRAIN_PARTITION)``
+    partitions (never more than they have), so each optimiser iteration is a
+    few tasks; large ones keep their partitioning."""
     tr = _vectors(train, features).withColumn("_y", F.col(label).cast("double"))
+    parts = tr.rdd.getNumPartitions()
+    want = max(1, math.ceil(train.count() / ROWS_PER_TRAIN_PARTITION))
+    if want < parts:
+        tr = tr.coalesce(want)
     return est.setFeaturesCol("_vec").setLabelCol("_y").setPredictionCol("_pred").fit(tr)
 
 
