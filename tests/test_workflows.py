@@ -64,6 +64,12 @@ def test_label_capture_files(spark, capture_dir, tmp_path):
     assert ("wednesday", "heartbleed") not in counts
     assert counts[("thursday", "webattack_bruteforce")] == 1
     assert ("friday", "portscan") in counts
+    # one CSV folder per capture day (A5), with a header line
+    out = tmp_path / "out"
+    assert sorted(p.name for p in out.iterdir() if p.name.startswith("day=")) == [
+        "day=friday", "day=monday", "day=thursday", "day=tuesday", "day=wednesday"]
+    first_csv = next((out / "day=tuesday").glob("*.csv"))
+    assert first_csv.read_text(encoding="ISO-8859-1").startswith("flow_id,")
     # a blank line keeps a missing label (left out of the counts) except on
     # Monday, where every row is set to benign
     assert counts[("tuesday", "benign")] == 1
