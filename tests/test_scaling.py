@@ -92,3 +92,24 @@ def test_exact_quartiles_with_hot_value_and_narrowing(spark, max_bracket):
     for c, arr in (("x", x), ("y", y), ("z", z)):
         assert st[c]["q1"] == pytest.approx(np.percentile(arr, 25), abs=1e-12)
         assert st[c]["q3"] == pytest.approx(np.percentile(arr, 75), abs=1e-12)
+
+
+def test_label_index_fitted_on_train_and_inverse(spark):
+    from flowforge.operators.scaling import apply_label_index, fit_label_index, index_to_label, one_hot
+    train = spark.createDataFrame([("dos",), ("benign",), ("bot",), ("benign",)], "label string")
+    test = spark.createDataFrame([("bot",), ("dos",)], "label string")
+    model = fit_label_index(train)
+    assert list(model.labels) == ["benign", "bot", "dos"]
+    idx = apply_label_index(model, test)
+    assert [r["label_idx"] for r in idx.collect()] == [1, 2]
+    back = index_to_label(model, idx, "label_idx", "name")
+    assert [r["name"] for r in back.collect()] == ["bot", "dos"]
+    oh = one_hot(idx, "label_idx", 3).collect()
+    assert [(r["class_0"], r["class_1"], r["class_2"]) for r in oh] == [(0, 1, 0), (0, 0, 1)]
+
+
+def test_quantize_global(spark):
+    df = spark.createDataFrame([(-1.0, 0.0), (1.0, 0.5)], "a double, b double")
+    model = Normalizer(per_column=False).fit(df, ["a", "b"])
+    out = quantize(df, ["a", "b"], model, per_column=False).collect()
+    assert [(r["a"], r["b"]) for r in out] == [(-127, 0), (127, 63)]
