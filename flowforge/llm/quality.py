@@ -52,42 +52,48 @@ def _norm_line(col: str) -> str:
     return (f"regexp_replace(regexp_replace({lower}, '{_TRIM}', ''), '{_SPLIT}', ' ')")
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for the value, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _repeat_words(words: str) -> str:
+    """SQL: words in three-word windows that occur twice or more in ``words``."""
+    # low bits for the position, the rest for the hash of the window
+    keys = ("sort_array(transform(if(size(w) < 3, cast(array() as array<bigint>), sequence(0L, size(w) - 3L)), i ->"
+            " shiftleft(xxhash64(w[int(i)], w[int(i) + 1], w[int(i) + 2]), k) | i))")
+    # neighbours with one hash are candidates ...
+    cand = ("transform(filter(keys, (x, j) ->"
+            " coalesce(shiftright(x, k) = shiftright(get(keys, j - 1), k), false)"
+            " or coalesce(shiftright(x, k) = shiftright(get(keys, j + 1), k), false)),"
+            " x -> x & (shiftleft(1L, k) - 1))")
+    # ... and are compared as text
+    same = ("sort_array(transform(cand, p -> struct(concat_ws(' ', w[int(p)],"
+            " w[int(p) + 1], w[int(p) + 2]) as t, p as p)))")
+    at = ("sort_array(transform(filter(same, (x, j) ->"
+          " coalesce(x.t = get(same, j - 1).t, false)"
+          " or coalesce(x.t = get(same, j + 1).t, false)), x -> x.p))")
+    covered = (f"aggregate({at}, struct(-3L as at, 0L as n), (a, p) ->"
+               " struct(p as at, a.n + least(3L, p - a.at) as n)).n")
+    return _let("w", words, _let("k", "cast(length(bin(size(w))) as int)", _let(
+        "keys", keys, _let("cand", cand, _let("same", same, covered)))))
+
+
 def word_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
     d = (docs.withColumn("_qr_text", F.coalesce(F.col(text), F.lit("")))
          .withColumn("_qr_w", F.expr(_words("_qr_text")))
-         .withColumn("_qr_n", F.size("_qr_w").cast("long"))
          .withColumn("_qr_lines", F.expr(
              f"filter(split(_qr_text, '\\n'), l -> {_has_word('l')})")))
-    # low bits for the position, the rest for the hash of the window
-    d = (d.withColumn("_qr_k", F.expr("cast(length(bin(_qr_n)) as int)"))
-         .withColumn("_qr_keys", F.expr(
-             "sort_array(transform(if(_qr_n < 4, array(), sequence(0L, _qr_n - 3)), i ->"
-             " shiftleft(xxhash64(_qr_w[int(i)], _qr_w[int(i) + 1], _qr_w[int(i) + 2]), _qr_k) | i))"))
-         .withColumn("_qr_cand", F.expr(
-             "transform(filter(_qr_keys, (x, j) ->"
-             " coalesce(shiftright(x, _qr_k) = shiftright(get(_qr_keys, j - 1), _qr_k), false)"
-             " or coalesce(shiftright(x, _qr_k) = shiftright(get(_qr_keys, j + 1), _qr_k), false)),"
-             " x -> x & (shiftleft(1L, _qr_k) - 1))"))
-         .withColumn("_qr_same", F.expr(
-             "sort_array(transform(_qr_cand, p -> struct(concat_ws(' ', _qr_w[int(p)],"
-             " _qr_w[int(p) + 1], _qr_w[int(p) + 2]) as t, p as p)))"))
-         .withColumn("_qr_pos", F.expr(
-             "sort_array(transform(filter(_qr_same, (x, j) ->"
-             " coalesce(x.t = get(_qr_same, j - 1).t, false)"
-             " or coalesce(x.t = get(_qr_same, j + 1).t, false)), x -> x.p))")))
-    return (d.withColumn("n_words", F.col("_qr_n"))
+    return (d.withColumn("n_words", F.size("_qr_w").cast("long"))
             .withColumn("word_chars", F.expr(
                 r"cast(length(translate(_qr_text, ' \t\n\u000b\u000c\r', '')) as bigint)"))
             .withColumn("n_symbols", F.expr(
                 f"cast(length(_qr_text) - length(translate(_qr_text, '{SYMBOLS}', '')) as bigint)"))
             .withColumn("n_dup_lines", F.expr(
                 "cast(size(_qr_lines) - size(array_distinct(_qr_lines)) as bigint)"))
-            .withColumn("n_repeat_words", F.expr(
-                "aggregate(_qr_pos, struct(-3L as at, 0L as n), (a, p) ->"
-                " struct(p as at, a.n + least(3L, p - a.at) as n)).n"))
-            .drop("_qr_w", "_qr_n", "_qr_lines", "_qr_k", "_qr_keys", "_qr_cand", "_qr_same",
-                  "_qr_pos", "_qr_text"))
+            .withColumn("n_repeat_words", F.expr(_repeat_words("_qr_w")))
+            .drop("_qr_w", "_qr_lines", "_qr_text"))
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
