@@ -24,7 +24,7 @@ _ONE = np.uint64(1)
 
 
 def in_batches(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BYTES,
-               carry: list[str] | None = None) -> tuple[DataFrame, int]:
+               carry: list[str] | None = None, deal: bool = True) -> tuple[DataFrame, int]:
     """((batch, id, text, carried columns) dealt by batch, bytes of all texts)."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
@@ -32,7 +32,7 @@ def in_batches(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH
     key = F.xxhash64(ident, F.when(ident.isNull(), F.col(text)))
     out = docs.select(F.pmod(key, F.lit(n)).cast("long").alias("batch"), ident.alias("id"),
                       F.col(text).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry or []])
-    return out.repartition(shuffle_width(docs.sparkSession), "batch"), total
+    return (out.repartition(shuffle_width(docs.sparkSession), "batch") if deal else out), total
 
 
 def sorted_rows(t: pa.Table) -> tuple[list, list[bytes], list[int]]:
@@ -44,6 +44,43 @@ def sorted_rows(t: pa.Table) -> tuple[list, list[bytes], list[int]]:
     return [ids[i] for i in order], [texts[i] for i in order], order
 
 
+def in_packed_batches(docs: DataFrame, doc_id: str, text: str,
+                      batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
+    """((batch, rows binary) dealt by batch, bytes of all texts): the documents of
+    one task and batch travel in one compressed string."""
+    plain, total = in_batches(docs, doc_id, text, batch_bytes, deal=False)
+
+    def run(batches):
+        for b in batches:
+            names = b.column("batch").to_numpy()
+            ids = b.column("id").fill_null(0).to_numpy()
+            known = b.column("id").is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+            texts = b.column("text").cast(pa.large_binary())
+            out_b, out = [], []
+            for name, rows in by_bucket(names):
+                own = [x or b"" for x in texts.take(pa.array(rows)).to_pylist()]
+                out_b.append(name)
+                out.append(pack(ids[rows], known[rows], np.fromiter(map(len, own), np.int64, len(own)),
+                                b"".join(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out, pa.binary())],
+                                             names=["batch", "rows"])
+
+    packed = plain.mapInArrow(run, "batch long, rows binary")
+    return packed.repartition(shuffle_width(docs.sparkSession), "batch"), total
+
+
+def opened_rows(t: pa.Table) -> tuple[list, list[bytes]]:
+    """Ids and texts of a packed batch, in the order of ``sorted_rows``."""
+    ids, texts = [], []
+    for blob in t.column("rows").to_pylist():
+        i, known, n, text = unpack(blob, np.int64, np.uint8, np.int64, None)
+        ends = np.cumsum(n).tolist()
+        ids += [x if k else None for x, k in zip(i.tolist(), known.tolist())]
+        texts += [text[a:e] for a, e in zip([0] + ends[:-1], ends)]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    return [ids[i] for i in order], [texts[i] for i in order]
+
+
 # ------------------------------------------------------------------- hashes
 
 def mix(x: np.ndarray) -> np.ndarray:

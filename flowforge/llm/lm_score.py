@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.batches import blob_table, in_batches, mix, pack, prefix_sums, sorted_rows, span_hash, unpack
+from flowforge.llm.batches import (blob_table, in_packed_batches, mix, opened_rows, pack, prefix_sums, span_hash,
+                                   unpack)
 from flowforge.llm.common import materialize
 from flowforge.llm.substrings import Words
 
@@ -115,10 +116,10 @@ def _send(level: int, n_buckets: int):
                          "grams": pa.array(out_g, pa.binary()), "counts": pa.array(out_c, pa.binary())})
 
     def first(key, docs):
-        return rows(key[0].as_py(), sorted_rows(docs)[1], [])
+        return rows(key[0].as_py(), opened_rows(docs)[1], [])
 
     def later(key, docs, answers):
-        return rows(key[0].as_py(), sorted_rows(docs)[1], _collect(answers))
+        return rows(key[0].as_py(), opened_rows(docs)[1], _collect(answers))
 
     return first if level == 1 else later
 
@@ -139,7 +140,7 @@ def _add_up(key, t):
 
 def _score(order: int, alpha: float):
     def run(key, docs, answers):
-        ids, texts, _ = sorted_rows(docs)
+        ids, texts = opened_rows(docs)
         totals = _collect(answers)
         lv = Levels(texts, totals, len(totals))
         n = len(lv.doc)
@@ -166,7 +167,7 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    alpha: float = ALPHA, batch_bytes: int = BATCH) -> DataFrame:
     """Per input row: doc_id, n_tokens, log_score (natural log of the product),
     mean_log_score, n_top (words scored with the full context), n_single."""
-    batched, total = in_batches(docs, doc_id, text, batch_bytes)
+    batched, total = in_packed_batches(docs, doc_id, text, batch_bytes)
     n_buckets = max(1, math.ceil(total / 7 / BUCKET_GRAMS))
     by_batch = batched.groupBy("batch")
     sent_schema = "part long, batch long, bucket long, grams binary, counts binary"
