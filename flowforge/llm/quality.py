@@ -15,8 +15,8 @@ Method
    than ``min_kept_share`` of its words.
 
 Only ``(host, document, line hash, words)`` rows are shuffled, pre-aggregated;
-the table of frequent lines holds at most ``lines / limit`` rows and joins as
-Spark sizes it at run time.
+the table of frequent lines holds at most ``lines / limit`` rows, is counted, and
+is broadcast up to ``broadcast_rows`` rows, else joined by shuffle.
 
 Defined results: a null or empty text has no words (base rule fails, not
 kept); a null host is a host of its own; rows with the same id and text count
@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowforge.llm.common import materialize
+
 SYMBOLS = "#*$%&|<>"
 _SPLIT = r"[\\x20\\x09-\\x0D]+"
 _TRIM = r"^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
@@ -97,21 +99,19 @@ def word_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per (host, document, line hash): words in all its occurrences."""
+    """One row per line with a word: host, document key and id, line hash, words."""
     words = _words("line")
     return (docs.select("_qr_key", F.col(doc_id).alias("_qr_id"), F.col(host).alias("_qr_host"),
                         F.explode(F.split(F.col(text), "\n")).alias("line"))
             .filter(F.expr(_has_word("line")))
             .select("_qr_host", "_qr_key", "_qr_id", F.expr(f"xxhash64({_norm_line('line')})").alias("_qr_h"),
-                    F.expr(f"size({words})").cast("long").alias("_qr_words"))
-            .groupBy("_qr_host", "_qr_key", "_qr_h")
-            .agg(F.min("_qr_id").alias("_qr_id"), F.sum("_qr_words").alias("_qr_words")))
+                    F.expr(f"size({words})").cast("long").alias("_qr_words")))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
                   min_line_docs: int = 50, line_share: float = 0.05,
                   min_kept_share: float = 0.3, min_words: int = 50,
-                  max_repeat_share: int = 50) -> DataFrame:
+                  max_repeat_share: int = 50, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with the columns of ``RESULT``.
 
     A line is frequent on a host when more than ``max(min_line_docs,
@@ -121,7 +121,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     d = d.withColumn("_qr_key", F.xxhash64(
         F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text)), F.lit(1)))
     lines = document_lines(d, doc_id, text, host)
-    counts = (lines.groupBy("_qr_host", "_qr_h")
+    counts = (lines.groupBy("_qr_host", "_qr_key", "_qr_h").agg(F.min("_qr_id").alias("_qr_id"))
+              .groupBy("_qr_host", "_qr_h")
               .agg(F.count(F.lit(1)).alias("_qr_docs"), F.min("_qr_id").alias("_qr_first"))
               .filter(F.col("_qr_docs") > min_line_docs))
     hosts = (d.groupBy(F.col(host).alias("_qr_host2"), "_qr_key").agg(F.lit(1).alias("one"))
@@ -129,6 +130,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     frequent = (counts.join(hosts, F.col("_qr_host").eqNullSafe(F.col("_qr_host2")))
                 .filter(F.col("_qr_docs") > F.col("_qr_all") * F.lit(float(line_share)))
                 .select(F.col("_qr_host").alias("_qr_fhost"), F.col("_qr_h").alias("_qr_fh"), "_qr_first"))
+    frequent = materialize(frequent)
+    if frequent.count() <= broadcast_rows:  # then the lines need no shuffle to meet them
+        frequent = F.broadcast(frequent)
     cut = (lines.join(frequent, F.col("_qr_host").eqNullSafe(F.col("_qr_fhost"))
                       & (F.col("_qr_h") == F.col("_qr_fh")))
            .filter(F.col("_qr_id").isNull() | F.col("_qr_first").isNull()
