@@ -111,8 +111,12 @@ def order_min_hash(text: str, k: int = K, picks: int = PICKS, sketches: int = SK
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def as_bytes(entries: np.ndarray) -> bytes:
+    return entries.astype(">u4").tobytes()
+
+
 def as_hex(entries: np.ndarray) -> str:
-    return entries.astype(">u4").tobytes().hex()
+    return as_bytes(entries).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -155,15 +159,15 @@ def fingerprint_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str =
     the number of their range and done in a second step."""
     spark = docs.sparkSession
     ident = docs.schema[doc_id].dataType.simpleString()
-    schema = (f"kind string, part int, id {ident}, n_chars long, edited_sha256 string, fingerprint string,"
-              " edited_fingerprint string, near_edited double, near_next double, body string")
+    schema = (f"kind string, part int, id {ident}, n_chars long, edited_sha256 string, fingerprint binary,"
+              " edited_fingerprint binary, near_edited double, near_next double, body string")
 
     def done(i, t, fp, after, after_fp):
         import hashlib
         e = with_edited(t, after)
         efp = order_min_hash(e, **params)
         return ("row", None, i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(),
-                as_hex(fp), as_hex(efp), likeness(fp, efp), likeness(fp, after_fp), None)
+                as_bytes(fp), as_bytes(efp), likeness(fp, efp), likeness(fp, after_fp), None)
 
     def batch(rows, kinds):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
@@ -171,7 +175,7 @@ def fingerprint_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str =
                                                  "edited_fingerprint", "near_edited", "near_next", "body"])
 
     def column_types(id_type):
-        return [pa.string(), pa.int32(), id_type, pa.int64(), pa.string(), pa.string(), pa.string(),
+        return [pa.string(), pa.int32(), id_type, pa.int64(), pa.string(), pa.binary(), pa.binary(),
                 pa.float64(), pa.float64(), pa.string()]
 
     def run(batches):
@@ -217,4 +221,6 @@ def fingerprint_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str =
                   F.col("q") == F.col("qp"))
             .select("id", "body", "after"))
     return (rows.filter("kind = 'row'").unionByName(ends.mapInArrow(close, schema))
+            .withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+            .withColumn("edited_fingerprint", F.lower(F.hex("edited_fingerprint")))
             .withColumnRenamed("id", doc_id).drop("kind", "part", "body"))
