@@ -47,15 +47,10 @@ class ByteBpeEncoder:
 
     def __init__(self, name: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken"):
         import base64
-        import os
+        import json
         import re
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.full = Tokenizer.from_file(tokenizer_path(name))
-        self.full.no_truncation()
-        self.full.no_padding()
-        self.fast = None
+        self.name, self.full, self.fast = name, None, None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -63,12 +58,25 @@ class ByteBpeEncoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
                                           mergeable_ranks=table, special_tokens={})
-        special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        with open(tokenizer_path(name), encoding="utf-8") as f:
+            added = re.search(r'"added_tokens"\s*:\s*', text := f.read())
+        special = [t["content"] for t in json.JSONDecoder().raw_decode(text, added.end())[0]] if added else []
         self.other = re.compile("|".join(["[^\\x00-\\u024f]"] + [re.escape(s) for s in special]))
 
+    def _library(self):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        full = Tokenizer.from_file(tokenizer_path(self.name))
+        full.no_truncation()
+        full.no_padding()
+        return full
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not self.other.search(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        if self.full is None:
+            self.full = self._library()
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 

@@ -39,7 +39,7 @@ from flowforge.llm.batches import (blob_table, by_bucket, in_batches, mix, pack,
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 BUCKET_BYTES = 6 << 20
 
 
@@ -136,6 +136,7 @@ def _send(window: int, gram: int, n_buckets: int):
             text = b"\n".join(s.texts.take(pa.array(rows)).to_pylist())
             out_b.append(b)
             out.append(pack(rows.astype(np.int32), low[rows], high[rows], text))
+        pa.default_memory_pool().release_unused()
         return blob_table(bucket=(out_b, pa.int64()), batch=([key[0].as_py()] * len(out), pa.int64()),
                           strings=(out, pa.binary()))
     return run
@@ -209,11 +210,13 @@ def _answer(window: int):
         m = np.empty(len(order), np.int64)
         m[order] = least[group]
         use = np.flatnonzero(m < high[owner])
+        del words, flat, a, off, word, order, first, group
         out_b, out = [], []
         for k, rows in by_bucket(sender[owner[use]]):
             r = use[rows]
             out_b.append(batches[k])
             out.append(pack(entry[owner[r]], at[r].astype(np.int32), m[r]))
+        pa.default_memory_pool().release_unused()
         return blob_table(batch=(out_b, pa.int64()), answer=(out, pa.binary()))
     return run
 
