@@ -41,9 +41,11 @@ from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from flowforge.llm.common import tokenizer_path
 
@@ -388,9 +390,6 @@ class Decoder:
 def encode_documents(docs: DataFrame, text: str = "text", out: str = "input_ids",
                      tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """``docs`` with the ids of each whole text."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(tokenizer)
@@ -403,9 +402,6 @@ def encode_documents(docs: DataFrame, text: str = "text", out: str = "input_ids"
 def decode_documents(encoded: DataFrame, ids: str = "input_ids", out: str = "decoded",
                      tokenizer: str = "word_bpe_49k.json", joined: bool = True) -> DataFrame:
     """Text of each id list: as the library decodes the file, or as plain text."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(tokenizer)

@@ -25,9 +25,11 @@ fingerprints; likeness is the share of equal entries (0 to 1).
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from flowforge.llm.batches import mix
 from flowforge.llm.common import materialize, shuffle_width
@@ -132,9 +134,6 @@ def likeness_column(a: Column, b: Column, sketches: int = SKETCHES) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", **params) -> DataFrame:
     """``docs`` with the column ``out`` (hex string): the operator by itself."""
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
     @pandas_udf("string")
     def fp(s: pd.Series) -> pd.Series:
         return s.map(lambda t: as_hex(order_min_hash(t or "", **params)))
