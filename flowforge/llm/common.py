@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowforge.session import ensure_checkpoint_dir
+
 #: Word separators of every operator here: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,20 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; it must be set, because
-    only it is known to be shared by the driver and every executor."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
+    """The folder that ``spark.checkpoint.dir`` names (see ``ensure_checkpoint_dir``)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: cuts the lineage, survives the
     loss of executors and makes the rows the same on every later read."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,13 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from flowforge.session import get_session
-    s = get_session(master="local[4]", shuffle_partitions=4)
-    if s.conf.get("spark.checkpoint.dir", None) is None:
-        folder = str(tmp_path_factory.mktemp("shared"))
-        s.sparkContext.setCheckpointDir(folder)
-    return s
+    return get_session(master="local[4]", shuffle_partitions=4)
 
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, id string, batch long"

@@ -394,9 +394,13 @@ def test_pipeline_stages(spark, docs, none):
             Counter(r["doc_id"] for r in df.collect())
 
 
-def test_shared_folder_must_be_set(spark):
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
     from flowforge.llm.common import shared_folder
-    assert shared_folder(spark)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[3,2,1024]")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=sc))
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 11])
