@@ -48,22 +48,17 @@ def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
 # pyspark.ml estimators
 # ---------------------------------------------------------------------------
 
-#: Iterative estimators run one job per iteration (per tree level); below this
-#: many rows per partition the task launches cost more than the work.
-ROWS_PER_TRAIN_PARTITION = 100_000
+#: Training rows are dealt by a hash of their content into this many sorted
+#: partitions, so bagging and float sums do not depend on the input's layout or on
+#: the number of cores.  Raise it with the data; the model is a function of it.
+TRAIN_PARTITIONS = 8
 
 
-def ml_fit(est, train, label="label_idx", features="features"):
-    """Fit a ``pyspark.ml`` classifier on the feature-array frame (eager).
-
-    Small training sets are coalesced to ``ceil(n / ROWS_PER_TRAIN_PARTITION)``
-    partitions (never more than they have), so each optimiser iteration is a
-    few tasks; large ones keep their partitioning."""
+def ml_fit(est, train, label="label_idx", features="features", partitions: int = TRAIN_PARTITIONS):
+    """Fit a ``pyspark.ml`` classifier on the feature-array frame (eager)."""
     tr = _vectors(train, features).withColumn("_y", F.col(label).cast("double"))
-    parts = tr.rdd.getNumPartitions()
-    want = max(1, math.ceil(train.count() / ROWS_PER_TRAIN_PARTITION))
-    if want < parts:
-        tr = tr.coalesce(want)
+    tr = (tr.select("_vec", "_y", F.xxhash64(features, label).alias("_k"), F.col(features).alias("_x"))
+          .repartition(partitions, "_k").sortWithinPartitions("_k", "_y", "_x").select("_vec", "_y"))
     return est.setFeaturesCol("_vec").setLabelCol("_y").setPredictionCol("_pred").fit(tr)
 
 
@@ -125,18 +120,24 @@ def mlp(train, test, n_features, n_classes, label="label_idx", features="feature
 # ---------------------------------------------------------------------------
 
 def class_moments(train: DataFrame, label="label_idx", features="features", d=None) -> dict:
-    """Per class: n, sum (d), Gram matrix (d x d), summed over partitions.
+    """Per class: n, mean (d), centred scatter (d x d), summed over partitions.
 
-    Each partition reduces its rows to ``k*(1+d+d*d)`` numbers in pandas; the
+    All sums are taken about one training row, so a common offset of the features
+    does not cancel the digits of the scatter.  Each partition reduces its rows to ``k*(1+d+d*d)`` numbers in pandas; the
     partials are summed by ``groupBy(label, idx)`` (partial aggregation, no
     row-level shuffle).  Only the summed statistics are collected.
     """
+    first = train.select(features).first()
+    if first is None:
+        return {}
+    origin = np.asarray(first[0], dtype=np.float64)
+
     def partials(it):
         acc = {}
         for pdf in it:
             if pdf.empty:
                 continue
-            x_all = np.stack(pdf[features].to_numpy()).astype(np.float64)
+            x_all = np.stack(pdf[features].to_numpy()).astype(np.float64) - origin
             y_all = pdf[label].to_numpy()
             for cls in np.unique(y_all):
                 x = x_all[y_all == cls]
@@ -159,7 +160,8 @@ def class_moments(train: DataFrame, label="label_idx", features="features", d=No
     for cls, m in by_cls.items():
         arr = np.array([m[i] for i in range(len(m))])
         dd = int(round((-1 + math.sqrt(1 + 4 * (len(arr) - 1))) / 2))
-        out[cls] = (arr[0], arr[1:1 + dd], arr[1 + dd:].reshape(dd, dd))
+        n, total, gram = arr[0], arr[1:1 + dd], arr[1 + dd:].reshape(dd, dd)
+        out[cls] = (n, origin + total / n, gram - np.outer(total, total) / n)
     return out
 
 
@@ -169,57 +171,54 @@ class DiscriminantModel:
     kind: str
     params: dict
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        p = self.params
-        if self.kind == "lda":
-            return x @ p["w"] + p["b"]
-        out = np.empty((x.shape[0], len(self.classes)))
-        for j in range(len(self.classes)):
-            diff = x - p["mu"][j]
-            out[:, j] = -0.5 * np.einsum("ij,jk,ik->i", diff, p["inv"][j], diff) + p["const"][j]
-        return out
-
 
 def fit_lda(train, label="label_idx", features="features") -> DiscriminantModel:
     mom = class_moments(train, label, features)
     classes = np.array(sorted(mom))
     n_tot = sum(mom[c][0] for c in classes)
-    d = len(mom[classes[0]][1])
-    scatter = np.zeros((d, d))
-    mus = []
-    for c in classes:
-        n, s, g = mom[c]
-        mu = s / n
-        mus.append(mu)
-        scatter += g - n * np.outer(mu, mu)
-    cov = scatter / max(n_tot - len(classes), 1)
+    mus = np.array([mom[c][1] for c in classes])
+    cov = sum(mom[c][2] for c in classes) / max(n_tot - len(classes), 1)
     inv = np.linalg.pinv(cov)
-    mus = np.array(mus)
     priors = np.array([mom[c][0] / n_tot for c in classes])
+    center = priors @ mus  # scores are taken about it, so that large offsets keep their digits
+    mus = mus - center
     w = inv @ mus.T
     b = -0.5 * np.einsum("ij,jk,ik->i", mus, inv, mus) + np.log(priors)
-    return DiscriminantModel(classes, "lda", {"w": w, "b": b})
+    return DiscriminantModel(classes, "lda", {"center": center, "w": w, "b": b})
+
+
+#: Eigenvalues of a class covariance are at least this share of the mean
+#: eigenvalue of the pooled covariance.
+QDA_FLOOR = 1e-6
 
 
 def fit_qda(train, label="label_idx", features="features", reg_param=0.0) -> DiscriminantModel:
-    """Per-class covariance; classes with fewer rows than features are singular,
-    so the inverse and log-determinant are pseudo-inverse / pseudo-determinant."""
+    """Per-class covariance, always of full rank.
+
+    A class of fewer rows than it takes for full rank (``n <= d``) is shrunk to the
+    pooled covariance with weight ``d / (d + n)``; then eigenvalues are floored
+    at ``QDA_FLOOR``.  The same matrix gives the inverse and the determinant, so
+    a tiny class is neither infinitely likely nor left out."""
     mom = class_moments(train, label, features)
     classes = np.array(sorted(mom))
     n_tot = sum(mom[c][0] for c in classes)
+    d = len(mom[classes[0]][1])
+    pooled = sum(mom[c][2] for c in classes) / max(n_tot - len(classes), 1)
+    floor = max(QDA_FLOOR * float(np.trace(pooled)) / d, np.finfo(float).tiny)
     mus, invs, consts = [], [], []
     for c in classes:
-        n, s, g = mom[c]
-        mu = s / n
-        cov = (g - n * np.outer(mu, mu)) / max(n - 1, 1)
+        n, mu, scatter = mom[c]
+        cov = scatter / max(n - 1, 1)
+        if n <= d:
+            weight = d / (d + n)
+            cov = (1 - weight) * cov + weight * pooled
         if reg_param:
-            cov = (1 - reg_param) * cov + reg_param * np.eye(len(mu))
-        ev = np.linalg.eigvalsh(cov)
-        tol = ev.max() * len(mu) * np.finfo(float).eps if ev.size else 0
-        logdet = float(np.sum(np.log(ev[ev > tol]))) if np.any(ev > tol) else 0.0
+            cov = (1 - reg_param) * cov + reg_param * np.eye(d)
+        ev, vec = np.linalg.eigh(cov)
+        ev = np.maximum(ev, floor)
         mus.append(mu)
-        invs.append(np.linalg.pinv(cov, hermitian=True))
-        consts.append(-0.5 * logdet + math.log(n / n_tot))
+        invs.append((vec / ev) @ vec.T)
+        consts.append(-0.5 * float(np.sum(np.log(ev))) + math.log(n / n_tot))
     return DiscriminantModel(classes, "qda", {"mu": np.array(mus), "inv": np.array(invs),
                                               "const": np.array(consts)})
 
@@ -227,15 +226,22 @@ def fit_qda(train, label="label_idx", features="features", reg_param=0.0) -> Dis
 def predict_discriminant(model: DiscriminantModel, test: DataFrame, label="label_idx",
                          features="features", id_col="id") -> DataFrame:
     spark = test.sparkSession
-    bc = spark.sparkContext.broadcast(model)
+    # plain arrays and a local function: executors need no module of this package
+    bc = spark.sparkContext.broadcast((model.kind, model.classes, model.params))
 
     def score(it):
-        m = bc.value
+        kind, classes, p = bc.value
         for pdf in it:
             if pdf.empty:
                 continue
             x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            pred = m.classes[np.argmax(m.scores(x), axis=1)]
+            if kind == "lda":
+                scores = (x - p["center"]) @ p["w"] + p["b"]
+            else:
+                scores = np.stack([p["const"][j] - 0.5 * np.einsum("ij,jk,ik->i", x - p["mu"][j], p["inv"][j],
+                                                                   x - p["mu"][j]) for j in range(len(classes))],
+                                  axis=1)
+            pred = classes[np.argmax(scores, axis=1)]
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), label: pdf[label].to_numpy(),
                                 "prediction": pred.astype(np.int32)})
 
@@ -282,25 +288,29 @@ def knn_candidates(train: DataFrame, test: DataFrame, k: int = 5, label="label_i
         xx = (x * x).sum(1)
         tid = t_pdf["train_id"].to_numpy()
         lab = t_pdf["nb_label"].to_numpy()
-        m = min(len(x), k + 8)
+        kk = min(k, len(x))
         parts = []
         for s0 in range(0, len(q_all), 1024):  # bounded distance matrix per step
             q = q_all[s0:s0 + 1024]
-            # fast screen (Gram form), then exact distances for the screened few
-            approx = (q * q).sum(1)[:, None] + xx[None, :] - 2.0 * (q @ x.T)
-            cand = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(x) else \
-                np.tile(np.arange(len(x)), (len(q), 1))
-            diff = q[:, None, :] - x[cand]
-            exact = np.einsum("ijk,ijk->ij", diff, diff)
-            order = np.lexsort((tid[cand], exact), axis=1)[:, :k]
-            rows = np.arange(len(q))[:, None]
-            sel = cand[rows, order]
-            parts.append(pd.DataFrame({
-                "test_id": np.repeat(q_ids[s0:s0 + 1024], sel.shape[1]),
-                "train_id": tid[sel].ravel(),
-                "dist2": exact[rows, order].ravel(),
-                "nb_label": lab[sel].ravel().astype(np.int32),
-            }))
+            qq = (q * q).sum(1)
+            # fast screen (Gram form): keeps every row whose distance can be the k-th best or
+            # less, given the rounding of the screen; all ties stay in
+            approx = qq[:, None] + xx[None, :] - 2.0 * (q @ x.T)
+            slack = 16 * (x.shape[1] + 4) * np.finfo(float).eps * (qq + xx.max())
+            limit = np.partition(approx, kk - 1, axis=1)[:, kk - 1] + slack
+            for r0 in range(0, len(q), 64):  # then exact distances of the kept, ranked by (distance, id)
+                row, col = np.nonzero(approx[r0:r0 + 64] <= limit[r0:r0 + 64, None])
+                row += r0
+                exact = np.empty(len(row))
+                for p0 in range(0, len(row), 1 << 16):
+                    diff = q[row[p0:p0 + (1 << 16)]] - x[col[p0:p0 + (1 << 16)]]
+                    exact[p0:p0 + (1 << 16)] = np.einsum("ij,ij->i", diff, diff)
+                order = np.lexsort((tid[col], exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < kk
+                parts.append(pd.DataFrame({
+                    "test_id": q_ids[s0:s0 + 1024][row[best]], "train_id": tid[col[best]],
+                    "dist2": exact[best], "nb_label": lab[col[best]].astype(np.int32)}))
         return pd.concat(parts, ignore_index=True)
 
     cands = (te.groupBy("qb", "tb").cogroup(tr.groupBy("qb", "tb"))
@@ -324,16 +334,6 @@ def knn(train, test, k=5, label="label_idx", features="features", id_col="id",
 # Timing wrapper (J8)
 # ---------------------------------------------------------------------------
 
-def timed_predictions(name: str, fit_predict, *args, **kwargs):
-    """Run a fit+predict and materialise the predictions (Spark is lazy, so the
-    clock stops after an action).  Returns (predictions, seconds)."""
-    t0 = time.perf_counter()
-    pred = fit_predict(*args, **kwargs)
-    pred = pred.cache()
-    pred.count()
-    return pred, time.perf_counter() - t0
-
-
 def timed_fit_predict(fit, predict):
     """Time training and prediction separately (J8).
 

@@ -52,15 +52,20 @@ def _offsets(counts: DataFrame, group_cols: list[str], bucket_col: str) -> DataF
     return counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
 
 
-def _join_small(df: DataFrame, small: DataFrame, on: list[str], n_rows: int) -> DataFrame:
-    if n_rows <= BROADCAST_MAX_OFFSET_ROWS:
-        small = F.broadcast(small)
-    return df.join(small, on, "inner")
+def _join_small(df: DataFrame, small: DataFrame, on: list[str], n_rows: int | None) -> DataFrame:
+    """Null-safe join, so that a NULL group keeps its rows; broadcast only when the
+    number of rows is known and small."""
+    right = small.select(*[F.col(c).alias(f"_on_{c}") for c in on],
+                         *[c for c in small.columns if c not in on])
+    if n_rows is not None and n_rows <= BROADCAST_MAX_OFFSET_ROWS:
+        right = F.broadcast(right)
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(right[f"_on_{c}"]) for c in on])
+    return df.join(right, same, "inner").drop(*[f"_on_{c}" for c in on])
 
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[str],
               seed: int | str, *extra, target_rows_per_bucket: int = 2_000_000,
-              max_prefix: int = 4, group_counts: Mapping | None = None) -> DataFrame:
+              max_prefix: int = 32, group_counts: Mapping | None = None) -> DataFrame:
     """Add ``_h`` (order key) and ``_rank`` (1-based, per group, ordered by
     ``_h`` then the key columns).  Two-level, see module doc.
 
@@ -80,7 +85,7 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[str],
     hd = hd.withColumn("_b", F.substring("_h", 1, p))
     counts = hd.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(counts, group_cols, "_b").drop("_n")
-    n_off = (n_groups or 1) * (16 ** p)
+    n_off = None if n_groups is None else n_groups * (16 ** p)
     ranked = _join_small(hd, offsets, group_cols + ["_b"], n_off)
     w = Window.partitionBy(*group_cols, "_b").orderBy("_h", *key_cols)
     return ranked.withColumn("_rank", F.col("_off") + F.row_number().over(w)).drop("_b", "_off")

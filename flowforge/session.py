@@ -7,6 +7,7 @@ given.  ``get_session`` is for tests, benchmarks and scripts on one machine.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,17 +55,16 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is.  Only
-    when it is unset (tests, a laptop) is a scratch folder created here.
+    That setting is taken as it is.  Where it is unset, only a master of threads in
+    this one process (tests, a laptop) gets a folder of its own; on a cluster only a
+    folder that every executor shares will do, so a missing setting is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="flowforge-ckpt-")
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="flowforge-ckpt-"))
     return sc.getCheckpointDir()

@@ -3,6 +3,7 @@ pyspark.ml models above an accuracy floor on separable data."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowforge.operators import classifiers as C
 
@@ -89,3 +90,65 @@ def test_mlp_accuracy(data):
     train, test = data
     pred = C.mlp(train, test, n_features=4, n_classes=3, hidden=(16, 16), max_iter=100)
     assert _acc(pred) >= 0.9
+
+
+def test_qda_tiny_class_and_lda_offset(spark):
+    """Classes of 3,000, 2,000 and 5 rows, 74 features: the tiny class is neither
+    preferred nor ignored; a large common offset keeps the digits."""
+    from flowforge.operators.classifiers import lda, qda
+    r = np.random.default_rng(0)
+    x = [r.normal(m, 1.0, (n, 74)) for n, m in ((3000, 0.0), (2000, 1.0), (5, -3.0))]
+    rows = [(i, int(c), v.tolist()) for i, (c, v) in
+            enumerate((c, v) for c, part in enumerate(x) for v in part)]
+    df = spark.createDataFrame(rows, "id long, label_idx int, features array<double>").repartition(4)
+    got = qda(df, df).toPandas()
+    assert (got.label_idx == got.prediction).mean() >= 0.95
+    assert (got.prediction == 2).sum() <= 10
+    far = df.withColumn("features", F.expr("transform(features, v -> v + 1e8)"))
+    for model in (lda, qda):
+        got = model(far, far).toPandas()
+        assert (got.label_idx == got.prediction).mean() >= 0.95
+
+
+def test_knn_keeps_every_tie(spark):
+    from flowforge.operators.classifiers import knn_candidates
+    train = spark.createDataFrame([(i, int(i < 5), [1.0, 2.0]) for i in range(200)],
+                                  "id long, label_idx int, features array<double>")
+    test = spark.createDataFrame([(900, 0, [1.0, 2.5])], train.schema)
+    for block in (4096, 16):
+        got = knn_candidates(train, test, 5, block_rows=block).orderBy("rank").collect()
+        assert [r["train_id"] for r in got] == [0, 1, 2, 3, 4] and all(r["nb_label"] == 1 for r in got)
+
+
+def test_forest_does_not_depend_on_layout(spark):
+    from flowforge.operators.classifiers import random_forest
+    r = np.random.default_rng(1)
+    rows = [(i, int(i % 3), (r.normal(i % 3, 2, 6)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, label_idx int, features array<double>")
+    got = [sorted(map(tuple, random_forest(df.repartition(n), df, num_trees=5, max_depth=5).collect()))
+           for n in (1, 8, 17)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_null_group_and_outside_class_stay(spark):
+    from flowforge.operators.metrics import dense_confusion
+    from flowforge.operators.split import hash_rank
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "k long, g string")
+    assert sorted(r["_rank"] for r in hash_rank(df, ["g"], ["k"], 0).collect()) == [1, 1, 2]
+    c = spark.createDataFrame([(0, 0), (1, 5), (7, 1)], "label_idx int, prediction int")
+    cells = {(r[0], r[1]): r[2] for r in dense_confusion(c, 2).collect()}
+    assert sum(cells.values()) == 3 and cells[(7, 1)] == 1 and len(cells) == 16
+
+
+def test_short_lines_and_pruned_labels_fail(spark, tmp_path):
+    from flowforge.operators.cleaning import validate_labels
+    from flowforge.schema import FLOW_SCHEMA
+    from flowforge.sources.flows import read_flows
+    f = tmp_path / "short.csv"
+    n = len(FLOW_SCHEMA.fields)
+    f.write_text(",".join("h" * n) + "\n" + ",".join(["1"] * (n - 1)) + "\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        read_flows(spark, str(f)).collect()
+    bad = spark.createDataFrame([("x", 1)], "label string, v int")
+    with pytest.raises(Exception, match="unknown label"):
+        validate_labels(bad, ["benign"]).select("v").count()
