@@ -16,17 +16,18 @@ from flowforge.llm.simhash import keep_one_of_each
 from flowforge.llm.substrings import remove_repeated_windows
 
 
-def _with_text(df: DataFrame, new: str, columns: list[str]) -> DataFrame:
-    """``columns`` of df with the text ``new`` and its length."""
-    out = df.withColumn("text", F.col(new))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+def _documents(df: DataFrame, text: str, packed: str, columns: list[str]) -> DataFrame:
+    """The columns of documents: the new text and its length, all others as they were."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return df.select(*[new[c].alias(c) if c in new else F.col(c if c in ("doc_id", "source") else f"{packed}.{c}")
+                       for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines above the limits go from the others."""
-    return _with_text(quality_rules(docs).filter("kept"), "clean_text", docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    own = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+    return _documents(quality_rules(own).filter("kept"), "clean_text", "_rest", docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Words of passages that a document with a smaller id holds go."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = remove_repeated_windows(docs, window=13, carry=rest)
-    return _with_text(out, "kept_text", docs.columns)
+    if "source" in rest:
+        out = out.withColumn("source", F.col("carried.source"))
+    return _documents(out, "kept_text", "carried", docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

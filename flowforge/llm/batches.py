@@ -31,7 +31,7 @@ def in_batches(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH
     ident = F.col(doc_id).cast("long")
     key = F.xxhash64(ident, F.when(ident.isNull(), F.col(text)))
     out = docs.select(F.pmod(key, F.lit(n)).cast("long").alias("batch"), ident.alias("id"),
-                      F.col(text).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry or []])
+                      F.col(text).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     return (out.repartition(shuffle_width(docs.sparkSession), "batch") if deal else out), total
 
 

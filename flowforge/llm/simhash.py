@@ -355,9 +355,9 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             .groupBy("component_id", F.col("nfp")).agg(F.min("text_hash").alias("kh")))
     # components are told apart by their id, so by their smallest fingerprint where it is null
     keep = (keep.withColumn("null_fp", F.when(F.col("component_id").isNull(), F.col("nfp")))
-            .groupBy(F.col("component_id").alias("ki"), "null_fp").agg(F.min("kh").alias("kh"))
-            .select("ki", "kh").distinct())
+            .groupBy(F.col("component_id").alias("_sh_ki"), "null_fp").agg(F.min("kh").alias("_sh_kh"))
+            .select("_sh_ki", "_sh_kh").distinct())
     own = docs.withColumn("_sh_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     first = F.row_number().over(Window.partitionBy(doc_id, "_sh_h").orderBy(F.lit(1)))
-    return (own.join(keep, F.col(doc_id).eqNullSafe(F.col("ki")) & (F.col("_sh_h") == F.col("kh")))
+    return (own.join(keep, F.col(doc_id).eqNullSafe(F.col("_sh_ki")) & (F.col("_sh_h") == F.col("_sh_kh")))
             .withColumn("_sh_n", first).filter("_sh_n = 1").select(*docs.columns))

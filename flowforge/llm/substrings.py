@@ -254,19 +254,16 @@ def _remove(window: int, gram: int):
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
         out = blob_table(id=(ids, pa.int64()), n_words=(n_words, pa.int64()),
                          n_removed=(n_removed, pa.int64()), kept_text=(kept, pa.string()))
-        for c in docs.column_names[3:]:
-            out = out.append_column(c.removeprefix("carry_"), docs.column(c).take(pa.array(order, pa.int64())))
+        if "carried" in docs.column_names:
+            out = out.append_column("carried", docs.column("carried").take(pa.array(order, pa.int64())))
         return out
     return run
 
 
 def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                             window: int = 13, gram: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """One row per input row: (doc_id, n_words, n_removed, kept_text) and the
-    columns named in ``carry`` as they are."""
-    taken = {"id", doc_id, "n_words", "n_removed", "kept_text"} & set(carry or [])
-    if taken:
-        raise ValueError(f"these names are results: {sorted(taken)}")
+    """One row per input row: (doc_id, n_words, n_removed, kept_text), and with
+    ``carry`` a struct ``carried`` of those columns, as they are."""
     batched, total = in_batches(docs, doc_id, text, carry=carry)
     spark_buckets = max(1, math.ceil(total * 3 / BUCKET_BYTES))
     sent = batched.groupBy("batch").applyInArrow(
@@ -276,5 +273,5 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
         _remove(window, gram), T.StructType(
             [T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),
              T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-            + [docs.schema[c] for c in carry or []]))
+            + ([T.StructField("carried", T.StructType([docs.schema[c] for c in carry]))] if carry else [])))
     return out.withColumnRenamed("id", doc_id)

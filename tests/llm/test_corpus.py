@@ -156,7 +156,7 @@ def test_substrings(docs, rows, none):
                 cut[k:k + 13] = [True] * 13
         want[(i, len(w), sum(cut), b" ".join(x for x, c in zip(w, cut) if not c).decode(), src)] += 1
     got = remove_repeated_windows(docs, carry=["source"])
-    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text", "source").collect()) == want
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text", "carried.source").collect()) == want
     assert remove_repeated_windows(none).count() == 0
 
 
