@@ -1,13 +1,16 @@
 """Evaluation queries.  Orders: truth = status index (F=0 benign, O=1, P=2),
 prediction = a fixed function of the row.  Embeddings: class probabilities
-from ten squared, normalised components."""
+from all squared components, normalised."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowforge.operators.metrics import (binary_metrics as _binary_metrics, confusion as _confusion,
+from flowforge.operators.metrics import (argmax_prediction,
+                                         binary_metrics as _binary_metrics, confusion as _confusion,
                                          dense_confusion as _dense_confusion, metric_rows, metric_table,
                                          prob_metrics as _prob_metrics,
                                          simplified_confusion as _simplified_confusion,
@@ -73,13 +76,36 @@ def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_split_metrics(scored), METRIC_COLS)
 
 
+#: Class c of the probability queries owns the vector positions c, c + 10, ... (from 0).
+_CLASS_POSITIONS = [range(c, 64, 10) for c in range(10)]
+
+
+def _class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class probabilities from a whole vector: each class's share of its squared length."""
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("label").cast("int").alias("label_idx"),
+        F.transform("embedding", lambda x: x.cast("double") * x.cast("double")).alias("sq"))
+    mass = F.array(*[reduce(lambda a, b: a + b, [F.col("sq")[i] for i in at]) for at in _CLASS_POSITIONS])
+    e = e.withColumn("mass", mass)
+    total = F.aggregate("mass", F.lit(0.0), lambda acc, x: acc + x)
+    return e.withColumn("total", total).select(
+        "vec_id", "label_idx", F.transform("mass", lambda x: x / F.col("total")).alias("probability"))
+
+
 def prob_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    sq = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * x.cast("double"))
-    tot = F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x)
-    probs = F.transform(sq, lambda x: x / tot)
-    df = e.select(F.col("label").alias("label_idx"), probs.alias("probability"))
-    return _round(_prob_metrics(df, "probability", "label_idx"), ["loss", "accuracy"])
+    return _round(_prob_metrics(_class_probabilities(spark, sf_dir), "probability", "label_idx"),
+                  ["loss", "accuracy"])
+
+
+def prob_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction of every row from its probabilities."""
+    return _class_probabilities(spark, sf_dir).select(
+        "vec_id", "label_idx", argmax_prediction("probability").alias("prediction"))
+
+
+def prob_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion matrix from probabilities, all cells."""
+    return _dense_confusion(prob_predictions(spark, sf_dir), 10)
 
 
 QUERIES = {
@@ -90,8 +116,21 @@ QUERIES = {
     "metric_pivot": metric_pivot,
     "split_metrics": split_metrics,
     "prob_metrics": prob_metrics,
+    "prob_predictions": prob_predictions,
+    "prob_confusion": prob_confusion,
 }
 
+_MASS_SQL = "[" + ", ".join("+".join(f"sq[{i + 1}]" for i in at) for at in _CLASS_POSITIONS) + "]"
+_PROB_SQL = f"""
+mass AS (
+  SELECT vec_id, CAST(label AS INTEGER) AS label_idx, {_MASS_SQL} AS m
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS sq
+        FROM embeddings)),
+p AS (SELECT vec_id, label_idx, list_transform(m, lambda x: x / list_sum(m)) AS probability FROM mass),
+pred AS (SELECT vec_id, label_idx,
+                CAST(list_position(probability, list_max(probability)) - 1 AS INTEGER) AS prediction FROM p)
+"""
+
 _SCORED = """
 scored AS (
   SELECT o_orderkey, label_idx,
@@ -175,15 +214,18 @@ scored AS (
               ELSE label_idx END AS INTEGER) AS prediction
   FROM s2)
 """ + _bin_sql("prediction", "scored", "split"),
-    "prob_metrics": """
-WITH p AS (
-  SELECT label AS label_idx,
-         list_transform(sq, lambda x: x / list_sum(sq)) AS probability
-  FROM (SELECT label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS sq
-        FROM embeddings))
+    "prob_metrics": f"""
+WITH {_PROB_SQL}
 SELECT round(avg(-ln(greatest(probability[label_idx + 1], 1e-7))), 6) AS loss,
        round(avg(CAST(list_position(probability, list_max(probability)) - 1 = label_idx AS DOUBLE)), 6) AS accuracy,
        count(*) AS n
 FROM p
+""",
+    "prob_predictions": f"WITH {_PROB_SQL} SELECT vec_id, label_idx, prediction FROM pred",
+    "prob_confusion": f"""
+WITH {_PROB_SQL}
+SELECT CAST(t.range AS INTEGER) AS label_idx, CAST(q.range AS INTEGER) AS prediction,
+       (SELECT count(*) FROM pred WHERE pred.label_idx = t.range AND pred.prediction = q.range) AS n
+FROM range(10) t, range(10) q
 """,
 }

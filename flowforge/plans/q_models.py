@@ -37,6 +37,19 @@ def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.knn_candidates(train, test, k=5).select("test_id", "train_id", "rank")
 
 
+def knn_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours where equal rows abound: customers with two coarse features as train
+    rows, suppliers as test rows."""
+    def coarse(t: str, p: str) -> DataFrame:
+        return table(spark, sf_dir, t).select(
+            F.col(f"{p}_{'custkey' if p == 'c' else 'suppkey'}").cast("long").alias("id"),
+            F.pmod(F.col(f"{p}_nationkey"), F.lit(3)).cast("int").alias("label_idx"),
+            F.array(F.floor(F.col(f"{p}_acctbal") / 5000).cast("double"),
+                    F.pmod(F.col(f"{p}_nationkey"), F.lit(5)).cast("double")).alias("features"))
+    return C.knn_candidates(coarse("customer", "c"), coarse("supplier", "s"), k=5) \
+        .select("test_id", "train_id", "nb_label", "rank")
+
+
 def lda(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = embedding_splits(spark, sf_dir)
     return C.lda(train, test)
@@ -84,6 +97,7 @@ def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "knn": knn,
     "knn_neighbours": knn_neighbours,
+    "knn_ties": knn_ties,
     "lda": lda,
     "qda": qda,
     "svm_ovr": svm_ovr,
@@ -115,6 +129,16 @@ nb AS (
 
 ORACLE = {
     "knn_neighbours": f"WITH {_EMB_SPLIT} SELECT test_id, train_id, rank FROM nb WHERE rank <= 5",
+    "knn_ties": """
+WITH c AS (SELECT c_custkey AS id, CAST(c_nationkey % 3 AS INTEGER) AS nb_label,
+                  floor(c_acctbal / 5000) AS a, c_nationkey % 5 AS b FROM customer),
+s AS (SELECT s_suppkey AS id, floor(s_acctbal / 5000) AS a, s_nationkey % 5 AS b FROM supplier)
+SELECT test_id, train_id, nb_label, rank FROM (
+  SELECT s.id AS test_id, c.id AS train_id, c.nb_label,
+         row_number() OVER (PARTITION BY s.id
+                            ORDER BY (s.a - c.a) * (s.a - c.a) + (s.b - c.b) * (s.b - c.b), c.id) AS rank
+  FROM s, c) WHERE rank <= 5
+""",
     "knn": f"""
 WITH {_EMB_SPLIT},
 votes AS (SELECT test_id, nb_label, count(*) AS votes FROM nb WHERE rank <= 5 GROUP BY 1, 2),
