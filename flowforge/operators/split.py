@@ -5,11 +5,12 @@ rows for the same data and seed whatever the partitioning or input order, and
 the same order in Spark and in SQL.
 
 Scale: a plain ``row_number() OVER (PARTITION BY label ...)`` sends a whole
-class to one task, and one class may hold most rows.  Ranks here are
-two-level: rows are bucketed by a prefix of their order key, per-(class,
-bucket) counts give each bucket's offset (a small table), and
-``row_number`` runs inside (class, bucket) groups only.  The result equals the
-plain window, but the largest task holds about ``rows / 16**prefix`` rows.
+class to one task, and one class may hold most rows.  Splits, heads and subsamples
+need no ranks but only the order keys at a few cuts: those are searched by counting
+slim keys, and each row is then compared with them in place.  Where every row needs
+its rank (``hash_rank``), rows are bucketed by a prefix of their order key, counts
+per (class, bucket) give each bucket's offset, and ``row_number`` runs inside
+(class, bucket) only, equal to the plain window.
 """
 
 from __future__ import annotations
@@ -117,45 +118,147 @@ def split_cut_points(class_sizes: Mapping, percentages: Mapping) -> dict:
     return cuts
 
 
+#: Digits of an order string: an md5 and a 64-bit hash.
+ORDER_DIGITS = 48
+
+
+def _row_order(df: DataFrame, key_cols: Sequence[str], seed, *extra) -> Column:
+    """Order string of a row: ``md5(key|seed)``, then a hash of the whole row, so
+    that only rows alike in every column share one (but for hash collisions, which
+    the tie step handles)."""
+    whole = F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")
+    return F.concat(hash_key(list(key_cols), seed, *extra), whole)
+
+
+def _at_rank(counts: DataFrame, at: DataFrame, value: str) -> list:
+    """Of the counted values of a prefix, the one that holds each wanted rank:
+    ``(_g, _k, value, rows before it, rows of it)``."""
+    w = (Window.partitionBy("_g", "_p").orderBy(value)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    runs = (counts.withColumn("_s", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+            .join(F.broadcast(at), ["_g", "_p"])
+            .withColumn("_b", F.col("_before") + F.col("_s")))
+    return [tuple(r) for r in
+            runs.filter((F.col("_b") < F.col("_k")) & (F.col("_k") <= F.col("_b") + F.col("_n")))
+            .select("_g", "_k", value, "_b", "_n").collect()]
+
+
+def _cut_values(slim: DataFrame, group_type: str, ranks: Sequence[tuple],
+                rows_per_bucket: int) -> dict:
+    """Order strings at given ranks: ``(group, rank) -> (value, rows before, rows equal)``.
+
+    ``slim`` holds ``(_g, _o)`` (group, hexadecimal order string); ``ranks`` are as
+    few as the caller's classes or subsets.  Rows are counted by the next four digits
+    of ``_o`` within the prefixes that hold a wanted rank, until those hold few rows
+    or are whole order strings (at most ``ORDER_DIGITS / 4`` rounds); then only their
+    rows are grouped by value.  Every round is one aggregation with map-side combine;
+    one row per wanted rank reaches the driver.
+    """
+    spark = slim.sparkSession
+    schema = f"_g {group_type}, _k bigint, _p string, _before bigint"
+    state, digits = [(g, k, "", 0) for g, k in ranks], 0
+    while state:
+        at = spark.createDataFrame(state, schema)
+        inside = (slim.withColumn("_p", F.substring("_o", 1, digits))
+                  .join(F.broadcast(at.select("_g", "_p").distinct()), ["_g", "_p"], "left_semi"))
+        # how many rows the prefixes hold is known from the round before
+        if digits and (digits >= ORDER_DIGITS or largest <= rows_per_bucket):
+            counts = inside.groupBy("_g", "_p", "_o").agg(F.count(F.lit(1)).alias("_n"))
+            return {h[:2]: h[2:] for h in _at_rank(counts, at, "_o")}
+        digits += 4
+        counts = (inside.groupBy("_g", "_p", F.substring("_o", 1, digits).alias("_q"))
+                  .agg(F.count(F.lit(1)).alias("_n")))
+        hits = _at_rank(counts, at, "_q")
+        largest = max(h[4] for h in hits)
+        state = [h[:4] for h in hits]
+    return {}
+
+
+#: Copies of one repeated row that a task writes at a time.
+COPIES_PER_TASK = 100_000
+
+
+def _copies(tied: DataFrame, cols: Sequence[str], group: Sequence[str], order: Sequence[str],
+            before: str) -> DataFrame:
+    """Rows that share a cut value, with their rank ``_rank`` (1-based).
+
+    They are alike in every column but for a hash collision, so they are counted
+    rather than ranked, and written again from their count in pieces of
+    ``COPIES_PER_TASK``: a hot row does not fill one task.
+    """
+    n = tied.groupBy(*dict.fromkeys([*group, *cols, *order, before])).agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*group, *order).orderBy(*[F.asc_nulls_first(c) for c in cols])
+         .rowsBetween(Window.unboundedPreceding, -1))
+    pieces = (n.withColumn("_s", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+              .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1,
+                                                     F.lit(COPIES_PER_TASK).cast("long")))))
+    last = F.least(F.col("_n"), F.col("_i") + COPIES_PER_TASK) - 1
+    return (pieces.repartition("_i", *group)
+            .withColumn("_j", F.explode(F.sequence(F.col("_i"), last)))
+            .withColumn("_rank", F.col(before) + F.col("_s") + F.col("_j") + 1))
+
+
 def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str],
-                     percentages: Mapping, seed: int = 0, prefix_len: int = 4) -> DataFrame:
+                     percentages: Mapping, seed: int = 0,
+                     rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Exact per-class train / crossval / test split.
 
     Per class of ``n`` rows (ordered by ``md5(key|seed)``): the first
     ``int(n*p_train/100)`` rows are train, the next ``int(n*p_cv/100)`` crossval,
-    the next ``int(n*p_test/100)`` test; the rest and classes without a
-    percentage are left out.  A float percentage means cv = test = half of it.
+    the next ``int(n*p_test/100)`` test; the rest, classes without a percentage and
+    NULL labels are left out.  A float percentage means cv = test = half of it.
     Adds column ``split``.
 
-    Two passes over the data: (1) counts per (class, hash bucket) -- a small
-    table from which both the class sizes (cut points) and the bucket offsets
-    come; (2) ``row_number`` inside (class, bucket) plus the offset.  With
-    ``prefix_len`` hex digits there are ``16**prefix_len`` buckets per class, so
-    a class of a third of 10**12 rows ranks about 5 M rows per bucket.
+    No full row is shuffled.  Slim (class, order string) pairs are counted to find
+    the three cut values of each class; the split of a row then follows by comparing
+    its order string with them, in a projection.  Only where a cut falls between
+    rows alike in every column are those rows counted and written again.
     """
     pct = _pct_triplets(percentages)  # validates before any job runs
-    key_cols = list(key_cols)
     spark = df.sparkSession
-    hd = (df.withColumn("_h", hash_key(key_cols, seed))
-          .withColumn("_b", F.substring("_h", 1, prefix_len)))
-    counts = (hd.filter(F.col(label_col).isNotNull())
-              .groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))).cache()
-    sizes = {r[0]: r[1] for r in counts.groupBy(label_col).agg(F.sum("_n")).collect()}
-    cuts = split_cut_points(sizes, pct)
-    cut_df = spark.createDataFrame(
-        [(k, v[0], v[0] + v[1], v[0] + v[1] + v[2]) for k, v in cuts.items()],
-        f"{label_col} {df.schema[label_col].dataType.simpleString()}, _tr long, _cv long, _te long")
-    offsets = _offsets(counts, [label_col], "_b").drop("_n").join(F.broadcast(cut_df), label_col)
-    n_off = len(cuts) * (16 ** prefix_len)
-    ranked = _join_small(hd, offsets, [label_col, "_b"], n_off)
-    w = Window.partitionBy(label_col, "_b").orderBy("_h", *key_cols)
-    r = F.col("_off") + F.row_number().over(w)
-    split = (F.when(r <= F.col("_tr"), F.lit("train"))
-             .when(r <= F.col("_cv"), F.lit("crossval"))
-             .when(r <= F.col("_te"), F.lit("test")))
-    return (ranked.withColumn("split", split)
-            .filter(F.col("split").isNotNull())
-            .select(*df.columns, "split"))
+    wanted = df.filter(F.col(label_col).isin(*pct)) if pct else df.limit(0)
+    sizes = {r[0]: r["n"] for r in class_sizes(wanted, label_col).collect()}
+    cuts = {k: (v[0], v[0] + v[1], sum(v)) for k, v in split_cut_points(sizes, pct).items()}
+    label_type = df.schema[label_col].dataType.simpleString()
+    ordered = wanted.withColumn("_o", _row_order(df, key_cols, seed))
+    ranks = sorted({(g, k) for g, ks in cuts.items() for k in ks if k > 0}, key=str)
+    found = _cut_values(ordered.select(F.col(label_col).alias("_g"), "_o"), label_type, ranks,
+                        rows_per_bucket)
+    # a cut after the last of its equal rows takes `<=`; one between them is a tie
+    rows, ties = [], []
+    for g, ks in cuts.items():
+        values, split_values = [], set()
+        for k in ks:
+            v, b, n = found.get((g, k), ("", 0, 0))
+            values.append(v)
+            if k and k < b + n and v not in split_values:
+                split_values.add(v)
+                ties.append((g, v, b, *ks))
+        rows.append((g, *values, sorted(split_values)))
+    if not rows:
+        return df.limit(0).withColumn("split", F.lit(None).cast("string"))
+    marks = spark.createDataFrame(
+        rows, f"_g {label_type}, _tr string, _cv string, _te string, _ties array<string>")
+
+    def side(x, a, b, c):
+        return F.when(x <= a, "train").when(x <= b, "crossval").when(x <= c, "test")
+
+    marked = ordered.join(F.broadcast(marks), F.col(label_col) == F.col("_g"))
+    plain = (marked.filter(~F.array_contains("_ties", F.col("_o")))
+             .withColumn("split", side(F.col("_o"), F.col("_tr"), F.col("_cv"), F.col("_te")))
+             .filter(F.col("split").isNotNull()).select(*df.columns, "split"))
+    if not ties:
+        return plain
+    tie_df = spark.createDataFrame(
+        ties, f"_g {label_type}, _v string, _before bigint, _k1 bigint, _k2 bigint, _k3 bigint")
+    tied = ordered.join(F.broadcast(tie_df),
+                        (F.col(label_col) == F.col("_g")) & (F.col("_o") == F.col("_v")))
+    copies = _copies(tied.withColumn("_ks", F.struct("_k1", "_k2", "_k3")), df.columns,
+                     ["_g"], ["_v", "_ks"], "_before")
+    copies = (copies.withColumn("split", side(F.col("_rank"), F.col("_ks._k1"), F.col("_ks._k2"),
+                                              F.col("_ks._k3")))
+              .filter(F.col("split").isNotNull()).select(*df.columns, "split"))
+    return plain.unionByName(copies)
 
 
 def class_sizes(df: DataFrame, label_col: str) -> DataFrame:
@@ -169,90 +272,115 @@ def split_sizes(split_df: DataFrame, label_col: str = "label") -> DataFrame:
     return split_df.groupBy(label_col, "split").agg(F.count(F.lit(1)).alias("count"))
 
 
+#: Keys that one round of the head search compares every row with.
+HEAD_PIVOTS = 64
+
+
+def _head_cut(df: DataFrame, order: list[Column], k: int, n: int, rows_per_bucket: int):
+    """The order key at rank ``k`` of ``n`` rows: ``(key literal, rows before, rows equal)``.
+
+    Each round takes up to ``HEAD_PIVOTS`` random keys of the range that holds the
+    rank and counts its rows between them; the range left holds none of them, so it
+    shrinks every round, by about that factor.  The result does not depend on which
+    keys were drawn.
+    """
+    names = [f"_{i}" for i in range(len(order))]
+    key = F.struct(*[c.alias(a) for c, a in zip(order, names)])
+    keys = df.select(key.alias("_o"))
+    types = [f.dataType for f in keys.schema["_o"].dataType.fields]
+
+    def literal(row):
+        return F.struct(*[F.lit(row[a]).cast(t).alias(a) for a, t in zip(names, types)])
+
+    before = 0
+    while n > rows_per_bucket:
+        drawn = keys.orderBy(F.rand()).limit(HEAD_PIVOTS).distinct().orderBy("_o").collect()
+        pivots = [literal(r["_o"]) for r in drawn]
+        o = F.col("_o")
+        at = F.size(F.filter(F.array(*pivots), lambda p: p < o))
+        hit = F.exists(F.array(*pivots), lambda p: p == o)
+        counts = {(r["i"], r["e"]): r["n"] for r in
+                  keys.groupBy(at.alias("i"), hit.alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for i in range(len(pivots) + 1):
+            between, equal = counts.get((i, False), 0), counts.get((i, True), 0)
+            if k <= before + between:  # inside the open range below pivot i
+                if i:
+                    keys = keys.filter(o > pivots[i - 1])
+                if i < len(pivots):
+                    keys = keys.filter(o < pivots[i])
+                n = between
+                break
+            before += between
+            if k <= before + equal:
+                return pivots[i], before, equal
+            before += equal
+    w = Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    row = (keys.groupBy("_o").agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_b", before + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+           .filter((F.col("_b") < k) & (F.col("_b") + F.col("_n") >= k)).first())
+    return literal(row["_o"]), row["_b"], row["_n"]
+
+
 def head_percent(df: DataFrame, pct: float, order_cols: Sequence[str],
                  rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """First ``int(n * pct / 100)`` rows in ``order_cols`` order (missing last).
-
-    Distributed top-k: the first order column (numeric) is cut into
-    equal-depth buckets from approximate quantiles; whole buckets before the
-    cut are kept without sorting, and only the bucket the cut falls in is
-    ranked.  A cut bucket larger than ``rows_per_bucket`` is cut again
-    (recursively), and a bucket of one tied value is cut on the next order
-    column, so no task ranks more than about ``rows_per_bucket`` rows.
+    """First ``int(n * pct / 100)`` rows in ``order_cols`` order (NULL last, NaN before
+    it), for columns of any ordered type; equal keys are ordered by a hash of the
+    whole row.
+
+    The key at the cut is searched by counting slim keys; at most ``rows_per_bucket``
+    of them are ranked in one task.  The result is then a filter on the key: no full
+    row is shuffled, but for rows alike in every column that lie on the cut.
     """
-    order_cols = list(order_cols)
     n = df.count()
     k = int(n * float(pct) / 100)
     if k <= 0:
         return df.limit(0)
     if k >= n:
         return df
-    return _head_k(df, k, n, order_cols, rows_per_bucket, 0)
-
-
-def _rank_small(df: DataFrame, k: int, order_cols: list[str]) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(*[F.asc_nulls_last(c) for c in order_cols])
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(k)).drop("_rn")
-
-
-def _is_numeric(df: DataFrame, name: str) -> bool:
-    from pyspark.sql import types as T
-    return isinstance(df.schema[name].dataType, T.NumericType)
-
-
-def _head_k(df: DataFrame, k: int, n: int, order_cols: list[str], rows_per_bucket: int,
-            depth: int) -> DataFrame:
-    from pyspark.ml.feature import Bucketizer
-
-    first = order_cols[0]
-    if n <= rows_per_bucket or depth > 8 or not _is_numeric(df, first):
-        return _rank_small(df, k, order_cols)
-    n_buckets = max(2, min(10_000, n // rows_per_bucket + 1))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(first, probs, 1.0 / (4 * n_buckets))
-    splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
-    keyed = df.withColumn("_x", F.coalesce(F.col(first).cast("double"), F.lit(float("inf"))))
-    if len(splits) < 3:
-        bucketed = keyed.withColumn("_bk", F.lit(0.0))
-    else:
-        bucketed = Bucketizer(splits=splits, inputCol="_x", outputCol="_bk").transform(keyed)
-    counts = bucketed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).orderBy("_bk").collect()
-    before = 0
-    cut_bucket, cut_offset, cut_rows = None, 0, 0
-    for row in counts:
-        if before + row["_n"] >= k:
-            cut_bucket, cut_offset, cut_rows = row["_bk"], before, row["_n"]
-            break
-        before += row["_n"]
-    whole = bucketed.filter(F.col("_bk") < F.lit(cut_bucket)).drop("_x", "_bk")
-    edge_rows = bucketed.filter(F.col("_bk") == F.lit(cut_bucket)).drop("_x", "_bk")
-    k_edge = k - cut_offset
-    if cut_rows <= rows_per_bucket:
-        edge = _rank_small(edge_rows, k_edge, order_cols)
-    else:
-        lo_hi = edge_rows.agg(F.min(first).alias("lo"), F.max(first).alias("hi"),
-                              F.count(F.col(first)).alias("nn")).first()
-        if lo_hi["nn"] == cut_rows and lo_hi["lo"] == lo_hi["hi"]:
-            # one tied value: its rows are ordered by the remaining columns
-            rest = order_cols[1:]
-            edge = (_head_k(edge_rows, k_edge, cut_rows, rest, rows_per_bucket, depth + 1)
-                    if rest else edge_rows.limit(k_edge))
-        else:
-            edge = _head_k(edge_rows, k_edge, cut_rows, order_cols, rows_per_bucket, depth + 1)
-    return whole.unionByName(edge)
+    order = [x for c in order_cols for x in (F.col(c).isNull(), F.col(c))]
+    order.append(F.xxhash64(*df.columns))
+    cut, before, equal = _head_cut(df, order, k, n, rows_per_bucket)
+    key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])
+    if k == before + equal:
+        return df.filter(key <= cut)
+    tied = (df.filter(key == cut).withColumn("_one", F.lit(1))
+            .withColumn("_before", F.lit(before).cast("long")))
+    copies = _copies(tied, df.columns, ["_one"], [], "_before")
+    return df.filter(key < cut).unionByName(
+        copies.filter(F.col("_rank") <= F.lit(k)).select(*df.columns))
 
 
 def subsamples(df: DataFrame, n_subset: int, key_cols: Sequence[str], seed: int = 0,
-               **rank_opts) -> DataFrame:
+               rows_per_bucket: int = 1_000_000) -> DataFrame:
     """``n_subset`` subsets of ``ceil(n / n_subset)`` rows, each the head of its
     own permutation (``md5(key|seed|subset)``).  A row appears at most once per
-    subset; subsets overlap.  Adds ``subset_id`` (1-based)."""
+    subset; subsets overlap.  Adds ``subset_id`` (1-based).
+
+    The cut value of each subset is searched by counting, then every row is listed
+    for the subsets whose cut it does not exceed: no full row is shuffled.
+    """
     n = df.count()
     size = math.ceil(n / n_subset)
-    rep = df.withColumn("subset_id", F.explode(F.sequence(F.lit(1), F.lit(n_subset))))
-    ranked = hash_rank(rep, ["subset_id"], key_cols, seed, F.col("subset_id"),
-                       group_counts={(i,): n for i in range(1, n_subset + 1)}, **rank_opts)
-    return ranked.filter(F.col("_rank") <= F.lit(size)).drop("_h", "_rank")
+    if not n:
+        return df.withColumn("subset_id", F.lit(0)).limit(0)
+    orders = {i: _row_order(df, key_cols, seed, F.lit(i)) for i in range(1, n_subset + 1)}
+    slim = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_g"), o.alias("_o")) for i, o in orders.items()])).alias("s")).select("s.*")
+    found = _cut_values(slim, "int", [(i, size) for i in orders], rows_per_bucket)
+    cuts = {i: found[(i, size)] for i in orders}
+    in_subset, out = [], None
+    for i, (v, before, equal) in cuts.items():
+        whole = size == before + equal
+        in_subset.append(F.when(orders[i] <= v if whole else orders[i] < v, F.lit(i)))
+        if not whole:
+            tied = (df.filter(orders[i] == v).withColumn("_one", F.lit(i))
+                    .withColumn("_before", F.lit(before).cast("long")))
+            copies = (_copies(tied, df.columns, ["_one"], [], "_before")
+                      .filter(F.col("_rank") <= F.lit(size))
+                      .select(*df.columns, F.col("_one").alias("subset_id")))
+            out = copies if out is None else out.unionByName(copies)
+    plain = df.withColumn("subset_id", F.explode(F.array_compact(F.array(*in_subset))))
+    return plain if out is None else plain.unionByName(out)
 
 
 def ordered_by_hash(df: DataFrame, key_cols: Sequence[str], seed: int = 1) -> DataFrame:

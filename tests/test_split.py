@@ -65,7 +65,7 @@ def test_two_level_rank_equals_plain_window(spark):
 def test_split_exact_disjoint_and_partition_independent(spark):
     pct = {"big": 20.0, "mid": 50.0, "small": (10.0, 10.0, 80.0)}
     a = stratified_split(_frame(spark, parts=1), "label", ["id"], pct, seed=3)
-    b = stratified_split(_frame(spark, parts=17), "label", ["id"], pct, seed=3, prefix_len=1)
+    b = stratified_split(_frame(spark, parts=17), "label", ["id"], pct, seed=3, rows_per_bucket=20)
     ra = {(r["id"], r["split"]) for r in a.collect()}
     rb = {(r["id"], r["split"]) for r in b.collect()}
     assert ra == rb
@@ -118,3 +118,53 @@ def test_head_percent_recursive_and_ties(spark):
     out = head_percent(df, 40.0, ["k", "k2"], rows_per_bucket=60)
     want = sorted((r["k"], r["k2"]) for r in df.orderBy("k", "k2").limit(600).collect())
     assert sorted((r["k"], r["k2"]) for r in out.collect()) == want
+
+
+def test_head_percent_text_nulls_and_nan(spark):
+    import math
+    rows = [(None if i % 7 == 0 else f"k{(i * 37) % 90:03d}", float("nan") if i % 5 == 0 else float(i % 13), i)
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, x double, v long").repartition(6)
+    key = lambda r: (r[0] is None, r[0] or "")
+    for pct in (10.0, 55.5, 95.0):
+        got = [tuple(r) for r in head_percent(df, pct, ["k"], rows_per_bucket=40).collect()]
+        k = int(900 * pct / 100)
+        want = sorted(rows, key=key)
+        assert len(got) == k and len({r[2] for r in got}) == k
+        assert sorted(map(key, got)) == [key(r) for r in want[:k]]
+        x = sorted(r["x"] for r in head_percent(df, pct, ["x"], rows_per_bucket=40).collect()
+                   if not math.isnan(r["x"]))
+        assert x == sorted(r[1] for r in rows if not math.isnan(r[1]))[:k]
+
+
+def test_no_full_row_is_shuffled(spark):
+    df = _frame(spark).withColumn("wide", F.repeat(F.col("label"), 50))
+    split = stratified_split(df, "label", ["id"], {"big": 20.0, "mid": 50.0}, seed=3)
+    head = head_percent(df.withColumn("k", F.col("id").cast("string")), 30.0, ["k"], rows_per_bucket=100)
+    for out in (split, head):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_cuts_inside_repeated_rows(spark):
+    # half of each class is one and the same row, many others come twice
+    rows = [("a", 1 if i % 2 else i // 4) for i in range(400)] + [("b", 7)] * 100 + [(None, 3)] * 10
+    df = spark.createDataFrame(rows, "label string, v long").repartition(5)
+    for bucket in (10, 1_000_000):
+        out = stratified_split(df, "label", ["label", "v"], {"a": (30, 25, 20), "b": (33, 33, 33)},
+                               rows_per_bucket=bucket)
+        got = {(r[0], r[1]): r[2] for r in out.groupBy("label", "split").count().collect()}
+        assert got == {("a", "train"): 120, ("a", "crossval"): 100, ("a", "test"): 80,
+                       ("b", "train"): 33, ("b", "crossval"): 33, ("b", "test"): 33}
+        left = df.filter("label is not null").exceptAll(out.drop("split")).count()
+        assert left == 500 - 300 - 99
+    sub = subsamples(df, 3, ["v"], seed=2, rows_per_bucket=10)
+    assert {r[0]: r[1] for r in sub.groupBy("subset_id").count().collect()} == {1: 170, 2: 170, 3: 170}
+    assert head_percent(df, 50.0, ["v"], rows_per_bucket=10).count() == 255
+
+
+def test_empty_inputs(spark):
+    df = spark.createDataFrame([], "label string, v long")
+    assert stratified_split(df, "label", ["v"], {"a": 50.0}).count() == 0
+    assert subsamples(df, 3, ["v"]).count() == 0
+    assert head_percent(df, 50.0, ["v"]).count() == 0
