@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -40,21 +41,39 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None,
 def constant_features(df: DataFrame, split_col: str = "split",
                       cols: Sequence[str] | None = None,
                       splits: Sequence[str] = ("train", "crossval", "test")) -> DataFrame:
-    """Columns whose min equals max inside *every* split (each on its own).
+    """Columns with one value inside *every* split (each on its own); a column with no
+    value in a split is not reported.  Returns rows ``(column)``.
 
-    One grouped aggregation over all splits; an all-missing column is not
-    reported (its min is NULL).  Returns rows ``(column)``.
+    One grouped aggregation over all splits.  Min and max of a string would sort the
+    whole input, so a column that is not a number is compared by the min and max of
+    its 64-bit hash, and the few that pass are then compared exactly.
     """
     cols = [c for c in (cols or df.columns) if c != split_col]
-    per_split = (df.filter(F.col(split_col).isin(*splits))
-                 .groupBy(split_col)
-                 .agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(False)).alias(c) for c in cols]))
-    long = per_split.unpivot([split_col], cols, "column", "is_const")
-    return (long.groupBy("column")
-            .agg(F.bool_and("is_const").alias("all_const"),
-                 F.countDistinct(split_col).alias("n_splits"))
-            .filter(F.col("all_const") & (F.col("n_splits") == len(splits)))
-            .select("column"))
+    rows = df.filter(F.col(split_col).isin(*splits))
+    hashed = {f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)}
+
+    def constant_in_all(names, value):
+        same = rows.groupBy(split_col).agg(*[
+            F.coalesce(F.min(value(c)) == F.max(value(c)), F.lit(False)).alias(c) for c in names])
+        return (same.unpivot([split_col], names, "column", "is_const").groupBy("column")
+                .agg(F.bool_and("is_const").alias("all_const"),
+                     F.countDistinct(split_col).alias("n_splits"))
+                .filter(F.col("all_const") & (F.col("n_splits") == len(splits)))
+                .select("column"))
+
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string")
+    out = constant_in_all(cols, lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+                          if c in hashed else F.col(c))
+    if hashed.isdisjoint(cols):
+        return out
+    # names only, at most one per column of the table
+    passed = [r[0] for r in out.collect()]
+    exact = [c for c in passed if c in hashed]
+    if exact:
+        kept = {r[0] for r in constant_in_all(exact, F.col).collect()}
+        passed = [c for c in passed if c not in hashed or c in kept]
+    return df.sparkSession.createDataFrame([(c,) for c in passed], "column string")
 
 
 def _interp(lo_v, hi_v, frac):
@@ -68,18 +87,19 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
     linear interpolation (position ``q*(n-1)``).  Rows ``(column, min, max,
     mean, std, q1, q3)``.
 
-    Exact quartiles in two aggregation passes with bounded memory per task:
+    Exact quartiles in bounded memory:
 
     1. one pass for min/max/mean/std/count and ``percentile_approx`` values
-       bracketing every target rank (rank error <= n/accuracy);
-    2. one pass counting rows below each bracket and collecting only the
-       values inside it (about ``6n/accuracy`` values per target); the exact
-       order statistic is picked from that short sorted list.
+       bracketing every quantile (rank error <= n/accuracy);
+    2. one aggregation counting the rows below, inside and on the ends of each
+       bracket (plain sums, no row is copied);
+    3. one pass over the values inside the brackets only (about ``6n/accuracy`` per
+       quantile), grouped by value and ranked in Spark: the driver gets one row per
+       wanted rank.
 
-    A bracket is collected only when it holds at most ``max_bracket`` values;
-    a larger one (inputs beyond ``accuracy * max_bracket / 6`` rows) is first
-    narrowed by ``percentile_approx`` over the rows inside it, each narrowing
-    pass shrinking it by a factor of about ``accuracy / 6``.
+    A bracket counted above ``max_bracket`` rows is first narrowed by
+    ``percentile_approx`` over its own rows, by a factor of about ``accuracy / 8``
+    each time; ends that hold the rank themselves resolve it.
 
     Spark's exact ``percentile`` keeps a map of every distinct value and
     merges it in one task, which does not scale to continuous features.
@@ -106,18 +126,15 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
     if not quantiles:
         quart = {c: [None] * len(probs) for c in cols}
     elif exact:
-        # target ranks (0-based) per column and quantile
-        targets = []  # (col index, q index, rank, lo value, hi value)
-        for i, c in enumerate(cols):
+        # 0-based ranks wanted of each (column, quantile), and the bracket they lie in
+        targets = []
+        for i in range(len(cols)):
             n = first[f"n{i}"]
-            if not n:
-                continue
-            br = first[f"br{i}"]
-            for j, q in enumerate(probs):
+            for j, q in enumerate(probs if n else ()):
                 pos = q * (n - 1)
-                for r in {int(pos // 1), int(-(-pos // 1))}:
-                    targets.append((i, j, r, br[2 * j], br[2 * j + 1]))
-        resolved = _resolve_ranks(df, cols, first, targets, accuracy, delta, max_bracket)
+                targets.append((i, sorted({int(pos // 1), int(-(-pos // 1))}),
+                                first[f"br{i}"][2 * j], first[f"br{i}"][2 * j + 1]))
+        resolved = _resolve_ranks(df, cols, targets, accuracy, delta, max_bracket)
         for i, c in enumerate(cols):
             n = first[f"n{i}"]
             vals = []
@@ -143,94 +160,80 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
         rows, "column string, min double, max double, mean double, std double, q1 double, q3 double")
 
 
-def _resolve_ranks(df, cols, first, targets, accuracy, delta, max_bracket):
-    """Exact order statistics ``(column index, rank) -> value`` from brackets
-    ``[lo, hi]`` that contain them; see ``column_stats``.
+def _resolve_ranks(df, cols, targets, accuracy, delta, max_bracket):
+    """Exact order statistics ``(column index, rank) -> value``; ``targets`` are
+    ``(column index, ranks, lo, hi)``, see ``column_stats``.
 
-    A bracket expected to hold at most ``max_bracket`` rows is resolved in one
-    grouped pass: every row is tagged per target as *below* the bracket or
-    with its value inside it, and ``groupBy(target, below, value).count()``
-    returns the below-count and the distinct values with their counts (ties
-    collapse, so a hot value costs one row).  Larger brackets are first
-    counted and narrowed with ``percentile_approx`` over their own rows.
+    Every round counts each bracket ``[lo, hi]`` exactly.  Ranks outside it (a sketch
+    that missed) move to the side they lie on; ranks on an end are done; the others
+    lie strictly between the ends.  Then a bracket of few rows is ranked, and a large
+    one is narrowed to a sketch of its own inner rows, whose ends lie strictly inside
+    the old ones: it loses rows every round, so the search ends.
     """
     resolved = {}
-    # state per target: [i, r, lo, hi, rows expected inside]
-    pending = [[i, r, lo, hi, 8 * first[f"n{i}"] / accuracy] for (i, _j, r, lo, hi) in targets]
-    rounds = 0
-    while pending:
-        rounds += 1
-        if rounds > 12:
-            raise RuntimeError("exact quantile search did not converge")
-        small = [t for t in pending if t[4] <= max_bracket]
-        large = [t for t in pending if t[4] > max_bracket]
-        nxt = []
-        if small:
-            tagged = []
-            for t, (i, r, lo, hi, _e) in enumerate(small):
-                x = F.col(cols[i]).cast("double")
-                tagged.append(F.struct(F.lit(t).alias("t"), (x < F.lit(lo)).alias("below"),
-                                       F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x).alias("v")))
-            groups = (df.select(F.explode(F.array(*tagged)).alias("s")).select("s.*")
-                      .filter(F.col("below") | F.col("v").isNotNull())
-                      .groupBy("t", "below", "v").agg(F.count(F.lit(1)).alias("n"))
-                      .collect())
-            below = {}
-            values = {}
-            for g in groups:
-                if g["below"]:
-                    below[g["t"]] = g["n"]
+    inf = float("inf")
+    while targets:
+        aggs = []
+        for t, (i, _ranks, lo, hi) in enumerate(targets):
+            x = F.col(cols[i]).cast("double")
+            aggs += [F.count_if(x < lo).alias(f"below{t}"), F.count_if(x == lo).alias(f"lo{t}"),
+                     F.count_if((x > lo) & (x < hi)).alias(f"in{t}"),
+                     F.count_if(x == hi).alias(f"hi{t}")]
+        counts = df.agg(*aggs).first()
+        small, large, moved = [], [], []
+        for t, (i, ranks, lo, hi) in enumerate(targets):
+            start = counts[f"below{t}"] + counts[f"lo{t}"]
+            end = start + counts[f"in{t}"]
+            top = counts[f"hi{t}"] if hi != lo else 0
+            inner = []
+            for r in ranks:
+                if counts[f"below{t}"] <= r < start:
+                    resolved[(i, r)] = lo
+                elif end <= r < end + top:
+                    resolved[(i, r)] = hi
+                elif start <= r < end:
+                    inner.append(r)
                 else:
-                    values.setdefault(g["t"], []).append((g["v"], g["n"]))
-            for t, (i, r, lo, hi, _e) in enumerate(small):
-                k = r - below.get(t, 0)
-                acc_n, hit = 0, None
-                for v, n in sorted(values.get(t, [])):
-                    acc_n += n
-                    if k < acc_n:
-                        hit = v
-                        break
-                if k >= 0 and hit is not None:
-                    resolved[(i, r)] = hit
-                else:  # bracket missed the rank (not expected): search the full range
-                    nxt.append([i, r, float("-inf"), float("inf"), first[f"n{i}"]])
+                    moved.append((i, [r], -inf, lo) if r < start else (i, [r], hi, inf))
+            if inner:
+                (small if end - start <= max_bracket else large).append(
+                    (i, inner, lo, hi, start, end - start))
+        if small:
+            resolved.update(_rank_inside(df, cols, small))
+        targets = moved
         if large:
-            aggs = []
-            for t, (i, r, lo, hi, _e) in enumerate(large):
+            sketches = []
+            for t, (i, ranks, lo, hi, start, n) in enumerate(large):
                 x = F.col(cols[i]).cast("double")
-                aggs += [F.count_if(x < F.lit(lo)).alias(f"b{t}"),
-                         F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"c{t}")]
-            counts = df.agg(*aggs).first()
-            narrow = []
-            for t, (i, r, lo, hi, _e) in enumerate(large):
-                b, c = counts[f"b{t}"], counts[f"c{t}"]
-                if lo == hi and 0 <= r - b < c:
-                    resolved[(i, r)] = lo  # a single (hot) value holds the rank
-                elif c <= max_bracket:
-                    nxt.append([i, r, lo, hi, c])
-                else:
-                    narrow.append((t, i, r, lo, hi, b, c))
-            if narrow:
-                aggs = []
-                for t, i, r, lo, hi, b, c in narrow:
-                    x = F.col(cols[i]).cast("double")
-                    p = (r - b) / max(c - 1, 1)
-                    aggs.append(F.percentile_approx(
-                        F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x),
-                        [max(0.0, p - delta), min(1.0, p + delta)], accuracy).alias(f"q{t}"))
-                qrow = df.agg(*aggs).first()
-                for t, i, r, lo, hi, b, c in narrow:
-                    nlo, nhi = (float(v) for v in qrow[f"q{t}"])
-                    if (nlo, nhi) == (lo, hi):
-                        # no narrower: every value other than lo and hi sits within
-                        # ~2c/accuracy ranks, so the grouped (tie-collapsing) pass is small
-                        nxt.append([i, r, lo, hi, 0])
-                    else:
-                        nxt.append([i, r, nlo, nhi, 8 * c / accuracy])
-        pending = nxt
+                probs = [max(0.0, (ranks[0] - start) / n - delta), min(1.0, (ranks[-1] - start) / n + delta)]
+                sketches.append(F.percentile_approx(F.when((x > lo) & (x < hi), x), probs, accuracy)
+                                .alias(f"q{t}"))
+            found = df.agg(*sketches).first()
+            targets = moved + [(i, ranks, *(float(v) for v in found[f"q{t}"]))
+                               for t, (i, ranks, *_rest) in enumerate(large)]
     return resolved
 
 
+def _rank_inside(df, cols, brackets) -> dict:
+    """Values at the wanted ranks strictly inside counted brackets ``(column index,
+    ranks, lo, hi, rows before, rows inside)``.  Only values inside a bracket leave
+    their row; equal ones are counted together."""
+    tagged = []
+    for t, (i, _ranks, lo, hi, _start, _n) in enumerate(brackets):
+        x = F.col(cols[i]).cast("double")
+        tagged.append(F.when((x > lo) & (x < hi), F.struct(F.lit(t).alias("t"), x.alias("v"))))
+    values = (df.select(F.explode(F.array_compact(F.array(*tagged))).alias("s")).select("s.*")
+              .groupBy("t", "v").agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = df.sparkSession.createDataFrame(
+        [(t, r - b[4]) for t, b in enumerate(brackets) for r in b[1]], "t int, k bigint")
+    hits = (values.withColumn("_s", F.coalesce(F.sum("n").over(w), F.lit(0)))
+            .join(F.broadcast(wanted), "t")
+            .filter((F.col("_s") <= F.col("k")) & (F.col("k") < F.col("_s") + F.col("n"))))
+    return {(brackets[r["t"]][0], r["k"] + brackets[r["t"]][4]): r["v"]
+            for r in hits.select("t", "k", "v").collect()}
+
+
 def global_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
                  accuracy: int = 10_000, quantiles: bool = True) -> DataFrame:
     """The same statistics over all listed columns together (one scaler for all)."""
@@ -264,12 +267,16 @@ def histogram(df: DataFrame, cols: Sequence[str], method: str = "z_score_std") -
     if method not in HISTOGRAM_BINS:
         raise ValueError(f"no histogram bins for method {method!r}")
     edges = HISTOGRAM_BINS[method]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("s")).select("s.*")
-    return (long.select("column", bin_index(F.col("value"), edges).alias("bin"))
-            .filter(F.col("bin").isNotNull())
-            .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
+    bins = range(len(edges) - 1)
+    # counted in place, one sum per (column, bin): no row is copied
+    index = df.select(*[bin_index(F.col(c).cast("double"), edges).alias(f"b{i}")
+                        for i, c in enumerate(cols)])
+    counted = index.agg(*[F.array(*[F.count_if(F.col(f"b{i}") == b) for b in bins]).alias(f"n{i}")
+                          for i in range(len(cols))])
+    long = counted.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n")) for i, c in enumerate(cols)
+    ])).alias("s")).select("s.column", F.posexplode("s.n").alias("bin", "count"))
+    return long.filter(F.col("count") > 0)
 
 
 def class_distribution(df: DataFrame, label_idx_col: str = "label_idx") -> DataFrame:
