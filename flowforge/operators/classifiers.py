@@ -73,45 +73,57 @@ def _ml_fit_predict(est, train, test, label, features, id_col):
     return model, ml_predict(model, test, label, features, id_col)
 
 
-def decision_tree(train, test, label="label_idx", features="features", id_col="id",
-                  seed=0, max_depth=30, max_bins=32):
+# The estimators and their settings, for the single models and the comparison alike.
+
+def tree_estimator(seed=0, max_depth=30, max_bins=32):
     from pyspark.ml.classification import DecisionTreeClassifier
     # deep trees: keep node ids on the executors instead of shipping the tree
     # every level, and let each pass split more nodes at once
-    est = DecisionTreeClassifier(seed=seed, maxDepth=max_depth, maxBins=max_bins,
-                                 cacheNodeIds=True, maxMemoryInMB=1024)
-    return _ml_fit_predict(est, train, test, label, features, id_col)[1]
+    return DecisionTreeClassifier(seed=seed, maxDepth=max_depth, maxBins=max_bins,
+                                  cacheNodeIds=True, maxMemoryInMB=1024)
 
 
-def random_forest(train, test, label="label_idx", features="features", id_col="id",
-                  seed=0, num_trees=100, max_depth=30, max_bins=32):
+def forest_estimator(seed=0, num_trees=100, max_depth=30, max_bins=32):
     from pyspark.ml.classification import RandomForestClassifier
-    est = RandomForestClassifier(seed=seed, numTrees=num_trees, maxDepth=max_depth,
-                                 featureSubsetStrategy="sqrt", maxBins=max_bins,
-                                 cacheNodeIds=True, maxMemoryInMB=1024)
-    return _ml_fit_predict(est, train, test, label, features, id_col)[1]
+    return RandomForestClassifier(seed=seed, numTrees=num_trees, maxDepth=max_depth,
+                                  featureSubsetStrategy="sqrt", maxBins=max_bins,
+                                  cacheNodeIds=True, maxMemoryInMB=1024)
 
 
-def linear_svm(train, test, label="label_idx", features="features", id_col="id",
-               c=1.0, max_iter=100, tol=1e-4):
+def svm_estimator(n_rows, n_classes, c=1.0, max_iter=100, tol=1e-4):
     """One-vs-rest linear SVM; ``regParam = 1/(C n)`` matches a C-weighted loss
-    sum, and ``tol`` is the usual liblinear stopping tolerance."""
+    sum, and ``tol`` is the usual liblinear stopping tolerance.  The binary problems
+    are independent and fitted concurrently."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
-    n = train.count()
-    n_cls = train.select(label).distinct().count()
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False,
+    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n_rows, 1)), standardization=False,
                     tol=tol)
-    # the binary problems are independent: fit them concurrently
-    ovr = OneVsRest(classifier=svc, parallelism=max(1, min(n_cls, 16)))
-    return _ml_fit_predict(ovr, train, test, label, features, id_col)[1]
+    return OneVsRest(classifier=svc, parallelism=max(1, min(n_classes, 16)))
 
 
-def mlp(train, test, n_features, n_classes, label="label_idx", features="features", id_col="id",
-        hidden=(256, 256), max_iter=100, seed=2021):
-    """Multilayer perceptron d-256-256-k (sigmoid hidden layers, softmax output, L-BFGS)."""
+def mlp_estimator(n_features, n_classes, hidden=(256, 256), max_iter=100, seed=2021):
+    """Perceptron d-256-256-k (sigmoid hidden layers, softmax output, L-BFGS)."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    est = MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes],
-                                         maxIter=max_iter, seed=seed, blockSize=128)
+    return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes],
+                                          maxIter=max_iter, seed=seed, blockSize=128)
+
+
+def decision_tree(train, test, label="label_idx", features="features", id_col="id", **settings):
+    return _ml_fit_predict(tree_estimator(**settings), train, test, label, features, id_col)[1]
+
+
+def random_forest(train, test, label="label_idx", features="features", id_col="id", **settings):
+    return _ml_fit_predict(forest_estimator(**settings), train, test, label, features, id_col)[1]
+
+
+def linear_svm(train, test, label="label_idx", features="features", id_col="id", **settings):
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).first()
+    est = svm_estimator(size["n"], size["k"], **settings)
+    return _ml_fit_predict(est, train, test, label, features, id_col)[1]
+
+
+def mlp(train, test, n_features, n_classes, label="label_idx", features="features", id_col="id",
+        **settings):
+    est = mlp_estimator(n_features, n_classes, **settings)
     return _ml_fit_predict(est, train, test, label, features, id_col)[1]
 
 
@@ -352,33 +364,20 @@ def timed_fit_predict(fit, predict):
 def model_runs(train: DataFrame, test: DataFrame, n_features: int, n_classes: int,
                knn_block_rows: int = 4096, label="label_idx", features="features", id_col="id"):
     """(fit, predict) pairs of the seven models, in the comparison order."""
-    from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
-                                           MultilayerPerceptronClassifier, OneVsRest,
-                                           RandomForestClassifier)
-
     def ml(est_fn):
         return (lambda: ml_fit(est_fn(), train, label, features),
                 lambda m: ml_predict(m, test, label, features, id_col))
 
-    def svm():
-        n = train.count()
-        svc = LinearSVC(maxIter=100, regParam=1.0 / max(n, 1), standardization=False, tol=1e-4)
-        return OneVsRest(classifier=svc, parallelism=max(1, min(n_classes, 16)))
-
     return {
-        "MLP": ml(lambda: MultilayerPerceptronClassifier(
-            layers=[n_features, 256, 256, n_classes], maxIter=100, seed=2021, blockSize=128)),
+        "MLP": ml(lambda: mlp_estimator(n_features, n_classes)),
         "LDA": (lambda: fit_lda(train, label, features),
                 lambda m: predict_discriminant(m, test, label, features, id_col)),
         "QDA": (lambda: fit_qda(train, label, features),
                 lambda m: predict_discriminant(m, test, label, features, id_col)),
-        "SVM": ml(svm),
+        "SVM": ml(lambda: svm_estimator(train.count(), n_classes)),
         # k-NN has no training step: the training rows are the model
         "k-NN": (lambda: None,
                  lambda _m: knn(train, test, 5, label, features, id_col, knn_block_rows)),
-        "DT": ml(lambda: DecisionTreeClassifier(seed=0, maxDepth=30, cacheNodeIds=True,
-                                                maxMemoryInMB=1024)),
-        "RF": ml(lambda: RandomForestClassifier(seed=0, numTrees=100, maxDepth=30,
-                                                featureSubsetStrategy="sqrt", cacheNodeIds=True,
-                                                maxMemoryInMB=1024)),
+        "DT": ml(tree_estimator),
+        "RF": ml(forest_estimator),
     }

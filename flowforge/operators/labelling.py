@@ -173,6 +173,10 @@ def label_by_day(df: DataFrame, day_col: str, day_rules: Mapping[str, DayRules],
 # Join form for large rule tables.
 # --------------------------------------------------------------------------
 
+#: Endpoints with more than this part of all flows are salted in a shuffled join.
+HOT_ENDPOINTS = 200
+SALTS = 32
+
 RULE_TABLE_COLUMNS = ["seq", "src_addr", "src_port", "dst_addr", "dst_port",
                       "ip_prot", "ts_lo", "ts_hi", "label"]
 
@@ -195,29 +199,51 @@ def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = Fl
 
     Every rule must name its destination endpoint.  Rules are packed into one
     row per endpoint, ``array<struct>``; the flow table is hash-joined on the
-    endpoint (broadcast when the number of endpoints is at most
-    ``broadcast_max_endpoints`` and the rules at most ``broadcast_max_rules``,
-    otherwise a shuffle join, where AQE splits a hot endpoint's partition) and
-    the winning rule is ``array_max`` of the matching ``(seq, label)`` structs.
-    One output row per input row, no aggregation over flows.
+    endpoint and the winning rule is ``array_max`` of the matching ``(seq, label)``
+    structs.  One output row per input row, no aggregation over flows.
 
     ``time_bucket_us`` packs rules with a closed time window per (endpoint,
     time bucket) instead -- a rule is listed in every bucket its window
     overlaps -- so a flow only scans the rules of its own bucket; rules with an
     open window stay in a per-endpoint list.  Same result, for endpoints with
     very many rules.
+
+    Rules are broadcast when there are at most ``broadcast_max_endpoints`` endpoints
+    and at most ``broadcast_max_rules`` rules, counted as listed, that is once per
+    time bucket.  Otherwise both sides are shuffled: endpoints with more than one in
+    ``HOT_ENDPOINTS`` of all flows (so at most that many) are dealt over ``SALTS``
+    keys, and their rules repeated for each.
     """
     missing = rules_df.filter(F.col("dst_addr").isNull()).limit(1).count()
     if missing:
         raise ValueError("label_flows_join needs a destination endpoint on every rule; "
                          "use label_flows for wildcard-destination rules")
     rule_struct = F.struct(*[F.col(c) for c in RULE_TABLE_COLUMNS if c != "dst_addr"])
-    sizes = rules_df.agg(F.count(F.lit(1)).alias("n"),
+    listed = F.lit(1)
+    if time_bucket_us is not None:
+        w = int(time_bucket_us)
+        listed = F.coalesce(F.greatest(F.floor(F.col("ts_hi") / w) - F.floor(F.col("ts_lo") / w) + 1,
+                                       F.lit(0)), F.lit(1))
+    sizes = rules_df.agg(F.coalesce(F.sum(listed), F.lit(0)).alias("n"),
                          F.countDistinct("dst_addr").alias("e")).first()
     small = sizes["e"] <= broadcast_max_endpoints and sizes["n"] <= broadcast_max_rules
+    if small:
+        hot = []
+    else:
+        flows_per = df.groupBy(fields.col("dst_addr").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        total = df.count()
+        hot = [r["d"] for r in flows_per.filter((F.col("n") > total / HOT_ENDPOINTS)
+                                                & F.col("d").isNotNull()).collect()]
 
-    def maybe_broadcast(t):
-        return F.broadcast(t) if small else t
+    def maybe_broadcast(t, endpoint):
+        if small:
+            return F.broadcast(t).withColumn("_r_salt", F.lit(0))
+        salts = F.when(F.col(endpoint).isin(*hot), F.sequence(F.lit(0), F.lit(SALTS - 1))) \
+            .otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+        return t.withColumn("_r_salt", F.explode(salts))
+
+    salt = F.when(fields.col("dst_addr").isin(*hot), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+                  .cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
 
     present = set(df.columns)
 
@@ -243,16 +269,24 @@ def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = Fl
             F.filter(F.col(col_name), hit),
             lambda r: F.struct(r["seq"].alias("seq"), r["label"].alias("label"))))
 
+    flows = df.withColumn("_f_salt", salt)
+
+    def join_rules(left, packed, endpoint, *also):
+        right = maybe_broadcast(packed, endpoint)
+        on = (fields.col("dst_addr") == F.col(endpoint)) & (F.col("_f_salt") == F.col("_r_salt"))
+        for cond in also:
+            on = on & cond
+        return left.join(right, on, "left").drop("_r_salt")
+
     if time_bucket_us is None:
         packed = rules_df.groupBy(F.col("dst_addr").alias("_r_dst")) \
                          .agg(F.collect_list(rule_struct).alias("_r_rules"))
-        joined = df.join(maybe_broadcast(packed), fields.col("dst_addr") == F.col("_r_dst"), "left")
+        joined = join_rules(flows, packed, "_r_dst")
         best = best_of("_r_rules")
-        drop = ["_r_dst", "_r_rules"]
+        drop = ["_f_salt", "_r_dst", "_r_rules"]
     else:
-        w = int(time_bucket_us)
         closed = F.col("ts_lo").isNotNull() & F.col("ts_hi").isNotNull()
-        timed = (rules_df.filter(closed)
+        timed = (rules_df.filter(closed & (F.col("ts_lo") <= F.col("ts_hi")))
                  .withColumn("_r_tb", F.explode(F.sequence(F.floor(F.col("ts_lo") / w),
                                                            F.floor(F.col("ts_hi") / w))))
                  .groupBy(F.col("dst_addr").alias("_r_dst"), "_r_tb")
@@ -260,13 +294,11 @@ def label_flows_join(df: DataFrame, rules_df: DataFrame, fields: FlowFields = Fl
         untimed = (rules_df.filter(~closed)
                    .groupBy(F.col("dst_addr").alias("_u_dst"))
                    .agg(F.collect_list(rule_struct).alias("_r_open")))
-        flows = df.withColumn("_f_tb", F.floor(ts / w))
-        joined = (flows.join(maybe_broadcast(timed),
-                             (fields.col("dst_addr") == F.col("_r_dst"))
-                             & (F.col("_f_tb") == F.col("_r_tb")), "left")
-                  .join(maybe_broadcast(untimed), fields.col("dst_addr") == F.col("_u_dst"), "left"))
+        flows = flows.withColumn("_f_tb", F.floor(ts / w))
+        joined = join_rules(flows, timed, "_r_dst", F.col("_f_tb") == F.col("_r_tb"))
+        joined = join_rules(joined, untimed, "_u_dst")
         best = F.greatest(best_of("_r_timed"), best_of("_r_open"))
-        drop = ["_f_tb", "_r_dst", "_r_tb", "_r_timed", "_u_dst", "_r_open"]
+        drop = ["_f_salt", "_f_tb", "_r_dst", "_r_tb", "_r_timed", "_u_dst", "_r_open"]
     current = fields.col("label")
     fill = F.when(current == F.lit(sentinel), F.lit(default)).otherwise(current)
     return joined.withColumn(fields.label, F.coalesce(best["label"], fill)).drop(*drop)

@@ -383,6 +383,9 @@ def subsamples(df: DataFrame, n_subset: int, key_cols: Sequence[str], seed: int
     return plain if out is None else plain.unionByName(out)
 
 
-def ordered_by_hash(df: DataFrame, key_cols: Sequence[str], seed: int = 1) -> DataFrame:
-    """Shuffle a finished set: global order by ``md5(key|seed)``."""
-    return df.orderBy(hash_key(list(key_cols), seed), *key_cols)
+def shuffle_sets(df: DataFrame, set_cols: Sequence[str], key_cols: Sequence[str],
+                 seed: int | str = "shuffle") -> DataFrame:
+    """Finished sets, each in the order of ``md5(key|seed)``: one range-partitioned
+    sort, so that a large set spreads over many tasks.  Rows are whole, so data and
+    labels stay aligned (F5)."""
+    return df.orderBy(*set_cols, _row_order(df, key_cols, seed))

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowforge.operators.capture_rules import CAPTURE_DAYS
 from flowforge.operators.labelling import (DayRules, Drop, FlowFields, Rule, apply_drops,
                                            label_by_day, label_flows, label_flows_join,
                                            rules_frame)
 from flowforge.operators.profile import class_counts
 from flowforge.operators.split import sort_flows
-from flowforge.plans.tables import EVENT_FLOWS_SQL, event_flows
+from flowforge.plans.tables import EVENT_FLOWS_SQL, event_flows, table
 
 # Rules for the events table (epoch microseconds, UTC).  Rule 2 overlaps rule 1
 # on 2024-01-04 00:00-12:00, so the last-rule-wins order is exercised.
@@ -98,7 +99,39 @@ def sort_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                       ["timestamp", "dst_port", "src_addr", "dst_addr", "event_id"])
 
 
+CAPTURE_SOURCES = ("172.16.0.1", "172.16.0.1", "10.0.0.9")
+CAPTURE_ENDPOINTS = ("192.168.10.50", "192.168.10.51", "205.174.165.73", "192.168.10.50",
+                     "52.6.13.28", "8.8.8.8", "52.7.235.158")
+
+
+def capture_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events mapped onto the five capture days: endpoints, ports and protocol of the
+    rules (and others), times spread over each day's hours."""
+    e = F.col("event_id")
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]),
+                                          (c % len(values) + 1).cast("int"))
+    day = e % 5
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        pick(list(CAPTURE_DAYS), e).alias("day"),
+        pick(CAPTURE_SOURCES, F.floor(e / 5)).alias("src_addr"),
+        pick(CAPTURE_ENDPOINTS, F.floor(e / 15)).alias("dst_addr"),
+        pick([45022, 50000], F.col("user_id")).alias("src_port"),
+        F.when(F.col("event_type").isin("click", "view"), 80).otherwise(444).alias("dst_port"),
+        F.when(F.col("event_type") == "signup", 17).otherwise(6).alias("ip_prot"),
+        F.when(e % 97 != 0, F.lit(1499040000000000) + day * 86400000000
+               + F.lit(28800000000) + (e * 7919 % 50400) * 1000000).alias("timestamp"),
+        F.when(e % 89 == 0, F.lit("prelabelled")).otherwise(F.lit("NeedLabel")).alias("label"))
+
+
+def capture_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules and drops of the five capture days (D1-D5), dispatched by day."""
+    return label_by_day(capture_flows(spark, sf_dir), "day", CAPTURE_DAYS) \
+        .select("event_id", "day", "dst_addr", "timestamp", "label")
+
+
 QUERIES = {
+    "capture_rules": capture_rules,
     "rule_label": rule_label,
     "rule_label_counts": rule_label_counts,
     "rule_label_join": rule_label_join,
@@ -245,3 +278,49 @@ def rule_label_join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["rule_label_join_bucketed"] = rule_label_join_bucketed
 ORACLE["rule_label_join_bucketed"] = ORACLE["rule_label_join"]
+
+
+def _capture_oracle() -> str:
+    """The capture days' rules as a table, joined and decided by ``arg_max``; the drops
+    are written out."""
+    def lit(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    rules = [(day, i, r.src_addr, r.src_port, r.dst_addr, r.dst_port, r.ip_prot, r.ts_lo, r.ts_hi, r.label)
+             for day, dr in CAPTURE_DAYS.items() for i, r in enumerate(dr.rules)]
+    values = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rules)
+
+    def pick(names, expr):
+        return f"list_value({', '.join(map(lit, names))})[CAST({expr} % {len(names)} + 1 AS INTEGER)]"
+
+    return f"""
+WITH flows AS (
+  SELECT event_id, {pick(list(CAPTURE_DAYS), 'event_id')} AS day,
+         {pick(CAPTURE_SOURCES, 'event_id // 5')} AS src_addr,
+         {pick(CAPTURE_ENDPOINTS, 'event_id // 15')} AS dst_addr,
+         CASE WHEN user_id % 2 = 0 THEN 45022 ELSE 50000 END AS src_port,
+         CASE WHEN event_type IN ('click', 'view') THEN 80 ELSE 444 END AS dst_port,
+         CASE WHEN event_type = 'signup' THEN 17 ELSE 6 END AS ip_prot,
+         CASE WHEN event_id % 97 <> 0 THEN 1499040000000000 + (event_id % 5) * 86400000000
+              + 28800000000 + (event_id * 7919 % 50400) * 1000000 END AS timestamp,
+         CASE WHEN event_id % 89 = 0 THEN 'prelabelled' ELSE 'NeedLabel' END AS label
+  FROM events),
+rules(day, seq, src_addr, src_port, dst_addr, dst_port, ip_prot, ts_lo, ts_hi, label) AS (VALUES {values}),
+won AS (
+  SELECT f.event_id, arg_max(r.label, r.seq) AS label
+  FROM flows f JOIN rules r ON f.day = r.day
+   AND (r.src_addr IS NULL OR f.src_addr = r.src_addr) AND (r.src_port IS NULL OR f.src_port = r.src_port)
+   AND (r.dst_addr IS NULL OR f.dst_addr = r.dst_addr) AND (r.dst_port IS NULL OR f.dst_port = r.dst_port)
+   AND (r.ip_prot IS NULL OR f.ip_prot = r.ip_prot)
+   AND (r.ts_lo IS NULL OR f.timestamp >= r.ts_lo) AND (r.ts_hi IS NULL OR f.timestamp <= r.ts_hi)
+  GROUP BY f.event_id)
+SELECT f.event_id, f.day, f.dst_addr, f.timestamp,
+       coalesce(w.label, CASE WHEN f.label = 'NeedLabel' THEN 'benign' ELSE f.label END) AS label
+FROM flows f LEFT JOIN won w USING (event_id)
+WHERE NOT coalesce(f.day = 'thursday' AND f.timestamp >= 1499353200000000, false)
+  AND NOT coalesce(f.day = 'friday' AND f.dst_addr = '205.174.165.73' AND f.timestamp > 1499436193000000, false)
+  AND NOT (f.day = 'friday' AND f.dst_addr IN ('52.6.13.28', '52.7.235.158'))
+"""
+
+
+ORACLE["capture_rules"] = _capture_oracle()

@@ -94,7 +94,85 @@ def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_table(long, list(runs))
 
 
+# Models on data that can be learnt: the language of a document from its letters.
+LANGUAGES = ("de", "en", "es", "fr")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def language_features(spark: SparkSession, sf_dir: str, letters: str = LETTERS) -> DataFrame:
+    """``(id, label_idx, features)``: how many of a document's characters are each of
+    the given letters, in percent (an empty or missing text: zeros)."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    share = [F.coalesce(F.try_divide(F.lit(100.0) * (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))),
+                                     F.length(text)), F.lit(0.0)) for c in letters]
+    return (table(spark, sf_dir, "documents").filter(F.col("lang").isin(*LANGUAGES))
+            .select(F.col("doc_id").alias("id"),
+                    (F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")) - 1)
+                    .cast("int").alias("label_idx"),
+                    F.array(*share).alias("features")))
+
+
+def discriminant_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What LDA and QDA are fitted from: rows, mean and covariance of each class."""
+    mom = C.class_moments(language_features(spark, sf_dir, "eo"))
+    rows = [(int(k), int(n), *map(float, mu), *(float(scatter[i][j] / n) for i, j in ((0, 0), (0, 1), (1, 1))))
+            for k, (n, mu, scatter) in mom.items()]
+    r = lambda c: F.round(c, 6).alias(c)
+    return spark.createDataFrame(
+        rows, "label_idx int, n long, m1 double, m2 double, v11 double, v12 double, v22 double") \
+        .select("label_idx", "n", *[r(c) for c in ("m1", "m2", "v11", "v12", "v22")])
+
+
+def lda_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LDA on two letters: small enough for a closed form in SQL, row by row."""
+    d = language_features(spark, sf_dir, "eo")
+    return C.lda(d, d)
+
+
+def qda_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = language_features(spark, sf_dir, "eo")
+    return C.qda(d, d)
+
+
+def tree_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split on the year of the order: the best Gini split, found exactly in SQL."""
+    d = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1)
+        .otherwise(2).alias("label_idx"),
+        F.array(F.year("o_orderdate").cast("double")).alias("features"))
+    return C.decision_tree(d, d, max_depth=1)
+
+
+def language_splits(spark: SparkSession, sf_dir: str):
+    s = stratified_split(language_features(spark, sf_dir), "label_idx", ["id"],
+                         {i: (50, 0, 50) for i in range(len(LANGUAGES))}, seed=EMB_SEED)
+    return tuple(s.filter(F.col("split") == name).drop("split") for name in ("train", "test"))
+
+
+def model_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven models told languages apart: per model and true class the test rows,
+    each of them predicted once.  (Accuracy floors are in the tests.)"""
+    train, test = language_splits(spark, sf_dir)
+    out = None
+    for name, pred in language_predictions(train, test).items():
+        rows = pred.groupBy(F.lit(name).alias("model"), "label_idx").agg(
+            F.count("prediction").alias("n_predicted"), F.countDistinct("id").alias("n_rows"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def language_predictions(train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
+    runs = C.model_runs(train, test, len(LETTERS), len(LANGUAGES))
+    return {name: predict(fit()) for name, (fit, predict) in runs.items()}
+
+
 QUERIES = {
+    "discriminant_moments": discriminant_moments,
+    "lda_language": lda_language,
+    "qda_language": qda_language,
+    "tree_stump": tree_stump,
+    "model_margins": model_margins,
     "knn": knn,
     "knn_neighbours": knn_neighbours,
     "knn_ties": knn_ties,
@@ -148,3 +226,67 @@ SELECT t.id, t.label_idx, b.nb_label AS prediction
 FROM test t LEFT JOIN best b ON b.test_id = t.id AND b.r = 1
 """,
 }
+
+_TWO_LETTERS = """
+f AS (
+  SELECT doc_id AS id, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS label_idx,
+         coalesce(100.0::DOUBLE * (length(t) - length(replace(t, 'e', ''))) / nullif(length(t), 0), 0) AS x,
+         coalesce(100.0::DOUBLE * (length(t) - length(replace(t, 'o', ''))) / nullif(length(t), 0), 0) AS y
+  FROM (SELECT doc_id, lang, lower(coalesce(text, '')) AS t FROM documents)
+  WHERE lang IN ('de', 'en', 'es', 'fr')),
+m AS (
+  SELECT label_idx, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b,
+         var_pop(y) AS c, sum(count(*)) OVER () AS total, count(*) OVER () AS k
+  FROM f GROUP BY label_idx)
+"""
+
+# score = log prior - log|S|/2 - (x - m)' S^-1 (x - m) / 2, the largest wins
+_CLASSIFY = """
+scored AS (
+  SELECT f.id, f.label_idx, s.label_idx AS cls,
+         ln(s.n / s.total) - ln(s.a * s.c - s.b * s.b) / 2
+         - (s.c * (x - mx) * (x - mx) - 2 * s.b * (x - mx) * (y - my) + s.a * (y - my) * (y - my))
+           / (2 * (s.a * s.c - s.b * s.b)) AS score
+  FROM f, s)
+SELECT id, label_idx, arg_max(cls, score) AS prediction FROM scored GROUP BY id, label_idx
+"""
+
+ORACLE.update({
+    "discriminant_moments": f"""
+WITH {_TWO_LETTERS}
+SELECT label_idx, n, round(mx, 6) AS m1, round(my, 6) AS m2, round(a, 6) AS v11, round(b, 6) AS v12,
+       round(c, 6) AS v22 FROM m
+""",
+    "lda_language": f"""
+WITH {_TWO_LETTERS},
+s AS (SELECT label_idx, n, total, mx, my, sum(n * a) OVER () / (total - k) AS a,
+             sum(n * b) OVER () / (total - k) AS b, sum(n * c) OVER () / (total - k) AS c FROM m),
+{_CLASSIFY}""",
+    "qda_language": f"""
+WITH {_TWO_LETTERS},
+s AS (SELECT label_idx, n, total, mx, my, a * n / (n - 1) AS a, b * n / (n - 1) AS b,
+             c * n / (n - 1) AS c FROM m),
+{_CLASSIFY}""",
+    "tree_stump": """
+WITH d AS (SELECT o_orderkey AS id, year(o_orderdate) AS x,
+                  CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label_idx FROM orders),
+sides AS (SELECT cut, d.x > cut AS side, label_idx, count(*) AS n
+          FROM d, (SELECT DISTINCT x AS cut FROM d) GROUP BY 1, 2, 3),
+gini AS (SELECT cut, sum(n) - sum(n * n) / sum(n) AS impurity FROM sides GROUP BY cut, side),
+best AS (SELECT cut FROM gini GROUP BY cut HAVING count(*) = 2 ORDER BY sum(impurity), cut LIMIT 1),
+vote AS (SELECT side, arg_max(label_idx, n) AS prediction FROM sides WHERE cut = (SELECT cut FROM best) GROUP BY side)
+SELECT d.id, d.label_idx, v.prediction FROM d JOIN vote v ON (d.x > (SELECT cut FROM best)) = v.side
+""",
+    "model_margins": """
+WITH r AS (
+  SELECT doc_id AS id, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS label_idx,
+         row_number() OVER (PARTITION BY lang
+             ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '3')), doc_id) AS rk,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM documents WHERE lang IN ('de', 'en', 'es', 'fr'))
+SELECT model, label_idx, count(*) AS n_predicted, count(*) AS n_rows
+FROM r, (SELECT unnest(['MLP', 'LDA', 'QDA', 'SVM', 'k-NN', 'DT', 'RF']) AS model)
+WHERE rk > floor(n * 50.0 / 100) AND rk <= 2 * floor(n * 50.0 / 100)
+GROUP BY model, label_idx
+""",
+})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowforge.operators.profile import constant_features as _constant_features
+from flowforge.operators.split import hash_rank
 from flowforge.operators.split import head_percent as _head_percent
 from flowforge.operators.split import split_sizes as _split_sizes
 from flowforge.operators.split import stratified_split as _stratified_split
@@ -36,6 +37,20 @@ def head_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _head_percent(o, 37.5, ["o_orderkey"])
 
 
+def head_percent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head by a text column with missing values and many ties (priority), then the key."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderpriority")).alias("priority"))
+    return _head_percent(o, 90.0, ["priority", "o_orderkey"], rows_per_bucket=1000)
+
+
+def shuffle_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished sets in shuffled order, the place in its set as a column."""
+    s = split_orders(spark, sf_dir).select("o_orderkey", "label", "split")
+    return hash_rank(s, ["split"], ["o_orderkey"], "shuffle") \
+        .select("o_orderkey", "label", "split", F.col("_rank").alias("position"))
+
+
 def subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     return _subsamples(o, 3, ["o_orderkey"], seed=7)
@@ -60,6 +75,8 @@ QUERIES = {
     "stratified_split": stratified_split,
     "split_sizes": split_sizes,
     "head_percent": head_percent,
+    "head_percent_text": head_percent_text,
+    "shuffle_sets": shuffle_sets,
     "subsamples": subsamples,
     "constant_features": constant_features,
 }
@@ -90,6 +107,20 @@ SELECT o_orderkey, o_totalprice FROM (
   SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS rn,
          count(*) OVER () AS n FROM orders)
 WHERE rn <= floor(n * 37.5::DOUBLE / 100)
+""",
+    "head_percent_text": """
+SELECT o_orderkey, priority FROM (
+  SELECT o_orderkey, priority, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY priority NULLS LAST, o_orderkey) AS rn
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS priority FROM orders))
+WHERE rn <= floor(n * 90.0::DOUBLE / 100)
+""",
+    "shuffle_sets": f"""
+WITH {SPLIT_SQL}
+SELECT o_orderkey, label, split,
+       row_number() OVER (PARTITION BY split
+           ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), 'shuffle')), o_orderkey) AS position
+FROM split
 """,
     "subsamples": """
 SELECT subset_id, o_orderkey FROM (

@@ -23,7 +23,7 @@ from flowforge.operators.metrics import binary_metrics, metric_rows, metric_tabl
 from flowforge.operators.profile import class_counts, constant_features
 from flowforge.operators.projection import canonical_labels, select_features
 from flowforge.operators.scaling import apply_label_index, fit_label_index, normalize_splits
-from flowforge.operators.split import split_sizes, stratified_split
+from flowforge.operators.split import shuffle_sets, sort_flows, split_sizes, stratified_split
 from flowforge.schema import (CANONICAL_CLASSES, INFINITY_TOKENS, ORIGINAL_CLASSES,
                               TRAIN_PERCENTAGES, feature_columns, original_to_canonical)
 from flowforge.sources.flows import (day_from_file, load_splits, read_flows, write_labelled,
@@ -33,6 +33,7 @@ from flowforge.sources.flows import (day_from_file, load_splits, read_flows, wri
 def label_capture_files(spark: SparkSession, paths: Sequence[str], output: str | None = None):
     """K1: scan all day files once, label by day, drop, write one folder per day.
 
+    Every day is written in flow order (F1), as one range-partitioned sort.
     Returns the per-(day, label) counts.  No shuffle in the labelling plan; the
     counts are one small aggregation.
     """
@@ -40,13 +41,17 @@ def label_capture_files(spark: SparkSession, paths: Sequence[str], output: str |
     flows = day_from_file(read_flows(spark, paths, "generated"))
     labelled = label_by_day(flows, "day", CAPTURE_DAYS).drop("source_file")
     if output is not None:
-        write_labelled(labelled, output)
+        write_labelled(sort_flows(labelled, ["day", *FLOW_ORDER]), output)
         labelled = (spark.read.option("header", True)
                     .schema(labelled.drop("day").schema).csv(output))
     return (labelled.filter(F.col("label").isNotNull())
             .groupBy("day", "label").agg(F.count(F.lit(1)).alias("count")))
 
 
+#: The order of the flows of a day.
+FLOW_ORDER = ("timestamp", "src_port", "dst_port", "src_addr", "dst_addr")
+
+
 def _percentages(dataset: str, names: Sequence[str]) -> dict:
     return dict(zip(names, TRAIN_PERCENTAGES[dataset]))
 
@@ -108,7 +113,8 @@ def build_dataset(spark: SparkSession, paths: Sequence[str], dataset: str,
     key_cols = [c for c in flows.columns]
     split = stratified_split(flows, "label", key_cols, _percentages(dataset, names), seed=seed)
     if output is not None:
-        write_splits(split, output)
+        # each finished set is written in shuffled order
+        write_splits(shuffle_sets(split, ["split"], key_cols), output)
         split = spark.read.parquet(output)
     sizes = split_sizes(split, "label")
     const = constant_features(split, "split")

@@ -114,3 +114,22 @@ def test_join_form_shuffle_path_equals_broadcast(spark):
     b = {r["id"]: r["label"] for r in label_flows_join(df, rf, broadcast_max_endpoints=0).collect()}
     c = {r["id"]: r["label"] for r in label_flows(df, rules).collect()}
     assert a == b == c
+
+
+def test_join_salts_hot_endpoints_and_counts_listed_rules(spark):
+    from flowforge.operators.labelling import Rule, label_flows, label_flows_join, rules_frame
+    rules = [Rule("a", dst_addr="hot", ts_lo=0, ts_hi=10 ** 6), Rule("b", dst_addr="hot", dst_port=3),
+             Rule("c", dst_addr="cold", ts_lo=5, ts_hi=4), Rule("d", dst_addr="cold", dst_port=1)]
+    flows = spark.createDataFrame(
+        [(i, "hot" if i % 10 else "cold", i % 5, i * 7, "NeedLabel") for i in range(600)] + [(600, None, 1, 1, "x")],
+        "id long, dst_addr string, dst_port long, timestamp long, label string")
+    want = sorted(map(tuple, label_flows(flows, rules).collect()))
+    table = rules_frame(spark, rules)
+    # one rule overlaps 100,001 buckets: counted as listed, it is too large to broadcast
+    bucketed = label_flows_join(flows, table, time_bucket_us=10, broadcast_max_rules=1000)
+    plain = label_flows_join(flows, table, broadcast_max_rules=0)
+    for out in (bucketed, plain):
+        assert "_f_salt" not in out.columns
+        assert sorted(map(tuple, out.select(flows.columns).collect())) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" not in plan

@@ -152,3 +152,15 @@ def test_short_lines_and_pruned_labels_fail(spark, tmp_path):
     bad = spark.createDataFrame([("x", 1)], "label string, v int")
     with pytest.raises(Exception, match="unknown label"):
         validate_labels(bad, ["benign"]).select("v").count()
+
+
+def test_all_seven_models_tell_languages_apart(spark):
+    from flowforge.plans.q_models import language_predictions, language_splits
+    train, test = language_splits(spark, "/root/testdata/sf0.01")
+    floors = {"MLP": 0.85, "LDA": 0.9, "QDA": 0.85, "SVM": 0.85, "k-NN": 0.9, "DT": 0.8, "RF": 0.9}
+    got = {}
+    for name, pred in language_predictions(train.cache(), test.cache()).items():
+        rows = [(r["label_idx"], r["prediction"]) for r in pred.collect()]
+        got[name] = sum(a == b for a, b in rows) / len(rows)
+    print(got)
+    assert all(got[m] >= f for m, f in floors.items()), got

@@ -113,3 +113,24 @@ def test_quantize_global(spark):
     model = Normalizer(per_column=False).fit(df, ["a", "b"])
     out = quantize(df, ["a", "b"], model, per_column=False).collect()
     assert [(r["a"], r["b"]) for r in out] == [(-127, 0), (127, 63)]
+
+
+def test_quartiles_of_many_columns(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(400, 72)) * 10, 1)
+    x[:150, 3] = 7.5  # a hot value
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], [f"c{i}" for i in range(72)])
+    got = {r["column"]: (r["q1"], r["q3"]) for r in
+           column_stats(df, df.columns, accuracy=200, max_bracket=20).collect()}
+    for i in range(72):
+        want = np.percentile(x[:, i], [25, 75])
+        assert abs(got[f"c{i}"][0] - want[0]) < 1e-9 and abs(got[f"c{i}"][1] - want[1]) < 1e-9
+
+
+def test_constant_text_columns(spark):
+    from flowforge.operators.profile import constant_features
+    rows = [(s, "same", f"of {s}", str(i % 2), None if i else "once") for s in ("train", "crossval", "test")
+            for i in range(4)]
+    df = spark.createDataFrame(rows, "split string, a string, b string, c string, d string")
+    assert sorted(r[0] for r in constant_features(df).collect()) == ["a", "b", "d"]
