@@ -10,6 +10,7 @@ from flowforge.operators import classifiers as C
 from flowforge.operators.metrics import binary_metrics, metric_rows, metric_table
 from flowforge.operators.split import stratified_split
 from flowforge.plans.tables import table
+from flowforge.session import ensure_checkpoint_dir
 
 EMB_TRAIN_PCT = 50.0
 EMB_SEED = 3
@@ -147,6 +148,9 @@ def tree_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_splits(spark: SparkSession, sf_dir: str):
     s = stratified_split(language_features(spark, sf_dir), "label_idx", ["id"],
                          {i: (50, 0, 50) for i in range(len(LANGUAGES))}, seed=EMB_SEED)
+    # seven fits and predictions read it: letters are counted once
+    ensure_checkpoint_dir(spark)
+    s = s.checkpoint()
     return tuple(s.filter(F.col("split") == name).drop("split") for name in ("train", "test"))
 
 

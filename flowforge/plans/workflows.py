@@ -23,7 +23,7 @@ from flowforge.operators.metrics import binary_metrics, metric_rows, metric_tabl
 from flowforge.operators.profile import class_counts, constant_features
 from flowforge.operators.projection import canonical_labels, select_features
 from flowforge.operators.scaling import apply_label_index, fit_label_index, normalize_splits
-from flowforge.operators.split import shuffle_sets, sort_flows, split_sizes, stratified_split
+from flowforge.operators.split import hash_rank, shuffle_sets, sort_flows, split_sizes, stratified_split
 from flowforge.schema import (CANONICAL_CLASSES, INFINITY_TOKENS, ORIGINAL_CLASSES,
                               TRAIN_PERCENTAGES, feature_columns, original_to_canonical)
 from flowforge.sources.flows import (day_from_file, load_splits, read_flows, write_labelled,
@@ -138,8 +138,11 @@ def compare_classifiers(spark: SparkSession, root: str, dataset: str,
         tagged = part if tagged is None else tagged.unionByName(part)
     tagged = apply_label_index(idx, tagged)
     tagged = normalize_splits(tagged, feats, "split", "train", "z_score_std", 0, "float64")
-    tagged = tagged.select(F.monotonically_increasing_id().alias("id"), "split", "label_idx",
+    tagged = tagged.select("split", "label_idx",
                            C.features_array(feats, fill_null=0.0).alias("features"))
+    # ids follow the content, not the files, so ties are decided alike on any layout
+    tagged = hash_rank(tagged, ["split"], ["label_idx", "features"], 0) \
+        .select(F.col("_rank").cast("long").alias("id"), "split", "label_idx", "features")
     ensure_checkpoint_dir(spark)
     tagged = tagged.checkpoint()  # cut lineage once; every model reads it
     train = tagged.filter(F.col("split") == "train")
