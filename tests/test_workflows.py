@@ -68,6 +68,12 @@ def test_label_capture_files(spark, capture_dir, tmp_path):
     out = tmp_path / "out"
     assert sorted(p.name for p in out.iterdir() if p.name.startswith("day=")) == [
         "day=friday", "day=monday", "day=thursday", "day=tuesday", "day=wednesday"]
+    # every day in flow order (F1), missing times last
+    for day in out.glob("day=*"):
+        times = [r["timestamp"] for r in spark.read.schema("flow_id string, src_addr string, src_port long, "
+                 "dst_addr string, dst_port long, ip_prot long, timestamp long").option("header", True)
+                 .csv([str(f) for f in sorted(day.glob("*.csv"))]).coalesce(1).collect()]
+        assert times == sorted(times, key=lambda t: (t is None, t or 0)), day
     first_csv = next((out / "day=tuesday").glob("*.csv"))
     assert first_csv.read_text(encoding="ISO-8859-1").startswith("flow_id,")
     # a blank line keeps a missing label (left out of the counts) except on
@@ -119,7 +125,7 @@ def test_build_generated_and_compare(spark, tmp_path):
     rnd = random.Random(2)
     rows = []
     for c, lab in enumerate(["benign", "ddos", "portscan"]):
-        for i in range(40):
+        for i in range(200):  # more train rows than features, so that covariances have full rank
             r = _gen_row(rnd, f"{lab}{i}", A, V, 80, 6, str(1499000000000000 + i), lab)
             for j in range(7, 82):
                 r[j] = f"{float(r[j]) / 10 + 10 * c:.4f}"
@@ -130,11 +136,15 @@ def test_build_generated_and_compare(spark, tmp_path):
     build_dataset(spark, [str(src / "Friday-WorkingHours.csv")], "generated",
                   str(tmp_path / "sets" / "generated"))
     table = compare_classifiers(spark, str(tmp_path / "sets"), "generated",
-                                str(tmp_path / "metrics"), models=["LDA", "k-NN", "DT"])
+                                str(tmp_path / "metrics"))
     vals = {r["metric"]: r for r in table.collect()}
     assert set(vals) >= {"TP", "FP", "FN", "TN", "MCC", "Training time", "Prediction time"}
     assert vals["Prediction time"]["k-NN"] > 0 and vals["Training time"]["k-NN"] >= 0
-    assert vals["Accuracy"]["DT"] >= 0.9 and vals["Accuracy"]["k-NN"] >= 0.9
+    for model in ("MLP", "LDA", "QDA", "k-NN", "DT", "RF"):
+        assert vals["Accuracy"][model] >= 0.9, model
+    # the SVM is not held to the floor: on these three classes in a line it takes every
+    # benign row for an attack (an open point of the README); it does judge every row
+    assert sum(vals[m]["SVM"] for m in ("TP", "FP", "FN", "TN")) == 15 + 50 + 49
     assert os.path.isdir(tmp_path / "metrics")
 
 
