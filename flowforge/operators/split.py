@@ -130,48 +130,58 @@ def _row_order(df: DataFrame, key_cols: Sequence[str], seed, *extra) -> Column:
     return F.concat(hash_key(list(key_cols), seed, *extra), whole)
 
 
-def _at_rank(counts: DataFrame, at: DataFrame, value: str) -> list:
-    """Of the counted values of a prefix, the one that holds each wanted rank:
-    ``(_g, _k, value, rows before it, rows of it)``."""
-    w = (Window.partitionBy("_g", "_p").orderBy(value)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    runs = (counts.withColumn("_s", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-            .join(F.broadcast(at), ["_g", "_p"])
-            .withColumn("_b", F.col("_before") + F.col("_s")))
-    return [tuple(r) for r in
-            runs.filter((F.col("_b") < F.col("_k")) & (F.col("_k") <= F.col("_b") + F.col("_n")))
-            .select("_g", "_k", value, "_b", "_n").collect()]
+#: Digits by which an order string is read on in a round of counting: the driver gets
+#: at most 16 ** 3 counts per class (or per wanted rank, after the first round).
+ROUND_DIGITS = 3
+
+
+def _counts(slim: DataFrame, digits: int, within: Mapping) -> dict:
+    """Rows per group and prefix of ``digits`` digits: ``group -> {prefix: rows}``,
+    inside the prefixes ``within`` (group -> prefixes) where it names any."""
+    if within:
+        near = [(F.col("_g") == F.lit(g)) & F.substring("_o", 1, len(ps[0])).isin(*ps)
+                for g, ps in within.items()]
+        slim = slim.filter(reduce(lambda x, y: x | y, near))
+    out: dict = {}
+    for g, q, n in (slim.groupBy("_g", F.substring("_o", 1, digits).alias("_q"))
+                    .agg(F.count(F.lit(1)).alias("_n")).collect()):
+        out.setdefault(g, {})[q] = n
+    return out
+
 
+def _holder(counts: Mapping, k: int, prefix: str, before: int) -> tuple:
+    """Of the counted strings that start with ``prefix``, the one that holds rank
+    ``k``: ``(string, rows before it, rows of it)``."""
+    for q in sorted(q for q in counts if q.startswith(prefix)):
+        if k <= before + counts[q]:
+            return q, before, counts[q]
+        before += counts[q]
+    raise ValueError(f"rank {k} is past the last row")
 
-def _cut_values(slim: DataFrame, group_type: str, ranks: Sequence[tuple],
-                rows_per_bucket: int) -> dict:
+
+def _cut_values(slim: DataFrame, first: Mapping, ranks: Sequence[tuple], rows_per_bucket: int) -> dict:
     """Order strings at given ranks: ``(group, rank) -> (value, rows before, rows equal)``.
 
-    ``slim`` holds ``(_g, _o)`` (group, hexadecimal order string); ``ranks`` are as
-    few as the caller's classes or subsets.  Rows are counted by the next four digits
-    of ``_o`` within the prefixes that hold a wanted rank, until those hold few rows
-    or are whole order strings (at most ``ORDER_DIGITS / 4`` rounds); then only their
-    rows are grouped by value.  Every round is one aggregation with map-side combine;
-    one row per wanted rank reaches the driver.
+    ``slim`` holds ``(_g, _o)`` (group, hexadecimal order string), ``first`` its counts
+    by ``ROUND_DIGITS`` digits; ``ranks`` are as few as the caller's classes or
+    subsets.  Every round is one aggregation with map-side combine that reads on by
+    ``ROUND_DIGITS`` digits, inside the prefixes that hold a wanted rank, until those
+    hold ``rows_per_bucket`` rows or fewer; these are then counted by whole order
+    string.  A round divides the rows by about 4,096; rows alike in every column
+    never part, so after ``ORDER_DIGITS`` digits their string is whole as well.
     """
-    spark = slim.sparkSession
-    schema = f"_g {group_type}, _k bigint, _p string, _before bigint"
-    state, digits = [(g, k, "", 0) for g, k in ranks], 0
-    while state:
-        at = spark.createDataFrame(state, schema)
-        inside = (slim.withColumn("_p", F.substring("_o", 1, digits))
-                  .join(F.broadcast(at.select("_g", "_p").distinct()), ["_g", "_p"], "left_semi"))
-        # how many rows the prefixes hold is known from the round before
-        if digits and (digits >= ORDER_DIGITS or largest <= rows_per_bucket):
-            counts = inside.groupBy("_g", "_p", "_o").agg(F.count(F.lit(1)).alias("_n"))
-            return {h[:2]: h[2:] for h in _at_rank(counts, at, "_o")}
-        digits += 4
-        counts = (inside.groupBy("_g", "_p", F.substring("_o", 1, digits).alias("_q"))
-                  .agg(F.count(F.lit(1)).alias("_n")))
-        hits = _at_rank(counts, at, "_q")
-        largest = max(h[4] for h in hits)
-        state = [h[:4] for h in hits]
-    return {}
+    digits = ROUND_DIGITS
+    state = {(g, k): _holder(first[g], k, "", 0) for g, k in ranks}
+    while state and digits < ORDER_DIGITS:
+        few = max(n for _, _, n in state.values()) <= rows_per_bucket
+        digits = ORDER_DIGITS if few else digits + ROUND_DIGITS
+        within: dict = {}
+        for (g, _), (q, _, _) in state.items():
+            if q not in within.setdefault(g, []):
+                within[g].append(q)
+        counts = _counts(slim, digits, within)
+        state = {(g, k): _holder(counts[g], k, q, b) for (g, k), (q, b, _) in state.items()}
+    return state
 
 
 #: Copies of one repeated row that a task writes at a time.
@@ -200,7 +210,7 @@ def _copies(tied: DataFrame, cols: Sequence[str], group: Sequence[str], order: S
 
 def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str],
                      percentages: Mapping, seed: int = 0,
-                     rows_per_bucket: int = 1_000_000) -> DataFrame:
+                     rows_per_bucket: int = 4096) -> DataFrame:
     """Exact per-class train / crossval / test split.
 
     Per class of ``n`` rows (ordered by ``md5(key|seed)``): the first
@@ -216,14 +226,17 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str],
     """
     pct = _pct_triplets(percentages)  # validates before any job runs
     spark = df.sparkSession
-    wanted = df.filter(F.col(label_col).isin(*pct)) if pct else df.limit(0)
-    sizes = {r[0]: r["n"] for r in class_sizes(wanted, label_col).collect()}
+    if not pct:
+        return df.limit(0).withColumn("split", F.lit(None).cast("string"))
+    wanted = df.filter(F.col(label_col).isin(*pct))
+    ordered = wanted.withColumn("_o", _row_order(df, key_cols, seed))
+    slim = ordered.select(F.col(label_col).alias("_g"), "_o")
+    first = _counts(slim, ROUND_DIGITS, {})  # class sizes and the first round in one job
+    sizes = {g: sum(c.values()) for g, c in first.items()}
     cuts = {k: (v[0], v[0] + v[1], sum(v)) for k, v in split_cut_points(sizes, pct).items()}
     label_type = df.schema[label_col].dataType.simpleString()
-    ordered = wanted.withColumn("_o", _row_order(df, key_cols, seed))
     ranks = sorted({(g, k) for g, ks in cuts.items() for k in ks if k > 0}, key=str)
-    found = _cut_values(ordered.select(F.col(label_col).alias("_g"), "_o"), label_type, ranks,
-                        rows_per_bucket)
+    found = _cut_values(slim, first, ranks, rows_per_bucket)
     # a cut after the last of its equal rows takes `<=`; one between them is a tie
     rows, ties = [], []
     for g, ks in cuts.items():
@@ -261,12 +274,6 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str],
     return plain.unionByName(copies)
 
 
-def class_sizes(df: DataFrame, label_col: str) -> DataFrame:
-    """Rows per class (NULL labels left out): the one small job before the cut."""
-    return (df.filter(F.col(label_col).isNotNull())
-            .groupBy(label_col).agg(F.count(F.lit(1)).alias("n")))
-
-
 def split_sizes(split_df: DataFrame, label_col: str = "label") -> DataFrame:
     """Rows per (class, split)."""
     return split_df.groupBy(label_col, "split").agg(F.count(F.lit(1)).alias("count"))
@@ -351,7 +358,7 @@ def head_percent(df: DataFrame, pct: float, order_cols: Sequence[str],
 
 
 def subsamples(df: DataFrame, n_subset: int, key_cols: Sequence[str], seed: int = 0,
-               rows_per_bucket: int = 1_000_000) -> DataFrame:
+               rows_per_bucket: int = 4096) -> DataFrame:
     """``n_subset`` subsets of ``ceil(n / n_subset)`` rows, each the head of its
     own permutation (``md5(key|seed|subset)``).  A row appears at most once per
     subset; subsets overlap.  Adds ``subset_id`` (1-based).
@@ -359,14 +366,14 @@ def subsamples(df: DataFrame, n_subset: int, key_cols: Sequence[str], seed: int
     The cut value of each subset is searched by counting, then every row is listed
     for the subsets whose cut it does not exceed: no full row is shuffled.
     """
-    n = df.count()
-    size = math.ceil(n / n_subset)
-    if not n:
-        return df.withColumn("subset_id", F.lit(0)).limit(0)
     orders = {i: _row_order(df, key_cols, seed, F.lit(i)) for i in range(1, n_subset + 1)}
     slim = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_g"), o.alias("_o")) for i, o in orders.items()])).alias("s")).select("s.*")
-    found = _cut_values(slim, "int", [(i, size) for i in orders], rows_per_bucket)
+    first = _counts(slim, ROUND_DIGITS, {})
+    if not first:
+        return df.withColumn("subset_id", F.lit(0)).limit(0)
+    size = math.ceil(sum(first[1].values()) / n_subset)
+    found = _cut_values(slim, first, [(i, size) for i in orders], rows_per_bucket)
     cuts = {i: found[(i, size)] for i in orders}
     in_subset, out = [], None
     for i, (v, before, equal) in cuts.items():
