@@ -6,10 +6,11 @@
   statistics (count, sum, Gram matrix) summed with a grouped aggregation; only
   the ``k x d x d`` statistics reach the driver, and scoring is a vectorised
   ``mapInPandas`` with the fitted parameters in a broadcast variable;
-* k-nearest neighbours is an exact blocked search: test and train rows are cut
-  into blocks, every (test block, train block) pair meets once in a
-  co-grouped pandas function that emits only its local top-k per test row,
-  and a final per-row top-k and majority vote run as DataFrame operations.
+* k-nearest neighbours is an exact blocked search: training rows are grouped round
+  pivots, a test row visits only the groups that the triangle inequality cannot
+  rule out, test and train blocks meet in a co-grouped pandas function that emits
+  only its local top-k per test row, and a final per-row top-k and majority vote
+  run as DataFrame operations.
 
 Input frames carry a feature array column (``array<double>``), an integer
 label column and an id column.
@@ -131,13 +132,18 @@ def mlp(train, test, n_features, n_classes, label="label_idx", features="feature
 # Discriminant analysis from sufficient statistics
 # ---------------------------------------------------------------------------
 
+#: Groups in which the partial moments of a class are added up first.
+MERGE_GROUPS = 256
+
+
 def class_moments(train: DataFrame, label="label_idx", features="features", d=None) -> dict:
     """Per class: n, mean (d), centred scatter (d x d), summed over partitions.
 
     All sums are taken about one training row, so a common offset of the features
-    does not cancel the digits of the scatter.  Each partition reduces its rows to ``k*(1+d+d*d)`` numbers in pandas; the
-    partials are summed by ``groupBy(label, idx)`` (partial aggregation, no
-    row-level shuffle).  Only the summed statistics are collected.
+    does not cancel the digits of the scatter.  Each partition reduces its rows to one
+    array of ``1+d+d*d`` numbers per class; these are added up in two levels
+    (``MERGE_GROUPS`` groups per class, then one), no training row is shuffled and
+    one array per class reaches the driver.
     """
     first = train.select(features).first()
     if first is None:
@@ -155,22 +161,23 @@ def class_moments(train: DataFrame, label="label_idx", features="features", d=No
                 x = x_all[y_all == cls]
                 n, s, g = acc.get(cls, (0, 0.0, 0.0))
                 acc[cls] = (n + len(x), s + x.sum(axis=0), g + x.T @ x)
-        for cls, (n, s, g) in acc.items():
-            vals = np.concatenate([[float(n)], np.ravel(s), np.ravel(g)])
-            yield pd.DataFrame({"cls": np.full(len(vals), int(cls), dtype=np.int64),
-                                "idx": np.arange(len(vals), dtype=np.int64),
-                                "val": vals})
-
-    long = (train.select(label, features)
-            .mapInPandas(partials, "cls long, idx long, val double")
-            .groupBy("cls", "idx").agg(F.sum("val").alias("val")))
-    rows = long.collect()
-    by_cls: dict[int, dict[int, float]] = {}
-    for r in rows:
-        by_cls.setdefault(int(r["cls"]), {})[int(r["idx"])] = r["val"]
+        cls = sorted(acc)
+        if cls:
+            yield pd.DataFrame({"cls": np.array(cls, dtype=np.int64), "vals": [
+                np.concatenate([[float(acc[c][0])], np.ravel(acc[c][1]), np.ravel(acc[c][2])]) for c in cls]})
+
+    def add_up(pdf):
+        total = np.sum(np.stack(pdf.sort_values("part")["vals"].to_numpy()), axis=0)
+        return pd.DataFrame({"cls": pdf["cls"].iloc[:1], "part": pdf["part"].min(), "vals": [total]})
+
+    schema = "cls long, part int, vals array<double>"
+    sums = (train.select(label, features).mapInPandas(partials, "cls long, vals array<double>")
+            .select("cls", F.spark_partition_id().alias("part"), "vals")
+            .groupBy("cls", (F.col("part") % MERGE_GROUPS).alias("g")).applyInPandas(add_up, schema)
+            .groupBy("cls").applyInPandas(add_up, schema))
     out = {}
-    for cls, m in by_cls.items():
-        arr = np.array([m[i] for i in range(len(m))])
+    for r in sums.collect():
+        cls, arr = int(r["cls"]), np.array(r["vals"])
         dd = int(round((-1 + math.sqrt(1 + 4 * (len(arr) - 1))) / 2))
         n, total, gram = arr[0], arr[1:1 + dd], arr[1 + dd:].reshape(dd, dd)
         out[cls] = (n, origin + total / n, gram - np.outer(total, total) / n)
@@ -275,20 +282,121 @@ def qda(train, test, label="label_idx", features="features", id_col="id", reg_pa
 # Exact k-nearest neighbours, blocked
 # ---------------------------------------------------------------------------
 
+#: Most pivot rows of the k-NN search; they and one line of numbers per cell are all
+#: that the driver and every task hold.
+MAX_PIVOTS = 256
+#: Largest table of (test block, cell) pairs that is broadcast to the training rows.
+BROADCAST_MAX_PAIRS = 1_000_000
+
+
+def _knn_blocks(train: DataFrame, test: DataFrame, k: int, label, features, id_col,
+                block_rows: int):
+    """Test and train rows dealt to the blocks in which they can meet as neighbours:
+    two frames with the block columns ``home, qp, cell, tp``, or None without rows.
+
+    A training row belongs to the cell of its nearest pivot.  A test row has ``k``
+    neighbours within the distance of its k-th nearest pivot, and within reach of the
+    nearest cells that hold ``k`` rows; by the triangle inequality a cell whose
+    radii keep farther off than that bound holds none of its neighbours.
+    """
+    n_train = train.count()
+    n_pivots = min(MAX_PIVOTS, max(2 * k, math.ceil(4 * n_train / block_rows)))
+    drawn = train.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).select(features).collect()
+    rows = np.array([r[0] for r in drawn], dtype=np.float64)
+    if not len(rows):
+        return None
+    rows = rows[np.isfinite(rows).all(axis=1)]
+    pivots = np.unique(rows, axis=0) if len(rows) else np.zeros((1, len(drawn[0][0])))
+    spark = train.sparkSession
+
+    def distances(x, to):
+        """Euclidean, rows by pivots.  Summed one dimension at a time, so that a row gets
+        the same number whatever batch it is in: a task that is run again deals its
+        rows to the same cells."""
+        out = np.empty((len(x), len(to)))
+        for s in range(0, len(x), 1024):
+            acc = np.zeros((len(x[s:s + 1024]), len(to)))
+            for j in range(x.shape[1]):
+                diff = x[s:s + 1024, j, None] - to[None, :, j]
+                acc += diff * diff
+            out[s:s + 1024] = np.sqrt(acc)
+        return out
+
+    near = spark.sparkContext.broadcast((rows, pivots))
+
+    def cells_of(it):
+        for pdf in it:
+            if len(pdf):
+                d = distances(np.stack(pdf[features].to_numpy()).astype(np.float64), near.value[1])
+                cell = d.argmin(axis=1)
+                yield pdf.drop(columns=features).assign(
+                    x=pdf[features], cell=cell.astype(np.int32), radius=d[np.arange(len(d)), cell])
+
+    in_cells = (train.select(F.col(id_col).alias("train_id").cast("long"),
+                             F.col(label).cast("int").alias("nb_label"), features)
+                .mapInPandas(cells_of, "train_id long, nb_label int, x array<double>, cell int, radius double"))
+    stats = {r["cell"]: r for r in in_cells.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()}
+    ids = np.array(sorted(stats), dtype=np.int64)
+    n = np.array([stats[c]["n"] for c in ids])
+    lo, hi = (np.array([stats[c][f] for c in ids]) for f in ("lo", "hi"))
+    cells = spark.sparkContext.broadcast((ids, n, lo, hi))
+
+    def visits_of(it):
+        rows, pivots = near.value
+        ids, n, lo, hi = cells.value
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf[features].to_numpy()).astype(np.float64)
+            every = distances(x, pivots)
+            d = every[:, ids]
+            reach = d + hi
+            order = reach.argsort(axis=1)
+            enough = (np.cumsum(n[order], axis=1) >= k).argmax(axis=1)
+            bound = np.where(n.sum() >= k, reach[np.arange(len(x)), order[np.arange(len(x)), enough]], np.inf)
+            if len(rows) >= k:
+                bound = np.fmin(bound, np.partition(distances(x, rows), k - 1, axis=1)[:, k - 1])
+            # far more than the rounding of the distances; NaN rules nothing out
+            slack = 1e-9 * (d + hi + bound[:, None])
+            out = np.maximum(d - hi, lo - d) > bound[:, None] + slack
+            yield pd.DataFrame({"test_id": pdf[id_col].to_numpy(), "q": pdf[features],
+                                "home": every.argmin(axis=1).astype(np.int32),
+                                "cells": [ids[~o].astype(np.int32) for o in out]})
+
+    visits = (test.select(F.col(id_col).cast("long").alias(id_col), features)
+              .mapInPandas(visits_of, "test_id long, q array<double>, home int, cells array<int>"))
+    homes = {r["home"]: r["n"] for r in
+             visits.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def pieces(sizes, col):  # blocks that a cell of so many rows is cut into
+        return F.get(F.array(*[F.lit(math.ceil(sizes.get(c, 1) / block_rows))
+                               for c in range(len(pivots))]), F.col(col))
+
+    per_cell = pieces({int(c): int(m) for c, m in zip(ids, n)}, "cell")
+    te = (visits.withColumn("qp", F.pmod(F.xxhash64("test_id"), pieces(homes, "home")))
+          .withColumn("cell", F.explode("cells")).drop("cells"))
+    pairs = te.select(*[F.col(c).alias(c) for c in ("home", "qp", "cell")]).distinct()
+    if sum(math.ceil(m / block_rows) for m in homes.values()) * len(ids) <= BROADCAST_MAX_PAIRS:
+        pairs = F.broadcast(pairs)
+    tr = (in_cells.drop("radius").withColumn("tp", F.pmod(F.xxhash64("train_id"), per_cell))
+          .join(pairs, "cell"))
+    te = te.withColumn("tp", F.explode(F.sequence(F.lit(0).cast("long"), per_cell - F.lit(1).cast("long"))))
+    return te, tr
+
+
 def knn_candidates(train: DataFrame, test: DataFrame, k: int = 5, label="label_idx",
                    features="features", id_col="id", block_rows: int = 4096) -> DataFrame:
     """Exact top-k train neighbours of every test row: ``(test_id, train_id,
-    dist2, nb_label, rank)``, squared Euclidean distance, ties by train id."""
-    n_train, n_test = train.count(), test.count()
-    nb_tr = max(1, math.ceil(n_train / block_rows))
-    nb_te = max(1, math.ceil(n_test / block_rows))
-    tr = (train.select(F.col(id_col).alias("train_id"), F.col(label).cast("int").alias("nb_label"),
-                       F.col(features).alias("x"))
-          .withColumn("tb", F.pmod(F.xxhash64("train_id"), F.lit(nb_tr)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb_te - 1)))))
-    te = (test.select(F.col(id_col).alias("test_id"), F.col(features).alias("q"))
-          .withColumn("qb", F.pmod(F.xxhash64("test_id"), F.lit(nb_te)))
-          .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nb_tr - 1)))))
+    dist2, nb_label, rank)``, squared Euclidean distance, ties by train id.
+
+    Rows meet in blocks of about ``block_rows``; a test row visits only the cells that
+    the triangle inequality cannot rule out (``_knn_blocks``)."""
+    schema = "test_id long, train_id long, dist2 double, nb_label int"
+    blocks = _knn_blocks(train, test, k, label, features, id_col, block_rows)
+    if blocks is None:
+        return train.sparkSession.createDataFrame([], schema + ", rank int")
+    te, tr = blocks
 
     def local_topk(q_pdf: pd.DataFrame, t_pdf: pd.DataFrame) -> pd.DataFrame:
         cols = ["test_id", "train_id", "dist2", "nb_label"]
@@ -325,8 +433,8 @@ def knn_candidates(train: DataFrame, test: DataFrame, k: int = 5, label="label_i
                     "dist2": exact[best], "nb_label": lab[col[best]].astype(np.int32)}))
         return pd.concat(parts, ignore_index=True)
 
-    cands = (te.groupBy("qb", "tb").cogroup(tr.groupBy("qb", "tb"))
-             .applyInPandas(local_topk, "test_id long, train_id long, dist2 double, nb_label int"))
+    block = ["home", "qp", "cell", "tp"]
+    cands = te.groupBy(*block).cogroup(tr.groupBy(*block)).applyInPandas(local_topk, schema)
     w = Window.partitionBy("test_id").orderBy("dist2", "train_id")
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

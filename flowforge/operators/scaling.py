@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from flowforge.functions.exprs import clip_col
 from flowforge.operators.profile import column_stats, global_stats, histogram
 
+# The names of the scaling methods.
 METHODS = ("min_max_scaling", "z_score_std", "robust_scaling")
 ALL_COLUMNS = "__all__"
+#: Quantised values run from -INT8_MAX to INT8_MAX.
+INT8_MAX = 127
 
 
 @dataclass(frozen=True)
@@ -135,8 +138,8 @@ def quantize(df: DataFrame, cols: Sequence[str], model: NormalizerModel | None,
 
     def q(c):
         mn, mx = bounds[c]
-        scale = F.lit((mx - mn) / (127 - (-127)))
-        zp = F.lit(127.0) - F.try_divide(F.lit(mx), scale)
+        scale = F.lit((mx - mn) / (2 * INT8_MAX))
+        zp = F.lit(float(INT8_MAX)) - F.try_divide(F.lit(mx), scale)
         v = F.try_divide(F.col(c).cast("double"), scale) + zp
         return F.when(scale == 0, F.lit(None)).otherwise(v).cast("tinyint")
 

@@ -77,6 +77,35 @@ def test_knn_matches_brute_force(spark):
         assert got[qid] == int(np.argmax(counts)), qid
 
 
+def test_knn_visits_only_near_cells_and_stays_exact(spark):
+    """Clusters, a hot vector, fewer rows than k in a cell, and NaN: as brute force, and
+    clustered test rows meet a small part of the training blocks."""
+    from flowforge.operators.classifiers import _knn_blocks, knn_candidates
+    rnd = np.random.default_rng(6)
+    centres = rnd.normal(0, 50, (12, 6))
+    tr = [(i, i % 3, (centres[i % 12] + rnd.normal(0, 1, 6)).tolist()) for i in range(1500)]
+    tr += [(i, i % 3, centres[0].tolist()) for i in range(1500, 2300)]
+    te = [(9000 + i, 0, (centres[i % 12] + rnd.normal(0, 1, 6)).tolist()) for i in range(120)]
+    te += [(9990, 0, rnd.normal(0, 50, 6).tolist()), (9991, 0, centres[0].tolist())]
+    schema = "id long, label_idx int, features array<double>"
+    train, test = spark.createDataFrame(tr, schema).repartition(3), spark.createDataFrame(te, schema)
+    got = {}
+    for r in knn_candidates(train, test, 5, block_rows=50).orderBy("rank").collect():
+        got.setdefault(r["test_id"], []).append(r["train_id"])
+    x, ids = np.array([r[2] for r in tr]), np.array([r[0] for r in tr])
+    want = {t: ids[np.lexsort((ids, ((x - np.array(q)) ** 2).sum(1)))[:5]].tolist() for t, _, q in te}
+    assert got == want
+    te_blocks, tr_blocks = _knn_blocks(train, test, 5, "label_idx", "features", "id", 50)
+    blocks = tr_blocks.select("cell", "tp").distinct().count()
+    assert te_blocks.count() < 0.5 * len(te) * blocks
+    odd = train.unionByName(spark.createDataFrame([(5000, 0, [float("nan")] * 6)], schema))
+    few = {r["test_id"]: r["train_id"] for r in knn_candidates(odd, test, 1, block_rows=50).collect()}
+    assert few == {t: w[0] for t, w in want.items()}
+    assert knn_candidates(train.limit(0), test, 5).count() == 0
+    assert knn_candidates(train, test.limit(0), 5).count() == 0
+    assert knn_candidates(train.limit(3), test, 5).count() == 3 * len(te)
+
+
 @pytest.mark.parametrize("fit", ["tree", "forest", "svm"])
 def test_ml_models_accuracy(data, fit):
     train, test = data
