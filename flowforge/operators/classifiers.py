@@ -282,11 +282,9 @@ def qda(train, test, label="label_idx", features="features", id_col="id", reg_pa
 # Exact k-nearest neighbours, blocked
 # ---------------------------------------------------------------------------
 
-#: Most pivot rows of the k-NN search; they and one line of numbers per cell are all
-#: that the driver and every task hold.
+#: Most pivot rows of the k-NN search; they and the numbers of a pair of cells (at most
+#: 256 x 256) are all that the driver and every task hold.
 MAX_PIVOTS = 256
-#: Largest table of (test block, cell) pairs that is broadcast to the training rows.
-BROADCAST_MAX_PAIRS = 1_000_000
 
 
 def _knn_blocks(train: DataFrame, test: DataFrame, k: int, label, features, id_col,
@@ -300,11 +298,11 @@ def _knn_blocks(train: DataFrame, test: DataFrame, k: int, label, features, id_c
     radii keep farther off than that bound holds none of its neighbours.
     """
     n_train = train.count()
-    n_pivots = min(MAX_PIVOTS, max(2 * k, math.ceil(4 * n_train / block_rows)))
+    n_pivots = min(MAX_PIVOTS, math.ceil(4 * n_train / block_rows))
     drawn = train.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).select(features).collect()
-    rows = np.array([r[0] for r in drawn], dtype=np.float64)
-    if not len(rows):
+    if not drawn:
         return None
+    rows = np.array([r[0] for r in drawn], dtype=np.float64)
     rows = rows[np.isfinite(rows).all(axis=1)]
     pivots = np.unique(rows, axis=0) if len(rows) else np.zeros((1, len(drawn[0][0])))
     spark = train.sparkSession
@@ -342,46 +340,63 @@ def _knn_blocks(train: DataFrame, test: DataFrame, k: int, label, features, id_c
     lo, hi = (np.array([stats[c][f] for c in ids]) for f in ("lo", "hi"))
     cells = spark.sparkContext.broadcast((ids, n, lo, hi))
 
-    def visits_of(it):
+    def visits(x):
+        """Home cell, and a flag per cell that may hold a neighbour, of every row."""
         rows, pivots = near.value
         ids, n, lo, hi = cells.value
+        every = distances(x, pivots)
+        d = every[:, ids]
+        reach = d + hi
+        order = reach.argsort(axis=1)
+        at = np.arange(len(x))
+        enough = (np.cumsum(n[order], axis=1) >= k).argmax(axis=1)
+        bound = reach[at, order[at, enough]] if n.sum() >= k else np.full(len(x), np.inf)
+        if len(rows) >= k:
+            bound = np.fmin(bound, np.partition(distances(x, rows), k - 1, axis=1)[:, k - 1])
+        # far more than the rounding of the distances; NaN rules nothing out
+        slack = 1e-9 * (d + hi + bound[:, None])
+        return every.argmin(axis=1), ~(np.maximum(d - hi, lo - d) > bound[:, None] + slack)
+
+    def visits_of(it):
         for pdf in it:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            every = distances(x, pivots)
-            d = every[:, ids]
-            reach = d + hi
-            order = reach.argsort(axis=1)
-            enough = (np.cumsum(n[order], axis=1) >= k).argmax(axis=1)
-            bound = np.where(n.sum() >= k, reach[np.arange(len(x)), order[np.arange(len(x)), enough]], np.inf)
-            if len(rows) >= k:
-                bound = np.fmin(bound, np.partition(distances(x, rows), k - 1, axis=1)[:, k - 1])
-            # far more than the rounding of the distances; NaN rules nothing out
-            slack = 1e-9 * (d + hi + bound[:, None])
-            out = np.maximum(d - hi, lo - d) > bound[:, None] + slack
-            yield pd.DataFrame({"test_id": pdf[id_col].to_numpy(), "q": pdf[features],
-                                "home": every.argmin(axis=1).astype(np.int32),
-                                "cells": [ids[~o].astype(np.int32) for o in out]})
-
-    visits = (test.select(F.col(id_col).cast("long").alias(id_col), features)
-              .mapInPandas(visits_of, "test_id long, q array<double>, home int, cells array<int>"))
-    homes = {r["home"]: r["n"] for r in
-             visits.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+            if len(pdf):
+                home, seen = visits(np.stack(pdf[features].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({"test_id": pdf[id_col].to_numpy(), "q": pdf[features],
+                                    "home": home.astype(np.int32),
+                                    "cells": [cells.value[0][s].astype(np.int32) for s in seen]})
+
+    def totals_of(it):  # rows of a home cell that visit a cell; cell -1: all its rows
+        n_homes, ids = len(near.value[1]), cells.value[0]
+        total = np.zeros((n_homes, len(ids) + 1), dtype=np.int64)
+        for pdf in it:
+            if len(pdf):
+                home, seen = visits(np.stack(pdf[features].to_numpy()).astype(np.float64))
+                np.add.at(total, home, np.hstack([seen, np.ones((len(seen), 1), dtype=bool)]))
+        home, col = np.nonzero(total)
+        yield pd.DataFrame({"home": home.astype(np.int32), "cell": np.r_[ids, -1][col].astype(np.int32),
+                            "n": total[home, col]})
+
+    queries = test.select(F.col(id_col).cast("long").alias(id_col), features)
+    met = (queries.select(features).mapInPandas(totals_of, "home int, cell int, n long")
+           .groupBy("home", "cell").agg(F.sum("n").alias("n")).collect())
+    homes = {r["home"]: r["n"] for r in met if r["cell"] < 0}
 
     def pieces(sizes, col):  # blocks that a cell of so many rows is cut into
         return F.get(F.array(*[F.lit(math.ceil(sizes.get(c, 1) / block_rows))
                                for c in range(len(pivots))]), F.col(col))
 
-    per_cell = pieces({int(c): int(m) for c, m in zip(ids, n)}, "cell")
-    te = (visits.withColumn("qp", F.pmod(F.xxhash64("test_id"), pieces(homes, "home")))
-          .withColumn("cell", F.explode("cells")).drop("cells"))
-    pairs = te.select(*[F.col(c).alias(c) for c in ("home", "qp", "cell")]).distinct()
-    if sum(math.ceil(m / block_rows) for m in homes.values()) * len(ids) <= BROADCAST_MAX_PAIRS:
-        pairs = F.broadcast(pairs)
-    tr = (in_cells.drop("radius").withColumn("tp", F.pmod(F.xxhash64("train_id"), per_cell))
-          .join(pairs, "cell"))
-    te = te.withColumn("tp", F.explode(F.sequence(F.lit(0).cast("long"), per_cell - F.lit(1).cast("long"))))
+    def all_pieces(count):
+        return F.explode(F.sequence(F.lit(0).cast("long"), count - F.lit(1).cast("long")))
+
+    parts = {int(c): int(m) for c, m in zip(ids, n)}
+    te = (queries.mapInPandas(visits_of, "test_id long, q array<double>, home int, cells array<int>")
+          .withColumn("qp", F.pmod(F.xxhash64("test_id"), pieces(homes, "home")))
+          .withColumn("cell", F.explode("cells")).drop("cells")
+          .withColumn("tp", all_pieces(pieces(parts, "cell"))))
+    pairs = spark.createDataFrame([(r["home"], r["cell"]) for r in met if r["cell"] >= 0],
+                                  "home int, cell int")
+    tr = (in_cells.drop("radius").withColumn("tp", F.pmod(F.xxhash64("train_id"), pieces(parts, "cell")))
+          .join(F.broadcast(pairs), "cell").withColumn("qp", all_pieces(pieces(homes, "home"))))
     return te, tr
 
 
