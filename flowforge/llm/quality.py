@@ -16,7 +16,8 @@ Method
 
 Only ``(host, document, line hash, words)`` rows are shuffled, pre-aggregated;
 the table of frequent lines holds at most ``lines / limit`` rows, is counted, and
-is broadcast up to ``broadcast_rows`` rows, else joined by shuffle.
+is broadcast up to ``broadcast_rows`` rows, else joined by shuffle.  The host sizes
+meet the line counts by (host, salt), so the lines of a hot host are not one task's.
 
 Defined results: a null or empty text has no words (base rule fails, not
 kept); a null host is a host of its own; rows with the same id and text count
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from flowforge.llm.common import materialize
 
 SYMBOLS = "#*$%&|<>"
+HOST_SALTS = 64
 _SPLIT = r"[\\x20\\x09-\\x0D]+"
 _TRIM = r"^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -111,11 +113,12 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFr
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
                   min_line_docs: int = 50, line_share: float = 0.05,
                   min_kept_share: float = 0.3, min_words: int = 50,
-                  max_repeat_share: int = 50, broadcast_rows: int = 500_000) -> DataFrame:
+                  max_repeat_share: int = 50, broadcast_rows: int = 500_000,
+                  least_line_docs: int = 4) -> DataFrame:
     """``docs`` with the columns of ``RESULT``.
 
-    A line is frequent on a host when more than ``max(min_line_docs,
-    line_share * documents of the host)`` documents hold it.
+    A line is frequent on a host when more than ``min_line_docs`` documents hold
+    it, or more than ``max(least_line_docs, line_share * documents of the host)``.
     """
     d = docs.drop(*[c for c in RESULT if c in docs.columns and c not in (doc_id, text, host)])
     d = d.withColumn("_qr_key", F.xxhash64(
@@ -124,11 +127,15 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     counts = (lines.groupBy("_qr_host", "_qr_key", "_qr_h").agg(F.min("_qr_id").alias("_qr_id"))
               .groupBy("_qr_host", "_qr_h")
               .agg(F.count(F.lit(1)).alias("_qr_docs"), F.min("_qr_id").alias("_qr_first"))
-              .filter(F.col("_qr_docs") > min_line_docs))
+              .filter(F.col("_qr_docs") > min(min_line_docs, least_line_docs))
+              .withColumn("_qr_salt", F.pmod("_qr_h", F.lit(HOST_SALTS))))
     hosts = (d.groupBy(F.col(host).alias("_qr_host2"), "_qr_key").agg(F.lit(1).alias("one"))
-             .groupBy("_qr_host2").agg(F.count(F.lit(1)).alias("_qr_all")))
-    frequent = (counts.join(hosts, F.col("_qr_host").eqNullSafe(F.col("_qr_host2")))
-                .filter(F.col("_qr_docs") > F.col("_qr_all") * F.lit(float(line_share)))
+             .groupBy("_qr_host2").agg(F.count(F.lit(1)).alias("_qr_all"))
+             .withColumn("_qr_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOST_SALTS - 1).cast("long")))))
+    share = F.greatest(F.lit(float(least_line_docs)), F.col("_qr_all") * F.lit(float(line_share)))
+    frequent = (counts.join(hosts, F.col("_qr_host").eqNullSafe(F.col("_qr_host2"))
+                            & (F.col("_qr_salt") == F.col("_qr_salt2")))
+                .filter((F.col("_qr_docs") > min_line_docs) | (F.col("_qr_docs") > share))
                 .select(F.col("_qr_host").alias("_qr_fhost"), F.col("_qr_h").alias("_qr_fh"), "_qr_first"))
     frequent = materialize(frequent)
     if frequent.count() <= broadcast_rows:  # then the lines need no shuffle to meet them
