@@ -25,8 +25,14 @@ Method
    the others.
 4. The batches get the repeated ranges back and remove them.
 
-A passage that a third of all documents hold is one segment per batch and one
-segment of a shard.
+The first round also counts the segments of each minimiser.  A hot minimiser, one
+whose segments could fill more than ``hot_bytes``, has its segments cut into single
+strings, distinct within a batch, and each goes to the bucket of its own hash: equal
+strings still meet and no task gets the whole group.
+
+The inside of a passage that a third of all documents hold is one segment per batch
+and one segment of a shard; where the passage meets the documents' own texts the
+segments differ, which is what makes its minimisers there hot.
 
 Defined results: a null or empty text has no bytes; documents with equal ids are
 documents of their own (their texts repeat); a null id is like any other; an empty
@@ -49,6 +55,7 @@ GRAM = 32
 PIECE_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
+HOT_BYTES = 8 << 20
 
 
 # ------------------------------------------------------------ suffix arrays
@@ -210,10 +217,11 @@ def repeated_in_bucket(segments: list[bytes], mini: np.ndarray, count: np.ndarra
 # ------------------------------------------------------------------ batches
 
 class Segments:
-    """Distinct segments of a batch and where each occurs."""
+    """Distinct segments of a batch and where each occurs.  Those of the hot
+    minimisers are cut into single strings, named by their own hash (``single``)."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int):
-        strings, self_first, minis = [], [], []
+    def __init__(self, texts: list[bytes], length: int, gram: int, hot: np.ndarray | None = None):
+        strings, self_first, minis, singles = [], [], [], []
         self.base = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         whole = b"".join(texts)
         a = np.frombuffer(whole, np.uint8)
@@ -231,19 +239,27 @@ class Segments:
             new = np.ones(len(start), bool)
             # also where the next string no longer holds this place of the minimiser
             new[1:] = (low[1:] != low[:-1]) | (g[:len(low) - 1] == low[:-1]) | ~ok[:-1] | (doc[1:] != doc[:-1])
+            alone = np.isin(low, hot) & ok if hot is not None and len(hot) else np.zeros(len(start), bool)
+            new |= alone
             first = np.flatnonzero(new & ok)
             stop = np.flatnonzero(np.append(new | ~ok, True))
             last = stop[np.searchsorted(stop, first, side="right")]
             strings += [whole[x:y] for x, y in zip((first + lo).tolist(), (last + lo + length - 1).tolist())]
             self_first.append(first + lo)
-            minis.append(low[first])
+            names = low[first]
+            own = alone[first]
+            names[own] = span_hash(sums, first[own], first[own] + length)
+            minis.append(names)
+            singles.append(own)
         self.first = np.concatenate(self_first) if self_first else np.empty(0, np.int64)
         coded = pa.array(strings, pa.large_binary()).dictionary_encode()
         self.entry = coded.indices.to_numpy().astype(np.int64)
         self.texts = coded.dictionary
         self.mini = np.zeros(len(self.texts), np.uint64)
+        self.single = np.zeros(len(self.texts), bool)
         if len(self.entry):
             self.mini[self.entry] = np.concatenate(minis)
+            self.single[self.entry] = np.concatenate(singles)
         self.count = np.bincount(self.entry, minlength=len(self.texts))
 
 
@@ -257,44 +273,55 @@ def _send_minimisers(length: int, gram: int, n_buckets: int):
         mini, inv = np.unique(s.mini, return_inverse=True)
         many = np.minimum(np.bincount(inv, weights=s.count, minlength=len(mini)), 2).astype(np.uint8)
         out_b, out = [], []
+        segments = np.bincount(inv, minlength=len(mini)).astype(np.int32)
         for b, rows in by_bucket(_bucket_of(mini, n_buckets)):
             out_b.append(b)
             step = np.diff(mini[rows], prepend=np.uint64(0))
-            out.append(pack(step, many[rows]))
+            out.append(pack(step, many[rows], segments[rows]))
         return blob_table(bucket=(out_b, pa.int64()), batch=([key[0].as_py()] * len(out), pa.int64()),
                           minimisers=(out, pa.binary()))
     return run
 
 
-def _repeated_minimisers(key, t):
-    parts = [unpack(b, np.uint64, np.uint8) for b in t.column("minimisers").to_pylist()]
-    mini = [np.cumsum(p[0]) for p in parts]
-    names, inv = np.unique(np.concatenate(mini), return_inverse=True)
-    total = np.bincount(inv, weights=np.concatenate([p[1] for p in parts]), minlength=len(names))
-    out_b, out = [], []
-    for batch, m in zip(t.column("batch").to_pylist(), mini):
-        hot = m[total[np.searchsorted(names, m)] > 1]
-        if len(hot):
-            out_b.append(batch)
-            out.append(pack(hot))
-    return blob_table(batch=(out_b, pa.int64()), answer=(out, pa.binary()))
+def _repeated_minimisers(most: float):
+    """Per batch its minimisers seen twice, and which of them have over ``most`` segments."""
+    def run(key, t):
+        parts = [unpack(b, np.uint64, np.uint8, np.int32) for b in t.column("minimisers").to_pylist()]
+        mini = [np.cumsum(p[0]) for p in parts]
+        names, inv = np.unique(np.concatenate(mini), return_inverse=True)
+        total, segments = (np.bincount(inv, weights=np.concatenate([p[k] for p in parts]), minlength=len(names))
+                           for k in (1, 2))
+        out_b, out = [], []
+        for batch, m in zip(t.column("batch").to_pylist(), mini):
+            at = np.searchsorted(names, m)
+            twice = total[at] > 1
+            if twice.any():
+                out_b.append(batch)
+                out.append(pack(m[twice], (segments[at[twice]] > most).astype(np.uint8)))
+        return blob_table(batch=(out_b, pa.int64()), answer=(out, pa.binary()))
+    return run
 
 
 def _send_segments(length: int, gram: int, n_buckets: int):
     def run(key, docs, answers):
-        hot = [unpack(b, np.uint64)[0] for b in answers.column("answer").to_pylist()]
-        if not hot or not docs.num_rows:
+        known = [unpack(b, np.uint64, np.uint8) for b in answers.column("answer").to_pylist()]
+        if not known or not docs.num_rows:
             return blob_table(bucket=([], pa.int64()), batch=([], pa.int64()), segments=([], pa.binary()))
-        s = Segments(sorted_rows(docs)[1], length, gram)
-        use = np.flatnonzero(np.isin(s.mini, np.concatenate(hot)))
+        twice, many = (np.concatenate([p[k] for p in known]) for k in range(2))
+        hot = twice[many > 0]
+        s = Segments(sorted_rows(docs)[1], length, gram, hot)
+        use = np.flatnonzero(s.single | np.isin(s.mini, twice))
+        batch = docs.column("batch")[0].as_py()
         out_b, out = [], []
+        if len(hot):  # for the last round of this batch, which cuts the same segments
+            out_b.append(-1 - batch)
+            out.append(pack(hot))
         for b, at in by_bucket(_bucket_of(s.mini[use], n_buckets)):
             rows = use[at]
             texts = s.texts.take(pa.array(rows)).to_pylist()
             out_b.append(b)
             out.append(pack(rows.astype(np.int32), np.minimum(s.count[rows], 2).astype(np.uint8), s.mini[rows],
                             np.fromiter(map(len, texts), np.int32, len(texts)), b"".join(texts)))
-        batch = docs.column("batch")[0].as_py()
         return blob_table(bucket=(out_b, pa.int64()), batch=([batch] * len(out), pa.int64()),
                           segments=(out, pa.binary()))
     return run
@@ -308,6 +335,10 @@ def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _find_repeats(length: int, shard_bytes: int):
     def run(key, t):
         batches = t.column("batch").to_pylist()
+        none = np.empty(0, np.int32)
+        if key[0].as_py() < 0:
+            hot = [pack(none, none, none, *unpack(b, np.uint64)) for b in t.column("segments").to_pylist()]
+            return blob_table(batch=(batches, pa.int64()), answer=(hot, pa.binary()))
         parts = [unpack(b, np.int32, np.uint8, np.uint64, np.int32, None)
                  for b in t.column("segments").to_pylist()]
         strings = []
@@ -332,7 +363,8 @@ def _find_repeats(length: int, shard_bytes: int):
             out_b.append(batch)
             out.append(pack(np.repeat(p[0], n),
                             np.concatenate([found[k][0] for k in own.tolist()]).astype(np.int32),
-                            np.concatenate([found[k][1] for k in own.tolist()]).astype(np.int32)))
+                            np.concatenate([found[k][1] for k in own.tolist()]).astype(np.int32),
+                            np.empty(0, np.uint64)))
         return blob_table(batch=(out_b, pa.int64()), answer=(out, pa.binary()))
     return run
 
@@ -340,10 +372,10 @@ def _find_repeats(length: int, shard_bytes: int):
 def _remove(length: int, gram: int):
     def run(key, docs, answers):
         ids, texts, _ = sorted_rows(docs)
-        s = Segments(texts, length, gram)
+        parts = [unpack(b, np.int32, np.int32, np.int32, np.uint64) for b in answers.column("answer").to_pylist()]
+        s = Segments(texts, length, gram, np.concatenate([p[3] for p in parts]) if parts else None)
         n = int(s.base[-1])
         cover = np.zeros(n + 1, np.int32)
-        parts = [unpack(b, np.int32, np.int32, np.int32) for b in answers.column("answer").to_pylist()]
         if parts and texts:
             entry, lo, hi = (np.concatenate([p[k] for p in parts]) for k in range(3))
             order = np.argsort(s.entry, kind="stable")
@@ -368,14 +400,16 @@ def _remove(length: int, gram: int):
 
 
 def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200,
-                          gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                          gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
+                          hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per input row: (doc_id, n_bytes, n_removed, n_spans, kept binary)."""
     batched, total = in_batches(docs, doc_id, text)
     n_buckets = max(1, math.ceil(total / BUCKET_BYTES))
     few = max(1, n_buckets // 4)
     by_batch = batched.groupBy("batch")
     seen = by_batch.applyInArrow(_send_minimisers(length, gram, few), "bucket long, batch long, minimisers binary")
-    hot = seen.groupBy("bucket").applyInArrow(_repeated_minimisers, "batch long, answer binary")
+    hot = seen.groupBy("bucket").applyInArrow(
+        _repeated_minimisers(hot_bytes / (2 * length - gram)), "batch long, answer binary")
     sent = by_batch.cogroup(hot.groupBy("batch")).applyInArrow(
         _send_segments(length, gram, n_buckets), "bucket long, batch long, segments binary")
     ranges = sent.groupBy("bucket").applyInArrow(_find_repeats(length, shard_bytes), "batch long, answer binary")

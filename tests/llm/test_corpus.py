@@ -234,6 +234,44 @@ def test_suffixes(docs, rows, none):
     assert remove_repeated_bytes(none).count() == 0
 
 
+def test_hot_minimisers_are_split(docs):
+    from flowforge.llm import suffixes as S
+    from flowforge.llm.batches import blob_table, unpack
+    import pyarrow as pa
+    r = np.random.default_rng(3)
+    passage = bytes(r.integers(97, 123, 120, dtype=np.uint8))
+    texts = [bytes(r.integers(97, 123, 40, dtype=np.uint8)) + passage + bytes(r.integers(97, 123, 40, dtype=np.uint8))
+             for _ in range(60)]
+    batch = pa.table({"batch": [0] * 60, "id": list(range(60)), "text": [t.decode() for t in texts]})
+    sizes = {}
+    for hot_bytes in (400, 1 << 30):
+        seen = S._send_minimisers(50, 16, 1)((pa.scalar(0),), batch)
+        hot = S._repeated_minimisers(hot_bytes / 84)((pa.scalar(0),), seen)
+        sent = S._send_segments(50, 16, 1024)((pa.scalar(0),), batch, hot).to_pylist()
+        sizes[hot_bytes] = max(len(unpack(x["segments"], np.int32, np.uint8, np.uint64, np.int32, None)[0])
+                               for x in sent if x["bucket"] >= 0)
+        answers = pa.concat_tables([S._find_repeats(50, 1 << 20)((pa.scalar(x["bucket"]),), pa.Table.from_pylist([x]))
+                                    for x in sent] or [blob_table(batch=([], pa.int64()), answer=([], pa.binary()))])
+        out = S._remove(50, 16)((pa.scalar(0),), batch, answers).to_pylist()
+        assert [x["n_removed"] for x in out] == brute_removed(texts, 50)
+    assert sizes[400] * 2 < sizes[1 << 30]  # a whole minimiser is in one bucket before the cut
+    want, got = (Counter((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeated_bytes(
+        docs, hot_bytes=h).collect()) for h in (S.HOT_BYTES, 400))
+    assert got == want
+
+
+def brute_removed(texts, length):
+    seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = set()
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                gone.update(range(i, i + length))
+        out.append(len(gone))
+    return out
+
+
 def test_suffix_array_and_prefixes():
     from flowforge.llm.suffixes import common_prefixes, suffix_array
     r = np.random.default_rng(2)
