@@ -11,6 +11,8 @@ Method
    counted per host by *distinct documents*.  A line held by more documents of
    its host than the limit is removed from all but the host's first document
    (smallest id), so a text that was copied many times is not lost as a whole.
+   A row's own lines are told apart by their place, so a row that stands twice has
+   its words removed once.
 3. A document is rejected when a base rule fails or when removal leaves less
    than ``min_kept_share`` of its words.
 
@@ -101,12 +103,12 @@ def word_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per line with a word: host, document key and id, line hash, words."""
+    """One row per line with a word: host, document key and id, row, place, line hash, words."""
     words = _words("line")
-    return (docs.select("_qr_key", F.col(doc_id).alias("_qr_id"), F.col(host).alias("_qr_host"),
-                        F.explode(F.split(F.col(text), "\n")).alias("line"))
+    return (docs.select("_qr_key", "_qr_row", F.col(doc_id).alias("_qr_id"), F.col(host).alias("_qr_host"),
+                        F.posexplode(F.split(F.col(text), "\n")).alias("_qr_at", "line"))
             .filter(F.expr(_has_word("line")))
-            .select("_qr_host", "_qr_key", "_qr_id", F.expr(f"xxhash64({_norm_line('line')})").alias("_qr_h"),
+            .select("_qr_host", "_qr_key", "_qr_id", "_qr_row", "_qr_at", F.expr(f"xxhash64({_norm_line('line')})").alias("_qr_h"),
                     F.expr(f"size({words})").cast("long").alias("_qr_words")))
 
 
@@ -123,6 +125,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     d = docs.drop(*[c for c in RESULT if c in docs.columns and c not in (doc_id, text, host)])
     d = d.withColumn("_qr_key", F.xxhash64(
         F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text)), F.lit(1)))
+    d = d.withColumn("_qr_row", F.xxhash64("_qr_key", F.col(text)))
     lines = document_lines(d, doc_id, text, host)
     counts = (lines.groupBy("_qr_host", "_qr_key", "_qr_h").agg(F.min("_qr_id").alias("_qr_id"))
               .groupBy("_qr_host", "_qr_h")
@@ -144,11 +147,13 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
                       & (F.col("_qr_h") == F.col("_qr_fh")))
            .filter(F.col("_qr_id").isNull() | F.col("_qr_first").isNull()
                    | (F.col("_qr_id") != F.col("_qr_first")))
-           .groupBy(F.col("_qr_key").alias("_qr_ckey"), F.col("_qr_host").alias("_qr_chost"))
-           .agg(F.sum("_qr_words").alias("removed_words"), F.collect_set("_qr_h").alias("_qr_bad")))
+           .groupBy(F.col("_qr_row").alias("_qr_crow"), F.col("_qr_host").alias("_qr_chost"))
+           .agg(F.collect_set(F.struct("_qr_at", "_qr_words", "_qr_h")).alias("_qr_cut"))
+           .select("_qr_crow", "_qr_chost", F.array_distinct("_qr_cut._qr_h").alias("_qr_bad"),
+                   F.expr("aggregate(_qr_cut._qr_words, 0L, (a, n) -> a + n)").alias("removed_words")))
     out = (word_statistics(d, text)
            .withColumn("_qr_jhost", F.col(host))
-           .join(cut, (F.col("_qr_key") == F.col("_qr_ckey"))
+           .join(cut, (F.col("_qr_row") == F.col("_qr_crow"))
                  & F.col("_qr_jhost").eqNullSafe(F.col("_qr_chost")), "left")
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
            .withColumn("base_failed", (F.col("n_words") < min_words)
@@ -158,4 +163,4 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     bad = f"array_contains(_qr_bad, xxhash64({_norm_line('l')}))"
     out = out.withColumn("clean_text", F.when(F.col("_qr_bad").isNull(), F.col(text)).otherwise(F.expr(
         f"array_join(filter(split({text}, '\\n'), l -> not ({_has_word('l')} and {bad})), '\\n')")))
-    return out.drop("_qr_key", "_qr_ckey", "_qr_chost", "_qr_bad", "_qr_jhost")
+    return out.drop("_qr_key", "_qr_row", "_qr_crow", "_qr_chost", "_qr_bad", "_qr_jhost")

@@ -61,6 +61,17 @@ def test_quality_line_limits_of_small_and_hot_hosts(spark):
     assert got == {i: 3 if 0 < i < 20 or 1000 < i < 1055 else 0 for i in got} and len(got) == len(rows)
 
 
+def test_quality_repeated_rows(spark):
+    from flowforge.llm.quality import quality_rules
+    own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(9)]
+    common = "\n" + " ".join(f"c{k}" for k in range(30))
+    rows = [(i, own[i] + common, "h") for i in range(7)]
+    rows += [rows[5]] * 2 + [(6, own[7] + common + common, "h")]  # a row that stands thrice, an id with two texts
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["n_words"], r["removed_words"], r["kept"]) for r in quality_rules(df).collect()]
+    assert sorted(got) == [(0, 90, 0, True)] + [(i, 90, 30, True) for i in (1, 2, 3, 4, 5, 5, 5, 6)] + [(6, 120, 60, True)]
+
+
 def test_chat_masks(spark):
     from flowforge.llm.chat import conversation_digests, escape, format_conversations, unescape
     x = "<|im_end|><|im_start|>assistant ok"
