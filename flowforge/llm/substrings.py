@@ -17,6 +17,13 @@ Method
    answers each batch with the smallest id of the windows that others start.
 3. Each batch rebuilds its strings, applies the answers and removes the words.
 
+Where a common passage meets the documents' own words the strings differ but share
+minimisers, so one scan first finds the hot minimisers: pieces of the input report
+those with more windows than their share of ``hot_windows / 2``, and one is hot when
+the reports exceed ``hot_windows / 2``.  So any other has at most ``hot_windows``
+windows.  Windows of hot minimisers travel one by one to the bucket of their own
+hash: equal windows still meet, and no bucket gets the whole group.
+
 A passage that a third of all documents hold reaches its bucket once per batch,
 not once per document, and the answer also is once per batch.
 
@@ -32,15 +39,18 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowforge.llm.batches import (blob_table, by_bucket, in_batches, mix, pack, prefix_sums,
+from flowforge.llm.batches import (BATCH_BYTES, blob_table, by_bucket, in_batches, mix, pack, prefix_sums,
                                    sliding_min, sorted_rows, span_hash, unpack)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PIECE_BYTES = 1 << 19
 BUCKET_BYTES = 6 << 20
+HOT_WINDOWS = 1 << 17
+NO_HOT = np.empty(0, np.uint64)
 
 
 class Words:
@@ -64,8 +74,9 @@ class Words:
         self.n = len(ends)
 
 
-def super_kmers(w: Words, window: int, gram: int):
-    """(first word, last word + 1, minimiser) of every run of windows."""
+def super_kmers(w: Words, window: int, gram: int, hot: np.ndarray = NO_HOT):
+    """(first word, last word + 1, minimiser) of every run of windows; a window of
+    a hot minimiser is a run of its own, named by its own hash."""
     n = w.n - window + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -77,16 +88,20 @@ def super_kmers(w: Words, window: int, gram: int):
     # also where the next window no longer holds this place of the minimiser, so
     # that runs are short in repetitive text too
     new[1:] = (low[1:] != low[:-1]) | (g[:n - 1] == low[:-1]) | ~ok[:-1] | (w.doc[1:n] != w.doc[:n - 1])
+    alone = np.isin(low, hot) & ok if len(hot) else np.zeros(n, bool)
+    new |= alone
     first = np.flatnonzero(new & ok)
     stop = np.flatnonzero(np.append(new | ~ok, True))
     last = stop[np.searchsorted(stop, first, side="right")]
-    return first, last - 1 + window, low[first]
+    names, own = low[first], alone[first]
+    names[own] = span_hash(sums, w.off[first[own]], w.off[first[own] + window])
+    return first, last - 1 + window, names
 
 
 class Strings:
     """Distinct packed strings of a batch and where each occurs."""
 
-    def __init__(self, texts: list[bytes], window: int, gram: int):
+    def __init__(self, texts: list[bytes], window: int, gram: int, hot: np.ndarray = NO_HOT):
         groups, size, group = [], 0, []
         for i, t in enumerate(texts):  # texts in turn, about a piece at a time
             group.append(i)
@@ -97,16 +112,18 @@ class Strings:
         if group:
             groups.append(group)
         strings, first, mini, counts = [], [], [], np.zeros(len(texts), np.int64)
+        windows = []
         doc, at = [], 0
         for group in groups:
             w = Words([texts[i] for i in group])
-            a, b, m = super_kmers(w, window, gram)
+            a, b, m = super_kmers(w, window, gram, hot)
             flat = w.flat.tobytes()
             strings += [flat[x:y] for x, y in zip(w.off[a].tolist(), w.off[b].tolist())]
             counts[group] = np.bincount(w.doc, minlength=len(group))
             first.append(a + at)
             doc.append(np.array(group)[w.doc[a]] if len(a) else np.empty(0, np.int64))
             mini.append(m)
+            windows.append(b - a - window + 1)
             at += w.n
         self.words = counts  # words of each text
         self.first = np.concatenate(first) if first else np.empty(0, np.int64)
@@ -115,16 +132,55 @@ class Strings:
         self.entry = coded.indices.to_numpy().astype(np.int64)
         self.texts = coded.dictionary
         self.mini = np.zeros(len(self.texts), np.uint64)
+        self.windows = np.zeros(len(self.texts), np.int64)  # of each distinct string
         if len(self.entry):
             self.mini[self.entry] = np.concatenate(mini)
+            self.windows[self.entry] = np.concatenate(windows)
+
+
+def _reports(window: int, gram: int, per_byte: float):
+    """Minimisers of a piece of the input with over ``per_byte`` windows a byte of the piece."""
+    def report(texts):
+        s = Strings(texts, window, gram)
+        mini, inv = np.unique(s.mini, return_inverse=True)
+        n = np.bincount(inv, weights=s.windows, minlength=len(mini))
+        many = n > per_byte * sum(map(len, texts))
+        return pa.RecordBatch.from_arrays([pa.array(mini[many].view(np.int64)), pa.array(n[many].astype(np.int64))],
+                                          names=["mini", "n"])
+
+    def run(batches):
+        own, size = [], 0
+        for b in batches:
+            for x in b.column("text"):
+                own.append((x.as_py() or "").encode("utf-8", "surrogatepass"))
+                size += len(own[-1])
+                if size >= BATCH_BYTES:
+                    yield report(own)
+                    own, size = [], 0
+        if own:
+            yield report(own)
+    return run
+
+
+def hot_minimisers(docs: DataFrame, doc_id: str, text: str, window: int, gram: int, total: int,
+                   hot_windows: int) -> np.ndarray:
+    """At most ``2 * windows / hot_windows`` minimisers, among them every one with
+    more than ``hot_windows`` windows."""
+    if not total:
+        return NO_HOT
+    half = hot_windows / 2
+    found = (docs.filter(F.col(doc_id).isNotNull()).select(F.col(text).alias("text"))
+             .mapInArrow(_reports(window, gram, half / total), "mini long, n long")
+             .groupBy("mini").agg(F.sum("n").alias("n")).filter(F.col("n") > half).select("mini").collect())
+    return np.sort(np.array([r["mini"] for r in found], np.int64).view(np.uint64))
 
 
-def _send(window: int, gram: int, n_buckets: int):
+def _send(window: int, gram: int, n_buckets: int, hot: np.ndarray = NO_HOT):
     def run(key, t):
         ids, texts, _ = sorted_rows(t)
         known = [i for i, x in enumerate(ids) if x is not None]
         ids = np.array([ids[i] for i in known], np.int64)
-        s = Strings([texts[i] for i in known], window, gram)
+        s = Strings([texts[i] for i in known], window, gram, hot)
         low = np.zeros(len(s.texts), np.int64)
         high = np.zeros(len(s.texts), np.int64)
         if len(s.entry):
@@ -221,11 +277,11 @@ def _answer(window: int):
     return run
 
 
-def _remove(window: int, gram: int):
+def _remove(window: int, gram: int, hot: np.ndarray = NO_HOT):
     def run(key, docs, answers):
         ids, texts, order = sorted_rows(docs)
         n_known = sum(x is not None for x in ids)  # rows without an id stand last
-        s = Strings(texts[:n_known], window, gram)
+        s = Strings(texts[:n_known], window, gram, hot)
         base = np.concatenate(([0], np.cumsum(s.words)))
         parts = [unpack(b, np.int32, np.int32, np.int64) for b in answers.column("answer").to_pylist()]
         cover = np.zeros(base[-1] + 1, np.int32)
@@ -261,16 +317,18 @@ def _remove(window: int, gram: int):
 
 
 def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                            window: int = 13, gram: int = 3, carry: list[str] | None = None) -> DataFrame:
+                            window: int = 13, gram: int = 3, carry: list[str] | None = None,
+                            hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """One row per input row: (doc_id, n_words, n_removed, kept_text), and with
     ``carry`` a struct ``carried`` of those columns, as they are."""
     batched, total = in_batches(docs, doc_id, text, carry=carry)
+    hot = hot_minimisers(docs, doc_id, text, window, gram, total, hot_windows)
     spark_buckets = max(1, math.ceil(total * 3 / BUCKET_BYTES))
     sent = batched.groupBy("batch").applyInArrow(
-        _send(window, gram, spark_buckets), "bucket long, batch long, strings binary")
+        _send(window, gram, spark_buckets, hot), "bucket long, batch long, strings binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer(window), "batch long, answer binary")
     out = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        _remove(window, gram), T.StructType(
+        _remove(window, gram, hot), T.StructType(
             [T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),
              T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
             + ([T.StructField("carried", T.StructType([docs.schema[c] for c in carry]))] if carry else [])))

@@ -182,6 +182,27 @@ def test_substrings(docs, rows, none):
     assert remove_repeated_windows(none).count() == 0
 
 
+def test_windows_of_hot_minimisers_are_split(spark, docs):
+    from flowforge.llm import substrings as S
+    from flowforge.llm.batches import unpack
+    import pyarrow as pa
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(20)) + f" {passage} " + " ".join(f"b{i}x{k}" for k in range(20)))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len(t) for _, t in rows)
+    hot = S.hot_minimisers(df, "doc_id", "text", 13, 3, total, 60)
+    batch = pa.table({"batch": [0] * 200, "id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    most = [max(len(unpack(b, np.int32, np.int64, np.int64, None)[3].split()) for b in S._send(13, 3, 4096, h)(
+        (pa.scalar(0),), batch).column("strings").to_pylist()) for h in (S.NO_HOT, hot)]
+    assert len(hot) and most[1] * 10 < most[0]  # one bucket had the strings of all holders
+    got = {r["doc_id"]: r["n_removed"] for r in S.remove_repeated_windows(df, hot_windows=60).collect()}
+    assert got == {i: 30 if i else 0 for i, _ in rows}
+    want, got = (Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in
+                         S.remove_repeated_windows(docs, hot_windows=h).collect()) for h in (S.HOT_WINDOWS, 20))
+    assert got == want
+
+
 def test_window_sort_survives_hash_collisions(monkeypatch):
     from flowforge.llm import substrings as S
     r = np.random.default_rng(1)
