@@ -322,8 +322,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(nfp, component_id) of every distinct fingerprint in ``prints`` (id, fp):
-    the smallest id among the rows of its component."""
+    """(nfp, component_id, root) of every distinct fingerprint in ``prints`` (id, fp):
+    the smallest id among the rows of its component, and its root fingerprint."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the segment keys cover up to 4 differing bits")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
@@ -331,7 +331,7 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left") \
         .select(F.col("fp").alias("nfp"), F.coalesce("root", "fp").alias("root"), "low")
     least = placed.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r")
-    return placed.join(least, F.col("root") == F.col("r")).select("nfp", "component_id")
+    return placed.join(least, F.col("root") == F.col("r")).select("nfp", "component_id", "root")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -352,10 +352,8 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     named = fingerprint_components(prints, max_bits)
     keep = (prints.join(named, F.col("fp") == F.col("nfp"))
             .filter(F.col("id").eqNullSafe(F.col("component_id")))
-            .groupBy("component_id", F.col("nfp")).agg(F.min("text_hash").alias("kh")))
-    # components are told apart by their id, so by their smallest fingerprint where it is null
-    keep = (keep.withColumn("null_fp", F.when(F.col("component_id").isNull(), F.col("nfp")))
-            .groupBy(F.col("component_id").alias("_sh_ki"), "null_fp").agg(F.min("kh").alias("_sh_kh"))
+            # components are told apart by their root: several can have one smallest id, or none
+            .groupBy("root").agg(F.min("component_id").alias("_sh_ki"), F.min("text_hash").alias("_sh_kh"))
             .select("_sh_ki", "_sh_kh").distinct())
     own = docs.withColumn("_sh_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     first = F.row_number().over(Window.partitionBy(doc_id, "_sh_h").orderBy(F.lit(1)))

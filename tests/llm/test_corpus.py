@@ -141,6 +141,13 @@ def test_simhash(docs, rows, none):
     assert simhash_components(none).count() == 0
 
 
+def test_components_with_one_smallest_id(spark):
+    from flowforge.llm.simhash import keep_one_of_each
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "pq")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in keep_one_of_each(df).collect()) == [(1, a), (1, b)]
+
+
 def test_simhash_links_of_near_fingerprints(spark):
     from flowforge.llm.simhash import candidate_links, connected_components
     r = np.random.default_rng(3)
