@@ -15,7 +15,9 @@ Method
    a length that a third of all pieces share is many groups.
 
 Defined results: a null or empty text is the closing id alone; rows with equal
-ids and texts are packed each; a null id is packed too; no rows, no pieces.
+ids and texts are packed each; a null id is packed too; no rows, no pieces; a very
+long text, of blanks or line feeds or one word too, is cut like any other; extra
+columns are left out.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from flowforge.llm.common import materialize, tokenizer_path
 
 CAPACITY = 2048
+LONG_BLANK = 256
 
 
 # ----------------------------------------------------------------- encoding
@@ -43,7 +46,9 @@ class ByteBpeEncoder:
     Texts of code points below U+0250 without a special string go through the
     same vocabulary in rank form, several times faster (the two agree on every
     class of character there; tests hold them against each other); any other text
-    goes through the tokenizers library itself."""
+    goes through the tokenizers library itself, and so does a text with a run of
+    ``LONG_BLANK`` or more blanks, on which the faster splitter's stack grows with
+    the run."""
 
     def __init__(self, name: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken"):
         import base64
@@ -61,7 +66,8 @@ class ByteBpeEncoder:
         with open(tokenizer_path(name), encoding="utf-8") as f:
             added = re.search(r'"added_tokens"\s*:\s*', text := f.read())
         special = [t["content"] for t in json.JSONDecoder().raw_decode(text, added.end())[0]] if added else []
-        self.other = re.compile("|".join(["[^\\x00-\\u024f]"] + [re.escape(s) for s in special]))
+        self.other = re.compile("|".join(["[^\\x00-\\u024f]", "\\s{%d}" % LONG_BLANK]
+                                         + [re.escape(s) for s in special]))
 
     def _library(self):
         import os
