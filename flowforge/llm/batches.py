@@ -103,6 +103,11 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def powers_of_base(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base of ``prefix_sums``."""
+    return _powers(n)[0]
+
+
 def prefix_sums(a: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial in the bytes (modulo 2^64)."""
     out = np.zeros(len(a) + 1, np.uint64)

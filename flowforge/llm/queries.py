@@ -69,6 +69,12 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowforge.llm.periodic_runs import periodic_runs, run_digests, with_planted_periods
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digests(periodic_runs(with_planted_periods(docs)))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -80,6 +86,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_order_minhash": op9_order_minhash,
     "op10_bpe_stream": op10_bpe_stream,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {}
