@@ -75,6 +75,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_periods(docs)))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowforge.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -87,6 +92,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_bpe_stream": op10_bpe_stream,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {}
