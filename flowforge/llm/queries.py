@@ -80,6 +80,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op13_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowforge.llm.odd_sketch import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -93,6 +98,7 @@ QUERIES = {
     "op10_bpe_stream": op10_bpe_stream,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_minhash_neardup": op13_minhash_neardup,
 }
 
 ORACLE: dict[str, str] = {}
