@@ -45,6 +45,7 @@ EPS = float(np.finfo(np.float64).eps)
 #: Partial sums that come to the driver for one product, at most.
 MERGE_GROUPS = 64
 BLOCK_ROWS = 4096
+PARTITION_BYTES = 8 << 20
 
 
 # ------------------------------------------------------------------ integers
@@ -104,8 +105,10 @@ def summed(blocks: DataFrame, partial: Callable[[np.ndarray], np.ndarray], dim:
         return pa.table({"g": t.column("g").slice(0, 1).combine_chunks(),
                          "sums": pa.array([total.tobytes()], pa.binary())})
 
-    got = (blocks.select("x").mapInArrow(run, "g int, part int, sums binary")
-           .groupBy("g").applyInArrow(merge, "g int, sums binary").collect())
+    parts = blocks.select("x").mapInArrow(run, "g int, part int, sums binary")
+    if blocks.rdd.getNumPartitions() > MERGE_GROUPS:
+        parts = parts.groupBy("g").applyInArrow(merge, "g int, sums binary")
+    got = parts.select("g", "sums").collect()
     if not got:
         return None
     return sum(np.frombuffer(r["sums"], kind) for r in sorted(got, key=lambda r: r["g"]))
@@ -270,7 +273,10 @@ def fit_whitening(rows: DataFrame, dim: int, components: int) -> Whitening | Non
     """Fitted on the distinct vectors of (x array<long>) rows; None where nothing varies."""
     if not dim:
         return None
-    blocks = materialize(fit_blocks(rows, dim)).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = materialize(fit_blocks(rows, dim))
+    size = blocks.agg(F.sum(F.octet_length("x").cast("long"))).first()[0] or 0
+    # tasks in proportion to the data, however finely the vectors were dealt to be told apart
+    blocks = blocks.coalesce(max(1, -(-size // PARTITION_BYTES))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centre = exact_centre(blocks, dim)
         if centre is None:
