@@ -5,8 +5,8 @@ Method
 1. A document's set of word shingles, as 64-bit hashes, gives ``rows * bands`` MinHash
    values: the least of ``a_i * h`` (modulo 2^64, a_i odd) over its hashes h.
 2. Bands of ``rows`` values are hashed to keys.  Two sets of similarity J share one with
-   probability 1 - (1 - J^rows)^bands; with 4 and 48 a pair at 0.8 is missed once in
-   10^11.
+   probability 1 - (1 - J^rows)^bands; with 4 and 40 a pair at 0.8 is missed once in
+   10^9.
 3. Odd sketch: every (i, value) flips one bit of a bitmap of 1,024.  The samples in
    which two sets differ are all that is left in the XOR of their bitmaps, so its
    population count estimates the similarity, most precisely where that is high
@@ -21,7 +21,10 @@ Method
    compared by sketch.  What passes is verified on full sets as well, so all links
    that a key holds are found or are inside a component already.
 6. Verification takes both full sets to the pair and counts common hashes; nodes with
-   many pairs are salted.  Components by checkpointed star contraction.
+   many pairs are salted.  Sets are not stored: they are built again from the texts of
+   the nodes in question, found through a bitmap of ``FILTER_BITS`` over hashes of their
+   ids (a bounded broadcast, whatever the corpus; what it lets through in vain drops out
+   in the join).  Components by checkpointed star contraction.
 
 Defined results: fewer words than a shingle make one shingle of the whole sequence;
 null, empty and blank texts have no shingles and link with nothing; equal rows are
@@ -37,14 +40,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowforge.llm.batches import mix
 from flowforge.llm.common import materialize, scratch_path, shuffle_width
 from flowforge.llm.simhash import connected_components
 
-ROWS, BANDS = 4, 48
+ROWS, BANDS = 4, 40
 SKETCH_BITS = 1024
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
 SIGMAS = 6.0
@@ -139,15 +142,12 @@ def shingle_sets(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, n
     return key[new], np.bincount(doc[new], minlength=len(n))
 
 
-PRINTS = "n_shingles long, node long, sketch binary, bands array<long>, shingles binary"
+PRINTS = "n_shingles long, node long, sketch binary, bands array<long>"
 
 
-def with_sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, rows: int, bands: int,
-                  bits: int, step_bytes: int = 2 << 20) -> DataFrame:
-    """(id, n_shingles, node, sketch, bands, shingles) per row; node (a hash of the whole
-    set) and what follows it are null for a row without words."""
-    id_type = docs.schema[doc_id].dataType.simpleString()
-
+def _in_steps(docs: DataFrame, doc_id: str, text: str, answer, schema: str, step_bytes: int = 2 << 20) -> DataFrame:
+    """``answer(ids, texts)`` for some texts of ``step_bytes`` in all at a time, or one
+    longer one."""
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary())
@@ -158,57 +158,93 @@ def with_sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, rows: i
                 yield answer(b.column(0).slice(a, e - a), texts.slice(a, e - a).to_pylist())
                 a = e
 
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def node_names(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One hash per set that is not empty, the same for equal sets."""
+    n = sizes[sizes > 0]
+    return mix(np.add.reduceat(mix(sets), np.cumsum(n) - n) + mix(n.astype(np.uint64))).view(np.int64)
+
+
+def with_sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, rows: int, bands: int,
+                  bits: int) -> DataFrame:
+    """(id, n_shingles, node, sketch, bands) per row; node (a hash of the whole set) and
+    what follows it are null for a row without words."""
     def answer(ids, texts):
         sets, n = shingle_sets(texts, shingle)
         some = n > 0
-        ends = np.cumsum(n)[some]
-        starts = ends - n[some]
-        place = np.cumsum(some) - 1
-        node = np.empty(0, np.int64)
-        sketch, keys, own = [], np.empty((0, bands), np.int64), []
-        if len(starts):
-            values = min_hashes(sets, starts, rows * bands)
+        place = pa.array(np.cumsum(some) - 1, mask=~some)  # a null for a row without words
+        node, sketch, keys = np.empty(0, np.int64), [], np.empty((0, bands), np.int64)
+        if some.any():
+            values = min_hashes(sets, (np.cumsum(n) - n)[some], rows * bands)
             sketch = [r.tobytes() for r in odd_sketches(values, bits)]
             keys = band_keys(values, rows).view(np.int64)
-            node = mix(np.add.reduceat(mix(sets), starts) + mix(n[some].astype(np.uint64))).view(np.int64)
-            own = [sets[a:e].tobytes() for a, e in zip(starts.tolist(), ends.tolist())]
-
-        def spread(array):  # a null for a row without words
-            return array.take(pa.array(place, mask=~some))
-
+            node = node_names(sets, n)
         lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n), spread(pa.array(node)), spread(pa.array(sketch, pa.binary())), spread(lists),
-             spread(pa.array(own, pa.binary()))],
-            names=["id", "n_shingles", "node", "sketch", "bands", "shingles"])
+            [ids, pa.array(n), pa.array(node).take(place), pa.array(sketch, pa.binary()).take(place),
+             lists.take(place)], names=["id", "n_shingles", "node", "sketch", "bands"])
+
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    return _in_steps(docs, doc_id, text, answer, f"id {id_type}, {PRINTS}")
+
+
+#: Bits of the bitmap that finds the rows of wanted nodes; a power of two.
+FILTER_BITS = 1 << 26
 
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, f"id {id_type}, {PRINTS}")
+
+def sets_of(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str, lows: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, each once (and of a few others)."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = (lows.join(wanted, "node", "left_semi").select(F.col("low").alias("id")).select(place.alias("p"))
+             .groupBy(F.shiftright("p", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")))  # FILTER_BITS / 64 rows at most
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.pmod(
+        F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("p"))
+    near = rows.join(F.broadcast(words), (F.shiftright("p", 6) == F.col("w"))
+                     & F.expr("(shiftright(b, cast(p & 63 as int)) & 1) = 1"))
+
+    def answer(ids, texts):
+        sets, n = shingle_sets(texts, shingle)
+        ends = np.cumsum(n)
+        own = [sets[a:e].tobytes() for a, e in zip((ends - n).tolist(), ends.tolist()) if e > a]
+        return pa.RecordBatch.from_arrays([pa.array(node_names(sets, n) if len(own) else np.empty(0, np.int64)),
+                                           pa.array(own, pa.binary())], names=["node", "shingles"])
+
+    return _in_steps(near, "id", "text", answer, "node long, shingles binary").dropDuplicates(["node"])
 
 
 # ---------------------------------------------------------------- verification
 
-#: Pairs that one salt of a node stands for.
+#: Keys (nodes, components) above one part in so many of the rows are joined by broadcast
+#: or salted: there are no more than that many of them.
+HOT_PARTS = 10_000
+#: Pairs that one salt of a node stands for, at least.
 PAIRS_PER_SALT = 1000
 
 
-def attach(pairs: DataFrame, side: str, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """``pairs`` with columns of the node on one side (as ``side_column``).  Nodes of many
-    pairs stand under several salts, among which their pairs are dealt by a hash."""
-    salts = pairs.groupBy(F.col(side).alias("_n")).agg(
-        F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).cast("int").alias("_s"))
-    many = salts.filter("_s > 1")  # at most 1 / PAIRS_PER_SALT of the pairs
-    spread = (nodes.join(many, nodes["node"] == F.col("_n"), "left")
-              .select("node", *columns, F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1)).alias("_k"),
-                      F.coalesce("_s", F.lit(1)).alias("_of")))
-    spread = spread.select(F.col("node").alias("_node"), *[F.col(c).alias(f"{side}_{c}") for c in columns],
-                           F.col("_k").alias("_key"))
-    # the other side of the pair deals it: salt 0 unless the node has several
-    other = "v" if side == "u" else "u"
-    dealt = pairs.join(many, F.col(side) == F.col("_n"), "left") \
-        .withColumn("_deal", F.pmod(F.xxhash64(other), F.coalesce("_s", F.lit(1))).cast("int")).drop("_n", "_s")
-    return dealt.join(spread, (F.col(side) == F.col("_node")) & (F.col("_deal") == F.col("_key"))) \
-        .drop("_node", "_key", "_deal")
+def attach(pairs: DataFrame, side: str, nodes: DataFrame, columns: list[str], base: DataFrame, total: int) -> DataFrame:
+    """``pairs`` with columns of the node on one side (as ``side_column``).  ``base`` are
+    the ``total`` pairs themselves.  A node of many pairs, of which there are at most
+    ``HOT_PARTS``, stands under several salts, among which its pairs are dealt."""
+    limit = max(PAIRS_PER_SALT, total // HOT_PARTS)
+    many = F.broadcast(base.groupBy(F.col(side).alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
+                       .filter(F.col("_c") > limit).select("_n", F.ceil(F.col("_c") / limit).cast("int").alias("_s")))
+    plain = nodes.select(F.col("node").alias("_node"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    cold = pairs.join(many, F.col(side) == F.col("_n"), "left_anti") \
+        .join(plain.hint("shuffle_merge"), F.col(side) == F.col("_node"))
+    other = F.xxhash64("v" if side == "u" else "u")
+    dealt = pairs.join(many, F.col(side) == F.col("_n")) \
+        .withColumn("_deal", F.pmod(other, F.col("_s")).cast("int")).drop("_n", "_s")
+    salted = plain.join(many, F.col("_node") == F.col("_n")) \
+        .withColumn("_key", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_n", "_s")
+    hot = dealt.join(salted.hint("shuffle_merge"), (F.col(side) == F.col("_node")) & (F.col("_deal") == F.col("_key")))
+    return cold.drop("_node").unionByName(hot.drop("_node", "_key", "_deal"))
+
+
+def both_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str], total: int) -> DataFrame:
+    return attach(attach(pairs, "v", nodes, columns, pairs, total), "u", nodes, columns, pairs, total)
 
 
 def _differing(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -220,21 +256,18 @@ def pass_sketch(pairs: DataFrame, nodes: DataFrame, percent: int, most: int) ->
     """Pairs (u, v) whose set sizes allow the threshold and whose sketches do."""
     def run(batches):
         for b in batches:
-            keep = _differing(b.column(2), b.column(3)) <= most
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
+            if b.num_rows:
+                keep = _differing(b.column(2), b.column(3)) <= most
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-    both = attach(attach(pairs, "u", nodes, ["n", "sketch"]), "v", nodes, ["n", "sketch"])
+    both = both_sides(pairs, nodes, ["n", "sketch"], pairs.count())
     sizes = F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent
     return both.filter(sizes).select("u", "v", "u_sketch", "v_sketch").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of the pairs (u, v) with 100 * intersection >= percent * union of
-    their full sets."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = prints.filter("node is not null").select("node", "shingles") \
-        .join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
+def verified(pairs: DataFrame, sets, percent: int) -> DataFrame:
+    """(src, dst) of the (checkpointed) pairs (u, v) with 100 * intersection >=
+    percent * union of their full sets; ``sets`` gives those of some nodes."""
     def run(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
@@ -246,17 +279,16 @@ def verified(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(keep))
 
-    both = attach(attach(pairs, "u", sets, ["shingles"]), "v", sets, ["shingles"])
-    return both.select("u", "v", "u_shingles", "v_shingles").mapInArrow(run, "src long, dst long")
+    total = pairs.count()
+    if not total:
+        return pairs.select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    own = sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    return both_sides(pairs, own, ["shingles"], total) \
+        .select("u", "v", "u_shingles", "v_shingles").mapInArrow(run, "src long, dst long")
 
 
 # ------------------------------------------------------------------ candidates
 
-#: Keys (or components) above one part in so many of the rows are joined by broadcast:
-#: there are no more than that many of them.
-HOT_PARTS = 10_000
-
-
 def join_hot(rows: DataFrame, key: str, other: DataFrame, other_key: str, size: str, total: int) -> DataFrame:
     """Inner join on a key that ``other`` holds once, with its number of ``rows`` in
     ``size``.  Keys of over ``total / HOT_PARTS`` rows, at most ``HOT_PARTS`` of them, are
@@ -268,12 +300,11 @@ def join_hot(rows: DataFrame, key: str, other: DataFrame, other_key: str, size:
         rows.join(cold.hint("shuffle_merge"), on))
 
 
-def star_pairs(keys: DataFrame, total: int) -> DataFrame:
-    """Distinct (u, v): v and the least node u of one of its keys."""
-    least = keys.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("size")) \
-        .filter("size > 1").withColumnRenamed("key", "k")
-    return join_hot(keys, "key", least, "k", "size", total).filter("u <> node") \
-        .select("u", F.col("node").alias("v")).distinct()
+def shared_keys(keys: DataFrame, total: int) -> DataFrame:
+    """(key, node, u) of the keys that several nodes have; u is the least of them."""
+    least = keys.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("size")) \
+        .filter("size > 1")
+    return join_hot(keys, "key", least, "k", "size", total).select("key", "node", "u")
 
 
 def cross_pairs(keys: DataFrame, nodes: DataFrame, percent: int, most: int, total: int,
@@ -378,29 +409,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     once = materialize(worded.select("node", F.col("n_shingles").alias("n"), "sketch", "bands")
                        .dropDuplicates(["node"]))
     nodes = once.select("node", "n", "sketch")
-    keys = once.select(F.explode("bands").alias("key"), "node")
-    total = once.count() * bands
+    total = once.count()
+    shared = materialize(shared_keys(once.select(F.explode("bands").alias("key"), "node"), total * bands))
+
+    def sets(wanted):
+        return sets_of(wanted, docs, doc_id, text, lows, shingle)
 
     # the least neighbour that its sketch lets through, one a node
-    first = pass_sketch(star_pairs(keys, total), nodes, percent, most) \
-        .groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = materialize(verified(materialize(first), prints, percent))
-    roots = connected_components(links)
-    member = once.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left") \
-        .select("node", "bands", F.coalesce("root", "node").alias("comp"))
-    cross = cross_pairs(member.select(F.explode("bands").alias("key"), "node", "comp"), nodes, percent, most,
-                        total, block)
-    links = links.unionByName(verified(materialize(cross), prints, percent))
-    roots = connected_components(links)
+    star = materialize(shared.filter("u <> node").select("u", F.col("node").alias("v")).distinct())
+    first = pass_sketch(star, nodes, percent, most).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    links = materialize(verified(materialize(first), sets, percent))
+    roots = connected_components(links).withColumnRenamed("node", "rn")
+    member = shared.join(roots, F.col("node") == F.col("rn"), "left") \
+        .select("key", "node", F.coalesce("root", "node").alias("comp"))
+    cross = materialize(cross_pairs(member, nodes, percent, most, total * bands, block))
+    roots = connected_components(links.unionByName(verified(cross, sets, percent))).withColumnRenamed("node", "rn")
 
     # the smallest id of a component; large components are met by broadcast
-    placed = lows.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left") \
+    placed = lows.join(roots, F.col("node") == F.col("rn"), "left") \
         .select("node", F.coalesce("root", "node").alias("root"), "low", "copies")
     least = placed.groupBy(F.col("root").alias("r")).agg(
-        F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size"), F.sum("copies").alias("rows"))
-    named = join_hot(placed, "root", least, "r", "size", total // bands) \
+        F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    named = join_hot(placed, "root", least, "r", "size", total) \
         .select(F.col("node").alias("nn"), "component_id", "copies")
-    answered = join_hot(worded.select("id", "n_shingles", "node"), "node", named, "nn", "copies", total // bands)
+    answered = join_hot(worded.select("id", "n_shingles", "node"), "node", named, "nn", "copies", total)
     blank = prints.filter("node is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return answered.select("id", "n_shingles", "component_id").unionByName(blank) \
         .select(F.col("id").alias(doc_id), "n_shingles", "component_id",
