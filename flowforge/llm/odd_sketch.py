@@ -18,13 +18,17 @@ Method
    links hold nearly all of a group of near copies without listing its pairs.
 5. Keys whose nodes are still in several components: every node outside the largest
    one meets all nodes of the key in other components, in blocks of bounded size,
-   compared by sketch.  What passes is verified on full sets as well, so all links
-   that a key holds are found or are inside a component already.
-6. Verification takes both full sets to the pair and counts common hashes; nodes with
-   many pairs are salted.  Sets are not stored: they are built again from the texts of
-   the nodes in question, found through a bitmap of ``FILTER_BITS`` over hashes of their
-   ids (a bounded broadcast, whatever the corpus; what it lets through in vain drops out
-   in the join).  Components by checkpointed star contraction.
+   compared by sketch.  Of the pairs that pass only a spanning forest over the components
+   is emitted; it joins them to zones, which hold every candidate pair that is left.
+6. In a zone the full sets of all nodes outside its largest component meet those of all
+   nodes of other components, in blocks of bounded bytes: sketch first, then common
+   hashes are counted, best estimates first, until two components are joined.  So all
+   links that a key holds are found or lie inside a component, and no list of pairs
+   grows with the square of a group.
+7. Sets are not stored: they are built again from the texts of the nodes in question,
+   found through a bitmap of ``FILTER_BITS`` over hashes of their ids (a bounded
+   broadcast, whatever the corpus; what it lets through in vain drops out in the join).
+   Components by checkpointed star contraction.
 
 Defined results: fewer words than a shingle make one shingle of the whole sequence;
 null, empty and blank texts have no shingles and link with nothing; equal rows are
@@ -45,7 +49,7 @@ from pyspark.sql import functions as F
 
 from flowforge.llm.batches import mix
 from flowforge.llm.common import materialize, scratch_path, shuffle_width
-from flowforge.llm.simhash import connected_components
+from flowforge.llm.simhash import _forest, connected_components
 
 ROWS, BANDS = 4, 40
 SKETCH_BITS = 1024
@@ -54,6 +58,8 @@ SIGMAS = 6.0
 #: Shingles worked on at a time; nodes of a key compared in one block.
 STEP = 1 << 14
 BLOCK = 2048
+#: Bytes of full sets in one block of a zone.
+BLOCK_BYTES = 8 << 20
 
 
 # ------------------------------------------------------------------- sketches
@@ -307,64 +313,23 @@ def shared_keys(keys: DataFrame, total: int) -> DataFrame:
     return join_hot(keys, "key", least, "k", "size", total).select("key", "node", "u")
 
 
-def cross_pairs(keys: DataFrame, nodes: DataFrame, percent: int, most: int, total: int,
-                block: int = BLOCK) -> DataFrame:
-    """Distinct (u, v) of different components that share a key and pass by sketch.
-
-    ``keys`` holds (key, node, comp).  In a key of several components, every node outside
-    the component with most nodes (a stray) meets all nodes of other components: strays
-    in blocks by all nodes in blocks."""
-    parts = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = (parts.groupBy(F.col("key").alias("k")).agg(
-        F.sum("m").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("most"))
-        .filter("comps > 1")
-        .select("k", "size", F.col("most.comp").alias("main"),
-                F.ceil((F.col("size") - F.col("most.m")) / block).cast("int").alias("sb"),
-                F.ceil(F.col("size") / block).cast("int").alias("nb")))
-    rows = join_hot(keys, "key", mixed, "k", "size", total).select("key", "node", "comp", "main", "sb", "nb")
+def in_blocks(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """``rows`` (group, comp, main, sb, nb, columns) dealt to blocks (x, y) of their group:
+    every row stands as one of all in a block y beside each block x of strays, and a row
+    outside the main component as a stray in a block x beside each y."""
     dealt = F.xxhash64("node", F.lit(5))
-    as_any = rows.select("key", "node", "comp", F.lit(False).alias("stray"),
+    as_any = rows.select(group, "comp", *columns, F.lit(False).alias("stray"),
                          F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("x"),
                          F.pmod(dealt, F.col("nb")).cast("int").alias("y"))
     as_stray = rows.filter("comp <> main").select(
-        "key", "node", "comp", F.lit(True).alias("stray"), F.pmod(dealt, F.col("sb")).cast("int").alias("x"),
+        group, "comp", *columns, F.lit(True).alias("stray"), F.pmod(dealt, F.col("sb")).cast("int").alias("x"),
         F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
-    # sketches come to the nodes that are left, once each place
-    placed = as_any.unionByName(as_stray)
-    use = placed.groupBy(F.col("node").alias("wn")).agg(F.count(F.lit(1)).alias("uses"))
-    seen = nodes.join(use, nodes["node"] == F.col("wn")).select("wn", "n", "sketch")
-    full = (placed.join(seen, F.col("node") == F.col("wn")).drop("wn")
-            .repartition(shuffle_width(keys.sparkSession), "key", "x", "y")
-            .sortWithinPartitions("key", "x", "y", "stray", "node"))
-
-    def found(t: pa.Table) -> pa.RecordBatch:
-        key, x, y, node, comp, n = (t.column(c).to_numpy() for c in ("key", "x", "y", "node", "comp", "n"))
-        stray = t.column("stray").to_numpy()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
-        new = np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-        group = np.cumsum(new) - 1
-        start = np.flatnonzero(new)
-        any_end = np.r_[start[1:], len(key)] - np.bincount(group, stray)[:len(start)].astype(np.int64)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        strays = np.flatnonzero(stray)
-        width = (any_end - start)[group[strays]]
-        done = 0
-        ends = np.cumsum(width)
-        while done < len(strays):  # some strays with all their partners, a bounded number at a time
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 20), side="right")))
-            w = width[done:upto]
-            a = np.repeat(strays[done:upto], w)
-            b = start[group[a]] + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
-            ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
-            a, b = a[ok], b[ok]
-            near = np.concatenate([np.bitwise_count(sketch[a[i:i + 65536]] ^ sketch[b[i:i + 65536]])
-                                   .sum(axis=1, dtype=np.int64) <= most for i in range(0, len(a), 65536)]
-                                  or [np.empty(0, bool)])
-            us.append(np.minimum(node[a[near]], node[b[near]]))
-            vs.append(np.maximum(node[a[near]], node[b[near]]))
-            done = upto
-        both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+    return as_any.unionByName(as_stray)
+
+
+def block_groups(placed: DataFrame, group: str, found, schema: str, width: int) -> DataFrame:
+    """``found(table)`` for tables of whole blocks (group, x, y), all rows before strays."""
+    full = placed.repartition(width, group, "x", "y").sortWithinPartitions(group, "x", "y", "stray", "node")
 
     def run(batches):
         held: list[pa.Table] = []
@@ -372,32 +337,141 @@ def cross_pairs(keys: DataFrame, nodes: DataFrame, percent: int, most: int, tota
             t = pa.Table.from_batches([b])
             if not len(t):
                 continue
-            key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
-            last = (key == key[-1]) & (x == x[-1]) & (y == y[-1])
-            cut = int(np.argmax(last))
-            if held:
-                h = held[-1].slice(len(held[-1]) - 1)
-                same = all(h.column(c)[0].as_py() == t.column(c)[0].as_py() for c in ("key", "x", "y"))
-                if same and cut == 0:
-                    held.append(t)
-                    continue
-            yield found(pa.concat_tables([*held, t.slice(0, cut)])) if held or cut else _no_pairs()
+            g, x, y = (t.column(c).to_numpy() for c in (group, "x", "y"))
+            cut = int(np.argmax((g == g[-1]) & (x == x[-1]) & (y == y[-1])))  # the last block may go on
+            if held and not cut and all(held[0].column(c)[-1].as_py() == t.column(c)[0].as_py()
+                                        for c in (group, "x", "y")):
+                held.append(t)
+                continue
+            whole = pa.concat_tables([*held, t.slice(0, cut)])
+            if len(whole):
+                yield found(whole)
             held = [t.slice(cut)]
         if held:
             yield found(pa.concat_tables(held))
 
-    return full.mapInArrow(run, "u long, v long").distinct()
-
-
-def _no_pairs() -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["u", "v"])
+    return full.mapInArrow(run, schema)
+
+
+def _meetings(t: pa.Table, group: str, percent: int, most: int):
+    """(a, b, differing bits) positions of strays and nodes of other components of their
+    block that sizes and sketches let through, a bounded number at a time."""
+    g, x, y, comp, n = (t.column(c).to_numpy() for c in (group, "x", "y", "comp", "n"))
+    stray = t.column("stray").to_numpy()
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(g), -1)
+    start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    block = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(g)]))
+    others = np.bincount(block, ~stray, len(start)).astype(np.int64)  # rows before the strays
+    strays = np.flatnonzero(stray)
+    ends = np.cumsum(others[block[strays]])
+    done = 0
+    while done < len(strays):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 18), side="right")))
+        w = others[block[strays[done:upto]]]
+        a = np.repeat(strays[done:upto], w)
+        b = start[block[a]] + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+        ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+        a, b = a[ok], b[ok]
+        bits = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+        near = bits <= most
+        yield a[near], b[near], bits[near]
+        done = upto
+
+
+def cross_edges(keys: DataFrame, nodes: DataFrame, percent: int, most: int, total: int,
+                block: int = BLOCK) -> DataFrame:
+    """(src, dst): links between components that join whatever components have candidate
+    pairs.  ``keys`` holds (key, node, comp)."""
+    parts = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = (parts.groupBy(F.col("key").alias("k")).agg(
+        F.sum("m").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("most"))
+        .filter("comps > 1")
+        .select("k", "size", F.col("most.comp").alias("main"),
+                F.ceil((F.col("size") - F.col("most.m")) / block).cast("int").alias("sb"),
+                F.ceil(F.col("size") / block).cast("int").alias("nb")))
+    rows = join_hot(keys, "key", mixed, "k", "size", total).join(nodes, "node")
+
+    def found(t):
+        comp = t.column("comp").to_numpy()
+        src, dst = np.empty(0, np.int64), np.empty(0, np.int64)
+        for a, b, _ in _meetings(t, "key", percent, most):
+            both = np.unique(np.stack([comp[a], comp[b]], axis=1), axis=0)
+            src, dst = _forest(np.r_[src, both[:, 0]], np.r_[dst, both[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    return block_groups(in_blocks(rows, "key", ["node", "n", "sketch"]), "key", found, "src long, dst long",
+                        shuffle_width(keys.sparkSession)).distinct()
+
+
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Number of hashes that each of the others shares with one rising set."""
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    size = np.fromiter(map(len, others), np.int64, len(others))
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+
+
+def zone_links(members: DataFrame, sets, percent: int, most: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(src, dst): verified links between components, joining all that the links of a
+    zone join.  ``members`` are (zone, comp, node, n, sketch)."""
+    size = F.sum(F.col("n") * 8)
+    parts = members.groupBy("zone", "comp").agg(size.alias("m"))
+    zones = parts.groupBy(F.col("zone").alias("z")).agg(
+        F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("most")) \
+        .select("z", F.col("most.comp").alias("main"),
+                F.greatest(F.ceil((F.col("size") - F.col("most.m")) / block_bytes), F.lit(1)).cast("int").alias("sb"),
+                F.ceil(F.col("size") / block_bytes).cast("int").alias("nb"))
+    own = sets(members.select("node").distinct())
+    rows = members.join(zones, F.col("zone") == F.col("z")).join(own, "node")
+
+    def found(t):
+        comp, node, n = (t.column(c).to_numpy() for c in ("comp", "node", "n"))
+        blobs = t.column("shingles")
+        known: dict[int, np.ndarray] = {}
+        top: dict[int, int] = {}
+
+        def hashes(i):
+            if i not in known:
+                known[i] = np.frombuffer(blobs[i].as_py(), np.uint64)
+            return known[i]
+
+        def root(c):
+            while (up := top.get(c, c)) != c:
+                top[c] = top.get(up, up)
+                c = up
+            return c
+
+        src, dst = [], []
+        for a, b, bits in _meetings(t, "zone", percent, most):
+            order = np.lexsort((bits, a))
+            a, b = a[order], b[order]
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+                if not len(part):
+                    continue
+                one, at = int(a[part[0]]), 0
+                while at < len(part):  # the likeliest few first, then as many as there are
+                    some = [int(w) for w in b[part[at:at + max(8, at)]] if root(int(comp[w])) != root(int(comp[one]))]
+                    at += max(8, at)
+                    if not some:
+                        continue
+                    common = _common(hashes(one), [hashes(w) for w in some])
+                    for w, k in zip(some, common.tolist()):
+                        p, q = root(int(comp[w])), root(int(comp[one]))
+                        if p != q and 100 * k >= percent * (int(n[w]) + int(n[one]) - k):
+                            top[max(p, q)] = min(p, q)
+                            src.append(int(node[one]))
+                            dst.append(int(node[w]))
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return block_groups(in_blocks(rows, "zone", ["node", "n", "sketch", "shingles"]), "zone", found,
+                        "src long, dst long", shuffle_width(members.sparkSession))
 
 
 # -------------------------------------------------------------------- operator
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
                     percent: int = 80, rows: int = ROWS, bands: int = BANDS, bits: int = SKETCH_BITS,
-                    block: int = BLOCK) -> DataFrame:
+                    block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
     spark = docs.sparkSession
     path = scratch_path(spark, "odd-sketches")
@@ -422,8 +496,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = connected_components(links).withColumnRenamed("node", "rn")
     member = shared.join(roots, F.col("node") == F.col("rn"), "left") \
         .select("key", "node", F.coalesce("root", "node").alias("comp"))
-    cross = materialize(cross_pairs(member, nodes, percent, most, total * bands, block))
-    roots = connected_components(links.unionByName(verified(cross, sets, percent))).withColumnRenamed("node", "rn")
+    edges = materialize(cross_edges(member, nodes, percent, most, total * bands, block))
+    if not edges.isEmpty():
+        zones = connected_components(edges)
+        zones = zones.unionByName(zones.select(F.col("root").alias("node"), "root").distinct()) \
+            .select(F.col("node").alias("c"), F.col("root").alias("zone"))
+        members = member.select("node", "comp").distinct().join(zones, F.col("comp") == F.col("c")) \
+            .select("zone", "comp", "node").join(nodes, "node")
+        links = links.unionByName(zone_links(materialize(members), sets, percent, most, block_bytes))
+        roots = connected_components(links).withColumnRenamed("node", "rn")
 
     # the smallest id of a component; large components are met by broadcast
     placed = lows.join(roots, F.col("node") == F.col("rn"), "left") \

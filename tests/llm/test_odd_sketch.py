@@ -67,11 +67,11 @@ def texts(rows):
 SCHEMA = "doc_id long, text string, node string, key long, kept string"
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_components_equal_brute_force(spark, texts, block):
+@pytest.mark.parametrize("block,block_bytes", [(2048, 8 << 20), (8, 5000)])
+def test_components_equal_brute_force(spark, texts, block, block_bytes):
     from flowforge.llm.odd_sketch import near_duplicates
     df = spark.createDataFrame([(i, t, "clash", 1, "x") for i, t in texts], SCHEMA).repartition(5)
-    got = near_duplicates(df, shingle=2, block=block)
+    got = near_duplicates(df, shingle=2, block=block, block_bytes=block_bytes)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert Counter(map(tuple, got.collect())) == brute(texts)
 
