@@ -1,7 +1,7 @@
 """Classifiers: fit on the training rows, predict the test rows.
 
-* decision tree, random forest, one-vs-rest linear SVM and the multilayer
-  perceptron are ``pyspark.ml`` estimators;
+* decision tree and random forest (``trees``), linear SVM (``svm``) and the neural
+  network (``network``) are fitted over training blocks dealt by row id;
 * linear and quadratic discriminants are fitted from per-class sufficient
   statistics (count, sum, Gram matrix) summed with a grouped aggregation; only
   the ``k x d x d`` statistics reach the driver, and scoring is a vectorised
@@ -27,6 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowforge.operators.network import fit_network, predict_network
+from flowforge.operators.svm import fit_svm, predict_svm
+from flowforge.operators.trees import fit_forest, fit_tree, predict_trees
+from flowforge.session import ensure_checkpoint_dir
+
 MODELS = ["MLP", "LDA", "QDA", "SVM", "k-NN", "DT", "RF"]
 
 
@@ -40,92 +45,24 @@ def features_array(cols, fill_null: float | None = None) -> F.Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float(fill_null))) for c in cols])
 
 
-def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    return df.withColumn("_vec", array_to_vector(F.col(features)))
-
-
 # ---------------------------------------------------------------------------
-# pyspark.ml estimators
+# Iterative models (see svm.py, trees.py and network.py)
 # ---------------------------------------------------------------------------
 
-#: Training rows are dealt by a hash of their content into this many sorted
-#: partitions, so bagging and float sums do not depend on the input's layout or on
-#: the number of cores.  Raise it with the data; the model is a function of it.
-TRAIN_PARTITIONS = 8
-
-
-def ml_fit(est, train, label="label_idx", features="features", partitions: int = TRAIN_PARTITIONS):
-    """Fit a ``pyspark.ml`` classifier on the feature-array frame (eager)."""
-    tr = _vectors(train, features).withColumn("_y", F.col(label).cast("double"))
-    tr = (tr.select("_vec", "_y", F.xxhash64(features, label).alias("_k"), F.col(features).alias("_x"))
-          .repartition(partitions, "_k").sortWithinPartitions("_k", "_y", "_x").select("_vec", "_y"))
-    return est.setFeaturesCol("_vec").setLabelCol("_y").setPredictionCol("_pred").fit(tr)
-
-
-def ml_predict(model, test, label="label_idx", features="features", id_col="id"):
-    """Score with a fitted ``pyspark.ml`` model (a projection, lazy)."""
-    out = model.transform(_vectors(test, features))
-    return out.select(id_col, label, F.col("_pred").cast("int").alias("prediction"))
-
-
-def _ml_fit_predict(est, train, test, label, features, id_col):
-    model = ml_fit(est, train, label, features)
-    return model, ml_predict(model, test, label, features, id_col)
-
-
-# The estimators and their settings, for the single models and the comparison alike.
-
-def tree_estimator(seed=0, max_depth=30, max_bins=32):
-    from pyspark.ml.classification import DecisionTreeClassifier
-    # deep trees: keep node ids on the executors instead of shipping the tree
-    # every level, and let each pass split more nodes at once
-    return DecisionTreeClassifier(seed=seed, maxDepth=max_depth, maxBins=max_bins,
-                                  cacheNodeIds=True, maxMemoryInMB=1024)
-
-
-def forest_estimator(seed=0, num_trees=100, max_depth=30, max_bins=32):
-    from pyspark.ml.classification import RandomForestClassifier
-    return RandomForestClassifier(seed=seed, numTrees=num_trees, maxDepth=max_depth,
-                                  featureSubsetStrategy="sqrt", maxBins=max_bins,
-                                  cacheNodeIds=True, maxMemoryInMB=1024)
-
-
-def svm_estimator(n_rows, n_classes, c=1.0, max_iter=100, tol=1e-4):
-    """One-vs-rest linear SVM; ``regParam = 1/(C n)`` matches a C-weighted loss
-    sum, and ``tol`` is the usual liblinear stopping tolerance.  The binary problems
-    are independent and fitted concurrently."""
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n_rows, 1)), standardization=False,
-                    tol=tol)
-    return OneVsRest(classifier=svc, parallelism=max(1, min(n_classes, 16)))
-
-
-def mlp_estimator(n_features, n_classes, hidden=(256, 256), max_iter=100, seed=2021):
-    """Perceptron d-256-256-k (sigmoid hidden layers, softmax output, L-BFGS)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes],
-                                          maxIter=max_iter, seed=seed, blockSize=128)
-
-
 def decision_tree(train, test, label="label_idx", features="features", id_col="id", **settings):
-    return _ml_fit_predict(tree_estimator(**settings), train, test, label, features, id_col)[1]
+    return predict_trees(fit_tree(train, label, features, id_col, **settings), test, label, features, id_col)
 
 
 def random_forest(train, test, label="label_idx", features="features", id_col="id", **settings):
-    return _ml_fit_predict(forest_estimator(**settings), train, test, label, features, id_col)[1]
+    return predict_trees(fit_forest(train, label, features, id_col, **settings), test, label, features, id_col)
 
 
 def linear_svm(train, test, label="label_idx", features="features", id_col="id", **settings):
-    size = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).first()
-    est = svm_estimator(size["n"], size["k"], **settings)
-    return _ml_fit_predict(est, train, test, label, features, id_col)[1]
+    return predict_svm(fit_svm(train, label, features, id_col, **settings), test, label, features, id_col)
 
 
-def mlp(train, test, n_features, n_classes, label="label_idx", features="features", id_col="id",
-        **settings):
-    est = mlp_estimator(n_features, n_classes, **settings)
-    return _ml_fit_predict(est, train, test, label, features, id_col)[1]
+def mlp(train, test, label="label_idx", features="features", id_col="id", **settings):
+    return predict_network(fit_network(train, label, features, id_col, **settings), test, label, features, id_col)
 
 
 # ---------------------------------------------------------------------------
@@ -473,34 +410,34 @@ def timed_fit_predict(fit, predict):
     """Time training and prediction separately (J8).
 
     ``fit()`` returns a fitted model (its action runs here); ``predict(model)``
-    returns the prediction frame, materialised with a count.  Returns
+    returns the prediction frame, written once as a checkpoint in the shared folder, so
+    that no predictions stay in executor memory.  Returns
     ``(predictions, train_seconds, predict_seconds)``.
     """
     t0 = time.perf_counter()
     model = fit()
     t1 = time.perf_counter()
-    pred = predict(model).cache()
-    pred.count()
+    pred = predict(model)
+    ensure_checkpoint_dir(pred.sparkSession)
+    pred = pred.checkpoint()
     return pred, t1 - t0, time.perf_counter() - t1
 
 
-def model_runs(train: DataFrame, test: DataFrame, n_features: int, n_classes: int,
-               knn_block_rows: int = 4096, label="label_idx", features="features", id_col="id"):
+def model_runs(train: DataFrame, test: DataFrame, knn_block_rows: int = 4096, label="label_idx",
+               features="features", id_col="id"):
     """(fit, predict) pairs of the seven models, in the comparison order."""
-    def ml(est_fn):
-        return (lambda: ml_fit(est_fn(), train, label, features),
-                lambda m: ml_predict(m, test, label, features, id_col))
+    names = (label, features, id_col)
+
+    def pair(fit, predict):
+        return lambda: fit(train, *names), lambda m: predict(m, test, *names)
 
     return {
-        "MLP": ml(lambda: mlp_estimator(n_features, n_classes)),
-        "LDA": (lambda: fit_lda(train, label, features),
-                lambda m: predict_discriminant(m, test, label, features, id_col)),
-        "QDA": (lambda: fit_qda(train, label, features),
-                lambda m: predict_discriminant(m, test, label, features, id_col)),
-        "SVM": ml(lambda: svm_estimator(train.count(), n_classes)),
+        "MLP": pair(fit_network, predict_network),
+        "LDA": (lambda: fit_lda(train, label, features), lambda m: predict_discriminant(m, test, *names)),
+        "QDA": (lambda: fit_qda(train, label, features), lambda m: predict_discriminant(m, test, *names)),
+        "SVM": pair(fit_svm, predict_svm),
         # k-NN has no training step: the training rows are the model
-        "k-NN": (lambda: None,
-                 lambda _m: knn(train, test, 5, label, features, id_col, knn_block_rows)),
-        "DT": ml(tree_estimator),
-        "RF": ml(forest_estimator),
+        "k-NN": (lambda: None, lambda _m: knn(train, test, 5, *names, knn_block_rows)),
+        "DT": pair(fit_tree, predict_trees),
+        "RF": pair(fit_forest, predict_trees),
     }

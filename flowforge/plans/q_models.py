@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowforge.operators import classifiers as C
+from flowforge.operators.svm import fit_svm, predict_svm
+from flowforge.operators.trees import fit_tree, predict_trees
 from flowforge.operators.metrics import binary_metrics, metric_rows, metric_table
 from flowforge.operators.split import stratified_split
 from flowforge.plans.tables import table
@@ -21,8 +23,9 @@ def embedding_splits(spark: SparkSession, sf_dir: str):
         F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label_idx"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features"))
     pct = {i: EMB_TRAIN_PCT for i in range(10)}
-    # train and test both read the split: keep it (small) instead of ranking twice
-    s = stratified_split(e, "label_idx", ["id"], pct, seed=EMB_SEED).cache()
+    # train and test both read the split: written once instead of ranking twice
+    ensure_checkpoint_dir(spark)
+    s = stratified_split(e, "label_idx", ["id"], pct, seed=EMB_SEED).checkpoint()
     train = s.filter(F.col("split") == "train").drop("split")
     test = s.filter(F.col("split") == "test").drop("split")
     return train, test
@@ -78,15 +81,13 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = embedding_splits(spark, sf_dir)
-    return C.mlp(train, test, n_features=64, n_classes=10)
+    return C.mlp(train, test)
 
 
 def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven models, 13 metrics each (label 0 = benign), one column per model."""
     train, test = embedding_splits(spark, sf_dir)
-    train = train.cache()
-    test = test.cache()
-    runs = C.model_runs(train, test, 64, 10)
+    runs = C.model_runs(train, test)
     long = None
     for name, (fit, predict) in runs.items():
         pred, train_sec, pred_sec = C.timed_fit_predict(fit, predict)
@@ -145,6 +146,25 @@ def tree_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.decision_tree(d, d, max_depth=1)
 
 
+def tree_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of exact cuts on price and quantity-like features, all found by Spark
+    (no node goes to one task)."""
+    d = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1)
+        .otherwise(2).alias("label_idx"),
+        F.array(F.dayofyear("o_orderdate").cast("double"), F.col("o_totalprice").cast("double")).alias("features"))
+    return predict_trees(fit_tree(d, max_depth=2, local_rows=0), d)
+
+
+def svm_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared-hinge SVM of four languages on one letter: the margins of every document."""
+    d = language_features(spark, sf_dir, "e")
+    out = predict_svm(fit_svm(d), d, margins="m")
+    return out.select("id", "label_idx", "prediction", *[
+        F.round(F.get("m", F.lit(i)), 4).alias(f"m_{c}") for i, c in enumerate(LANGUAGES)])
+
+
 def language_splits(spark: SparkSession, sf_dir: str):
     s = stratified_split(language_features(spark, sf_dir), "label_idx", ["id"],
                          {i: (50, 0, 50) for i in range(len(LANGUAGES))}, seed=EMB_SEED)
@@ -167,7 +187,7 @@ def model_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_predictions(train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
-    runs = C.model_runs(train, test, len(LETTERS), len(LANGUAGES))
+    runs = C.model_runs(train, test)
     return {name: predict(fit()) for name, (fit, predict) in runs.items()}
 
 
@@ -176,6 +196,8 @@ QUERIES = {
     "lda_language": lda_language,
     "qda_language": qda_language,
     "tree_stump": tree_stump,
+    "tree_depth2": tree_depth2,
+    "svm_line": svm_line,
     "model_margins": model_margins,
     "knn": knn,
     "knn_neighbours": knn_neighbours,
@@ -294,3 +316,72 @@ WHERE rk > floor(n * 50.0 / 100) AND rk <= 2 * floor(n * 50.0 / 100)
 GROUP BY model, label_idx
 """,
 })
+
+
+# ----------------------------------------------------- exact tree of two levels
+
+def _best_cut(name: str, rows: str, part: str) -> str:
+    """Best cut of each ``part`` of ``rows``: least impurity, then feature, then cut."""
+    return f"""
+{name}_cells AS (
+  SELECT {part} AS part, f, CASE f WHEN 0 THEN x ELSE z END AS v,
+         sum((label_idx = 0)::INT) AS a, sum((label_idx = 1)::INT) AS b, sum((label_idx = 2)::INT) AS c
+  FROM {rows}, (SELECT unnest([0, 1]) AS f) GROUP BY 1, 2, 3),
+{name}_run AS (
+  SELECT part, f, v, lead(v) OVER w AS next, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(c) OVER w AS c,
+         sum(a) OVER t AS ta, sum(b) OVER t AS tb, sum(c) OVER t AS tc
+  FROM {name}_cells WINDOW w AS (PARTITION BY part, f ORDER BY v), t AS (PARTITION BY part, f)),
+{name} AS (
+  SELECT part, arg_min(f, [i, f, cut]) AS f, arg_min(cut, [i, f, cut]) AS cut FROM (
+    SELECT part, f::DOUBLE AS f, v + (next - v) / 2 AS cut,
+           round((a + b + c) - (a * a + b * b + c * c)::DOUBLE / (a + b + c)
+             + (ta - a + tb - b + tc - c)
+             - ((ta - a) * (ta - a) + (tb - b) * (tb - b) + (tc - c) * (tc - c))::DOUBLE
+               / (ta - a + tb - b + tc - c), 6) AS i
+    FROM {name}_run WHERE next IS NOT NULL AND (ta = 0)::INT + (tb = 0)::INT + (tc = 0)::INT < 2)
+  GROUP BY part)"""
+
+
+ORACLE["tree_depth2"] = f"""
+WITH d AS (
+  SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label_idx,
+         dayofyear(o_orderdate)::DOUBLE AS x, o_totalprice::DOUBLE AS z, 0 AS node FROM orders),
+{_best_cut("top", "d", "node")},
+e AS (SELECT d.*, CASE WHEN CASE t.f WHEN 0 THEN x ELSE z END <= t.cut THEN 1 ELSE 2 END AS side
+      FROM d, top t),
+{_best_cut("low", "e", "side")},
+leaves AS (SELECT e.*, coalesce(CASE l.f WHEN 0 THEN x ELSE z END <= l.cut, true) AS half
+           FROM e LEFT JOIN low l ON l.part = e.side),
+votes AS (SELECT side, half, label_idx, count(*) AS n FROM leaves GROUP BY 1, 2, 3),
+said AS (SELECT side, half, label_idx AS prediction,
+                row_number() OVER (PARTITION BY side, half ORDER BY n DESC, label_idx) AS r FROM votes)
+SELECT l.id, l.label_idx, s.prediction FROM leaves l JOIN said s USING (side, half) WHERE s.r = 1
+"""
+
+# Newton steps on two weights per class, sixty of them; they end at the solution long before.
+ORACLE["svm_line"] = """
+WITH RECURSIVE f AS (
+  SELECT doc_id AS id, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS y,
+         coalesce(100.0::DOUBLE * (length(t) - length(replace(t, 'e', ''))) / nullif(length(t), 0), 0) AS x
+  FROM (SELECT doc_id, lang, lower(coalesce(text, '')) AS t FROM documents)
+  WHERE lang IN ('de', 'en', 'es', 'fr')),
+s AS (SELECT c, x, CASE WHEN y = c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s
+      FROM f, (SELECT unnest([0, 1, 2, 3]) AS c)),
+newton AS (
+  SELECT c, 0 AS k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM (SELECT unnest([0, 1, 2, 3]) AS c)
+  UNION ALL
+  SELECT c, k + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb),
+         b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb)
+  FROM (
+    SELECT c, k, w, b, w - 2 * sum(s * g * x) AS gw, b - 2 * sum(s * g) AS gb,
+           1 + 2 * sum((g > 0)::INT * x * x) AS hww, 2 * sum((g > 0)::INT * x) AS hwb,
+           1 + 2 * sum((g > 0)::INT) AS hbb
+    FROM (SELECT n.c, n.k, n.w, n.b, s.s, s.x, greatest(1 - s.s * (n.w * s.x + n.b), 0) AS g
+          FROM newton n JOIN s ON s.c = n.c WHERE n.k < 60)
+    GROUP BY c, k, w, b)),
+m AS (SELECT f.id, f.y, n.c, n.w * f.x + n.b AS m FROM f, newton n WHERE n.k = 60)
+SELECT id, y AS label_idx, CAST(arg_max(c, m) AS INTEGER) AS prediction,
+       round(max(m) FILTER (c = 0), 4) AS m_de, round(max(m) FILTER (c = 1), 4) AS m_en,
+       round(max(m) FILTER (c = 2), 4) AS m_es, round(max(m) FILTER (c = 3), 4) AS m_fr
+FROM m GROUP BY id, y
+"""

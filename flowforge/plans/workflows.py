@@ -131,7 +131,6 @@ def compare_classifiers(spark: SparkSession, root: str, dataset: str,
     sets = load_splits(spark, root, dataset)
     feats = feature_columns(dataset)
     idx = fit_label_index(sets["train"])
-    n_classes = len(idx.labels)
     tagged = None
     for name, df in sets.items():
         part = df.withColumn("split", F.lit(name))
@@ -147,7 +146,7 @@ def compare_classifiers(spark: SparkSession, root: str, dataset: str,
     tagged = tagged.checkpoint()  # cut lineage once; every model reads it
     train = tagged.filter(F.col("split") == "train")
     test = tagged.filter(F.col("split") == "test")
-    runs = C.model_runs(train, test, len(feats), n_classes, knn_block_rows)
+    runs = C.model_runs(train, test, knn_block_rows)
     long = None
     chosen = [m for m in models if m in runs]
     for name in chosen:

@@ -111,13 +111,13 @@ def test_ml_models_accuracy(data, fit):
     train, test = data
     pred = {"tree": lambda: C.decision_tree(train, test),
             "forest": lambda: C.random_forest(train, test, num_trees=20),
-            "svm": lambda: C.linear_svm(train, test, max_iter=50)}[fit]()
+            "svm": lambda: C.linear_svm(train, test)}[fit]()
     assert _acc(pred) >= 0.9
 
 
 def test_mlp_accuracy(data):
     train, test = data
-    pred = C.mlp(train, test, n_features=4, n_classes=3, hidden=(16, 16), max_iter=100)
+    pred = C.mlp(train, test, hidden=(16, 16), epochs=60)
     assert _acc(pred) >= 0.9
 
 
