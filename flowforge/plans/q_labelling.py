@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowforge.operators.capture_rules import CAPTURE_DAYS
+from flowforge.operators.interval_index import label_flows_indexed
 from flowforge.operators.labelling import (DayRules, Drop, FlowFields, Rule, apply_drops,
                                            label_by_day, label_flows, label_flows_join,
                                            rules_frame)
@@ -280,6 +281,54 @@ QUERIES["rule_label_join_bucketed"] = rule_label_join_bucketed
 ORACLE["rule_label_join_bucketed"] = ORACLE["rule_label_join"]
 
 
+def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per order, over four endpoints: windows of up to two hours, some open, some
+    with a port or a source too.  The table grows with the data."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    lo = F.lit(1704067200000000) + F.pmod(k * 7919, F.lit(2592000)) * 1000000
+    null = F.lit(None)
+    return table(spark, sf_dir, "orders").select(
+        k.cast("long").alias("seq"),
+        F.when(k % 23 == 0, F.pmod(c, F.lit(40)).cast("string")).otherwise(null).alias("src_addr"),
+        null.cast("long").alias("src_port"),
+        F.get(F.array(*[F.lit(v) for v in ("click", "view", "error", "purchase")]), (k % 4).cast("int")).alias("dst_addr"),
+        F.when(k % 3 == 0, k % 10).otherwise(null).alias("dst_port"), null.cast("long").alias("ip_prot"),
+        F.when(k % 41 == 0, null).otherwise(lo).alias("ts_lo"),
+        F.when(k % 1009 == 0, null).otherwise(lo + (F.pmod(c, F.lit(7200)) * 1000000)).alias("ts_hi"),
+        F.concat(F.lit("rule_"), F.pmod(k, F.lit(97)).cast("string")).alias("label"))
+
+
+def rule_label_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval index on a rule table of one rule per order."""
+    return label_flows_indexed(event_flows(spark, sf_dir), order_rules(spark, sf_dir), max_rules=1024) \
+        .select("event_id", "label")
+
+
+QUERIES["rule_label_indexed"] = rule_label_indexed
+ORACLE["rule_label_indexed"] = f"""
+WITH {_EV}, rules AS (
+  SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 23 = 0 THEN o_custkey % 40 END AS src_addr,
+         list_value('click', 'view', 'error', 'purchase')[o_orderkey % 4 + 1] AS dst_addr,
+         CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 END AS dst_port,
+         CASE WHEN o_orderkey % 41 <> 0 THEN 1704067200000000 + o_orderkey * 7919 % 2592000 * 1000000 END AS ts_lo,
+         CASE WHEN o_orderkey % 1009 <> 0 THEN 1704067200000000 + o_orderkey * 7919 % 2592000 * 1000000
+              + o_custkey % 7200 * 1000000 END AS ts_hi,
+         'rule_' || (o_orderkey % 97) AS label FROM orders),
+m AS (
+  SELECT e.event_id, arg_max(r.label, r.seq) AS hit
+  FROM ev e JOIN rules r
+    ON r.dst_addr = e.dst_addr
+   AND (r.src_addr IS NULL OR r.src_addr = e.src_addr)
+   AND (r.dst_port IS NULL OR r.dst_port = e.dst_port)
+   AND (r.ts_lo IS NULL OR e.timestamp >= r.ts_lo)
+   AND (r.ts_hi IS NULL OR e.timestamp <= r.ts_hi)
+  GROUP BY e.event_id)
+SELECT e.event_id,
+       coalesce(m.hit, CASE WHEN e.label = 'NeedLabel' THEN 'benign' ELSE e.label END) AS label
+FROM ev e LEFT JOIN m ON m.event_id = e.event_id
+"""
+
+
 def _capture_oracle() -> str:
     """The capture days' rules as a table, joined and decided by ``arg_max``; the drops
     are written out."""
