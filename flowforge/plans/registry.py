@@ -11,6 +11,7 @@ _MODULES = [
     "flowforge.plans.q_stats",
     "flowforge.plans.q_metrics",
     "flowforge.plans.q_models",
+    "flowforge.plans.q_files",
 ]
 
 

@@ -16,7 +16,7 @@ from flowforge.operators import classifiers as C
 from flowforge.operators.capture_rules import CAPTURE_DAYS
 from pyspark.sql import types as T
 
-from flowforge.operators.cleaning import validate_labels
+from flowforge.operators.cleaning import CleanReport, validate_labels
 from flowforge.session import ensure_checkpoint_dir, wide_table_settings
 from flowforge.operators.labelling import label_by_day
 from flowforge.operators.metrics import binary_metrics, metric_rows, metric_table
@@ -38,7 +38,7 @@ def label_capture_files(spark: SparkSession, paths: Sequence[str], output: str |
     counts are one small aggregation.
     """
     wide_table_settings(spark)
-    flows = day_from_file(read_flows(spark, paths, "generated"))
+    flows = day_from_file(read_flows(spark, paths, "generated", check_header=True))
     labelled = label_by_day(flows, "day", CAPTURE_DAYS).drop("source_file")
     if output is not None:
         write_labelled(sort_flows(labelled, ["day", *FLOW_ORDER]), output)
@@ -56,7 +56,7 @@ def _percentages(dataset: str, names: Sequence[str]) -> dict:
     return dict(zip(names, TRAIN_PERCENTAGES[dataset]))
 
 
-def clean_flows(df: DataFrame, classes: Sequence[str]) -> DataFrame:
+def clean_flows(df: DataFrame, classes: Sequence[str], report: CleanReport | None = None) -> DataFrame:
     """C1 + C4 + C3 + B6 as one projection and one filter (row-local; the
     per-file repetition of the outlier pass is unnecessary).
 
@@ -79,27 +79,30 @@ def clean_flows(df: DataFrame, classes: Sequence[str]) -> DataFrame:
         else:
             e = c
         cols.append(e.alias(f.name))
-    flat = df.select(*cols).filter(F.col("flow_id").isNotNull())
-    return validate_labels(flat, classes).na.drop(how="any")
+    flat = (df if report is None else report.observe(df, "read")).select(*cols).filter(F.col("flow_id").isNotNull())
+    if report is None:
+        return validate_labels(flat, classes).na.drop(how="any")
+    return report.observe(validate_labels(report.observe_missing(flat), classes).na.drop(how="any"), "kept")
 
 
 def build_dataset(spark: SparkSession, paths: Sequence[str], dataset: str,
-                  output: str | None = None, seed: int = 0):
+                  output: str | None = None, seed: int = 0, report: CleanReport | None = None):
     """K2 (``original``: original layout, renamed by position, labels mapped
     to canonical names) or K3 (``generated``: generated layout).
 
     Returns ``(split frame, split sizes, constant features)``; writes the sets
-    partitioned by ``split`` when ``output`` is given.
+    partitioned by ``split`` when ``output`` is given; ``report`` gets the counts of the
+    cleaning steps, observed on the way.
     """
     wide_table_settings(spark)
     if dataset == "original":
         flows = read_flows(spark, paths, "original", with_file=False)
-        flows = clean_flows(flows, ORIGINAL_CLASSES)
+        flows = clean_flows(flows, ORIGINAL_CLASSES, report)
         flows = canonical_labels(flows, original_to_canonical())
         names = CANONICAL_CLASSES + ["Infiltration"]
     elif dataset == "generated":
-        flows = read_flows(spark, paths, "generated", with_file=False)
-        flows = clean_flows(flows, CANONICAL_CLASSES)
+        flows = read_flows(spark, paths, "generated", with_file=False, check_header=True)
+        flows = clean_flows(flows, CANONICAL_CLASSES, report)
         names = CANONICAL_CLASSES
     else:
         raise ValueError(f"unknown dataset {dataset!r}")
