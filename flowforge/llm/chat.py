@@ -7,7 +7,8 @@ Turns of a conversation are rendered in turn order into one string::
     <|im_start|>role<|im_sep|>text<|im_end|>
 
 The string is encoded once, with offsets, by a byte-level tokenizer to which the
-three markers are added as special tokens.  The texts of the assistant form
+three markers are added as special tokens (offsets follow from the byte lengths of
+the tokens, ``token_offsets``).  The texts of the assistant form
 sorted, disjoint spans of the string; each token span is cut against them by
 binary search, which gives the loss mask (a token counts when it overlaps a
 turn; the overlap is kept, so the mask is exact to the code point).
@@ -23,7 +24,8 @@ marker separates the tokens of two turns, hence the ids are the same).
 
 Defined results: a null text or role counts as empty; turns with equal numbers
 stand in the order of role and text; repeated rows are turns of their own; a
-null conversation id is one conversation; no rows give no conversations.
+null conversation id is one conversation; no rows give no conversations; a very long turn
+is a chunk of its own; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,6 +101,27 @@ def make_tokenizer(tokenizer: str):
     return t
 
 
+def token_bytes(tok) -> np.ndarray:
+    """Bytes that each id of a byte-level tokenizer stands for."""
+    added = {i: len(t.content.encode()) for i, t in tok.get_added_tokens_decoder().items()}
+    size = max([tok.get_vocab_size() - 1, *added]) + 1
+    return np.fromiter((added.get(i) or len(tok.id_to_token(i) or "") for i in range(size)), np.int64, size)
+
+
+def token_offsets(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Code point offsets of the tokens of a byte-level encoding, as the tokenizer library
+    gives them: a token that holds a part of a code point spans all of it.  None if the
+    tokens do not cover the text byte by byte."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.cumsum(lengths[ids])
+    if not len(ids) or ends[-1] != len(raw):
+        return (np.empty(0, np.int64),) * 2 if not len(ids) and not len(raw) else None
+    if len(raw) == len(text):  # one byte a code point
+        return ends - lengths[ids], ends
+    point = np.cumsum((raw & 0xC0) != 0x80) - 1  # code point of each byte
+    return point[ends - lengths[ids]], point[ends - 1] + 1
+
+
 def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                          role: str = "role", text: str = "text", trained: str = "assistant",
                          tokenizer: str = "byte_bpe_50k.json", chunk_chars: int = 1 << 20) -> DataFrame:
@@ -124,14 +147,17 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
         if turns:
             yield now, chunk, turns
 
-    def out(held, tok) -> pa.RecordBatch:
+    def out(held, tok, lengths) -> pa.RecordBatch:
         done = [render(turns, trained) for _, _, turns in held]
         cols: list[list] = [[] for _ in range(8)]
         for (cid, chunk, turns), (s, a, e), enc in zip(
-                held, done, tok.encode_batch([d[0] for d in done], add_special_tokens=False)):
-            off = np.array(enc.offsets, dtype=np.int64).reshape(-1, 2)
-            mask, lo, hi = cut_spans(off[:, 0], off[:, 1], np.array(a, np.int64), np.array(e, np.int64))
-            for c, v in zip(cols, (cid, chunk, len(turns), s, enc.ids, mask, lo, hi)):
+                held, done, tok.encode_batch_fast([d[0] for d in done], add_special_tokens=False)):
+            ids = np.array(enc.ids, dtype=np.int32)
+            off = token_offsets(s, ids, lengths)
+            if off is None:
+                off = np.array(tok.encode(s, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2).T
+            mask, lo, hi = cut_spans(*off, np.array(a, np.int64), np.array(e, np.int64))
+            for c, v in zip(cols, (cid, chunk, len(turns), s, ids, mask, lo.astype(np.int32), hi.astype(np.int32))):
                 c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()),
                  pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -142,15 +168,16 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = make_tokenizer(tokenizer)
+        lengths = token_bytes(tok)
         held, size = [], 0
         for c in chunks(batches):
             held.append(c)
             size += sum(len(t) for _, t in c[2])
             if size >= chunk_chars:
-                yield out(held, tok)
+                yield out(held, tok, lengths)
                 held, size = [], 0
         if held:
-            yield out(held, tok)
+            yield out(held, tok, lengths)
 
     dealt = (conversations.select(F.col(conv_id).cast("long").alias("c"), F.col(turn).alias("t"),
                                   F.coalesce(F.col(role), F.lit("")).alias("r"),
@@ -163,25 +190,20 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
 def loss_parts(formatted: str, mask, starts, ends) -> list[str]:
     """Text under the loss mask, as runs of adjacent code points (the tokens of
     one code point share its offset)."""
-    lo = hi = -1
-    parts = []
-    for m, a, e in zip(mask, starts, ends):
-        if not m or e <= hi:
-            continue
-        if a > hi:
-            if hi > lo:
-                parts.append(formatted[lo:hi])
-            lo = a
-        hi = e
-    if hi > lo:
-        parts.append(formatted[lo:hi])
-    return parts
-
-
-def conversation_digests(formatted: DataFrame) -> DataFrame:
+    at = np.flatnonzero(mask)
+    if not len(at):
+        return []
+    a, e = np.asarray(starts)[at], np.maximum.accumulate(np.asarray(ends)[at])
+    cut = np.flatnonzero(a[1:] > e[:-1]) + 1
+    return [formatted[x:y] for x, y in zip(a[np.r_[0, cut]].tolist(), e[np.r_[cut - 1, len(e) - 1]].tolist()) if y > x]
+
+
+def conversation_digests(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """Per conversation, read back from formatted rows: n_turns, turns_sha256,
     loss_chars, loss_sha256, formatted_chars.  Chunks pass as a stream, and
-    only running hashes are kept of a conversation."""
+    only running hashes are kept of a conversation.  ``in_order``: the rows come straight
+    from ``format_conversations``, whose tasks hold whole conversations in order, so
+    they are read where they are; else they are dealt and sorted."""
     def run(batches):
         now, state = None, None
 
@@ -191,7 +213,13 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 
         for b in batches:
             got = []
-            for cid, chunk, s, mask, a, e in zip(*(b.column(c).to_pylist() for c in range(6))):
+            def arrays(name):
+                col = b.column(name)
+                flat, ends = col.flatten().to_numpy(zero_copy_only=False), col.offsets.to_numpy() - col.offsets[0].as_py()
+                return [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+            for cid, s, mask, a, e in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(),
+                                          *map(arrays, ("loss_mask", "loss_starts", "loss_ends"))):
                 if state is None or cid != now:
                     if state is not None:
                         got.append(closed())
@@ -211,9 +239,10 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
             yield _digest_batch([closed()])
 
     cols = ["conv_id", "chunk", "formatted", "loss_mask", "loss_starts", "loss_ends"]
-    return (formatted.select(cols).repartition(shuffle_width(formatted.sparkSession), "conv_id")
-            .sortWithinPartitions("conv_id", "chunk")
-            .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long,"
+    rows = formatted.select(cols)
+    if not in_order:
+        rows = rows.repartition(shuffle_width(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "chunk")
+    return (rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long,"
                              " loss_sha256 string, formatted_chars long"))
 
 

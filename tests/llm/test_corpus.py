@@ -87,14 +87,28 @@ def test_chat_masks(spark):
         loss = "".join(x for _, r, x in v if r == "assistant")
         want[c] = (len(v), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in v).encode()).hexdigest(),
                    len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    rendered = {c: sum(len(f"<|im_start|><|im_sep|><|im_end|>{escape(r)}{escape(x or '')}") for i, _, r, x in rows if i == c)
+                for c in want}
     for chunk in (1 << 20, 300):  # whole, and cut between turns
-        out = conversation_digests(format_conversations(df, chunk_chars=chunk)).collect()
-        assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in out} == want
+        for in_order in (True, False):
+            out = conversation_digests(format_conversations(df, chunk_chars=chunk), in_order).collect()
+            assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in out} == want
+            assert {r["conv_id"]: r["formatted_chars"] for r in out} == rendered
     for s in ("", "<|", "<\\|", "<\\\\|x<|", x, "<<||"):
         assert unescape(escape(s)) == s and "<|" not in escape(s)
     assert format_conversations(df.limit(0)).count() == 0
 
 
+def test_offsets_are_those_of_the_library():
+    from flowforge.llm.chat import make_tokenizer, token_bytes, token_offsets
+    tok = make_tokenizer("byte_bpe_50k.json")
+    lengths = token_bytes(tok)
+    for s in ("", "a b  c\n\n", "<|im_start|>user<|im_sep|> 日🙂é ﬁ<|im_end|>", "<|endoftext|>x", "e\u0301 \u200b" * 50, " " * 3000):
+        enc = tok.encode(s, add_special_tokens=False)
+        got = token_offsets(s, np.array(enc.ids, np.int32), lengths)
+        assert [tuple(x) for x in np.stack(got, axis=1).tolist()] == enc.offsets
+
+
 def test_cut_spans():
     from flowforge.llm.chat import cut_spans
     m, a, e = cut_spans(np.array([0, 3, 5, 9, 12]), np.array([3, 5, 9, 12, 12]), np.array([4, 10]), np.array([6, 12]))

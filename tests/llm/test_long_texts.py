@@ -33,3 +33,15 @@ def test_pipeline_on_long_runs(spark, long_docs, tmp_path):
         .write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {9}  # the others have too few words
+
+
+def test_chat_with_very_long_turns(spark):
+    import hashlib
+
+    from flowforge.llm.chat import conversation_digests, format_conversations
+    rows = [(1, 0, "user", " " * 1_000_000), (1, 1, "assistant", "é " * 500_000), (1, 2, "assistant", "\n" * 300_000)]
+    got = conversation_digests(format_conversations(spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string")), in_order=True).collect()
+    loss = "é " * 500_000 + "\n" * 300_000
+    assert [(r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in got] == [
+        (3, len(loss), hashlib.sha256(loss.encode()).hexdigest())]
