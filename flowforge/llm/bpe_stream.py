@@ -9,10 +9,8 @@ by its last token alone and the encoding of what stands before that token, so
 whatever follows, the final encoding runs through the end of one of the last
 ``lookahead`` prefixes.
 
-*Words up to the lookahead* are whole in the window; their merges are applied
-directly, lowest rank first, and remembered (bounded).
-
-*Longer words* run through the transducer.  For each prefix end it finds the last
+*Every word* runs through the transducer; the ids of words that fit the window are
+remembered (bounded).  For each prefix end it finds the last
 token of that prefix's encoding: the token that ends there and that stands
 unchanged beside the last token of the shorter prefix when the two are
 encoded together (adjacent tokens of a BPE encoding are exactly those pairs).
@@ -27,7 +25,10 @@ A file without a decoder joins the token strings with spaces, as its library doe
 Texts are read in parts cut at white space, which no token spans.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
-text; a special string in a text is its special id, as the library does it.
+text; a special string in a text is its special id, as the library does it; repeated rows
+are answered each; a very long text or word takes constant memory; extra columns are
+left out.  Letters, numbers and lower cases are those of the tokenizer's own splitter and
+normaliser, whatever the interpreter's Unicode version.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ import unicodedata
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -239,6 +241,50 @@ class Transducer:
             yield n[1]
 
 
+#: Code points that have letters, numbers or cases; the planes beyond are unassigned or
+#: private, where all libraries agree.
+POINTS = [c for c in [*range(0x34000), *range(0xE0000, 0xE1000)] if not 0xD800 <= c < 0xE000]
+
+
+@lru_cache(maxsize=2)
+def lower_cases(name: str) -> dict[int, str]:
+    """Code points that the tokenizer's normaliser maps otherwise than ``normalize``."""
+    from tokenizers import Tokenizer
+    theirs = Tokenizer.from_file(tokenizer_path(name)).normalizer.normalize_str
+    return {c: t for c in POINTS if not (x := chr(c)).isspace() and (t := theirs(x)) != StreamEncoder.normalize(x)}
+
+
+def _ranges(points) -> str:
+    """A character class of code points, without its brackets."""
+    out, points = [], sorted(points)
+    first = last = None
+    for p in [*points, None]:
+        if first is not None and p == last + 1:
+            last = p
+            continue
+        if first is not None:
+            out.append(f"\\U{first:08x}-\\U{last:08x}")
+        first = last = p
+    return "".join(out)
+
+
+@lru_cache(maxsize=2)
+def word_classes(name: str) -> tuple[frozenset[int], frozenset[int]]:
+    """Code points that the tokenizer takes for letters and for numbers, asked of its own
+    splitter: a letter joins two letters, a number parts two signs, nothing else does."""
+    from tokenizers import Tokenizer
+    split = Tokenizer.from_file(tokenizer_path(name)).pre_tokenizer.pre_tokenize_str
+    letters, numbers = set(), set()
+    for a in range(0, len(POINTS), 1 << 16):
+        part = POINTS[a:a + (1 << 16)]
+        # two probes each, apart by spaces; every probe has three code points
+        whole = {at for _, at in split(" ".join(f"a{chr(c)}a" for c in part))}
+        letters |= {c for i, c in enumerate(part) if (4 * i, 4 * i + 3) in whole}
+        alone = {at for _, at in split(" ".join(f"!{chr(c)}!" for c in part))}
+        numbers |= {c for i, c in enumerate(part) if (4 * i + 1, 4 * i + 2) in alone and c not in letters}
+    return frozenset(letters), frozenset(numbers)
+
+
 class StreamEncoder:
     """Encoder for a tokenizer file with words, byte symbols and word ends."""
 
@@ -253,9 +299,18 @@ class StreamEncoder:
             self.model.token[i] = text
         self.special_re = regex.compile("(" + "|".join(
             regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.word_re = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        letters, numbers = word_classes(name)
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^" + SPACE + r"{L}{N}]+"
+        self.word_re = regex.compile(pattern.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}"))
+        # code points that the two libraries class differently (their Unicode versions differ)
+        own = regex.compile(r"(\p{L})|(\p{N})")
+        odd = [c for c in POINTS if (1 if c in letters else 2 if c in numbers else None) != ((m := own.match(chr(c))) and m.lastindex)]
+        self.cases = lower_cases(name)
+        self.odd_re = regex.compile(f"[{_ranges({*odd, *self.cases})}]") if odd or self.cases else None
+        self.exact_re = regex.compile(pattern.replace("{L}", _ranges(letters)).replace("{N}", _ranges(numbers)))
+        self.known: dict[str, list[int]] = {}
+        self.numeral = {i: str(i).encode() for i in self.model.token}
+        self.decoded_table = {i: t.encode("utf-8") for i, t in self.model.token.items()}
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -274,11 +329,17 @@ class StreamEncoder:
             yield text[at:end]
             at = end
 
+    def words(self, text: str) -> list[str]:
+        """Words of a stretch, normalised and split as the tokenizer does it."""
+        if text.isascii() or self.odd_re is None:
+            return self.word_re.findall(self.normalize(text))
+        text = unicodedata.normalize("NFC", text)
+        if self.odd_re.search(text):
+            return self.exact_re.findall(self.normalize(text.translate(self.cases)))
+        return self.word_re.findall(self.normalize(text))
+
     def word_ids(self, word: str) -> Iterator[int]:
         symbols = self.model.word_symbols(word.encode("utf-8", "surrogatepass"))
-        if len(symbols) <= self.model.lookahead:
-            yield from self.model.merge(symbols)
-            return
         t = Transducer(self.model)
         yield from t.feed(symbols[:-1])
         yield from t.finish(symbols[-1])
@@ -296,43 +357,41 @@ class StreamEncoder:
                 if k % 2:
                     yield "id", self.special[s]
                 else:
-                    for w in self.word_re.findall(self.normalize(s)):
+                    for w in self.words(s):
                         yield "word", w
 
-    def _entry(self, word: str) -> tuple[int, bytes, bytes]:
-        """(tokens, their ids, their strings), joined; remembered if it fits the
-        window."""
-        raw = len(word.encode("utf-8", "surrogatepass"))
+    def _entry(self, word: str) -> list[int]:
+        """Ids of a word; remembered if it fits the window."""
         ids = list(self.word_ids(word))
-        got = (len(ids), " ".join(map(str, ids)).encode(), " ".join([self.model.token[i] for i in ids]).encode())
-        if raw <= self.model.lookahead:
+        if len(word.encode("utf-8", "surrogatepass")) <= self.model.lookahead:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            self.known[word] = got
-        return got
+            self.known[word] = ids
+        return ids
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """(tokens, sha256 of the ids, sha256 of the decoded text) as a stream.
-
-        The same walk as ``encode`` and ``Decoder``; the two results of a
-        remembered word are kept in their joined form."""
+        """(tokens, sha256 of the ids, sha256 of the decoded text) as a stream: the ids that
+        the transducer emits (remembered for words that stood before) go through the
+        decoder as they come, and neither list is held."""
         n, ids_hash, text_hash, known = 0, hashlib.sha256(), hashlib.sha256(), self.known
+        decoder = Decoder(self.decoded_table, b" ")
         lead = b""
         for part in self.parts(text):
             for k, s in enumerate(self.special_re.split(part)):
                 if k % 2:
-                    got = [(1, str(self.special[s]).encode(), s.encode())]
+                    ids = [self.special[s]]
                 else:
-                    words = self.word_re.findall(self.normalize(s))
+                    words = self.words(s)
                     got = list(map(known.get, words))
                     if None in got:
                         got = [e or self._entry(w) for e, w in zip(got, words)]
-                if got:
-                    many, ids, strings = zip(*got)
-                    n += sum(many)
-                    ids_hash.update(lead + b" ".join(ids))
-                    text_hash.update(lead + b" ".join(strings))
+                    ids = list(chain.from_iterable(got))
+                if ids:
+                    n += len(ids)
+                    ids_hash.update(lead + b" ".join(map(self.numeral.__getitem__, ids)))
+                    text_hash.update(decoder.feed(ids).encode("utf-8"))
                     lead = b" "
+        text_hash.update(decoder.finish().encode("utf-8"))
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
@@ -355,13 +414,11 @@ class Decoder:
         self.started = False
 
     def feed(self, ids) -> str:
-        raw = []
-        for i in ids:
-            if self.started:
-                raw.append(self.between)
-            raw.append(self.table[i])
-            self.started = True
-        return self.utf8.decode(b"".join(raw))
+        raw = self.between.join([self.table[i] for i in ids])
+        if self.started and len(ids):
+            raw = self.between + raw
+        self.started = self.started or len(ids) > 0
+        return self.utf8.decode(raw)
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)

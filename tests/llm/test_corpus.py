@@ -510,3 +510,15 @@ def test_sliding_min(width):
     from flowforge.llm.batches import sliding_min
     g = np.random.default_rng(0).integers(0, 99, 40).astype(np.uint64)
     assert sliding_min(g, width).tolist() == [g[k:k + width].min() for k in range(40 - width + 1)]
+
+
+def test_every_code_point_is_split_as_the_library_splits_it():
+    from tokenizers import Tokenizer
+
+    from flowforge.llm.bpe_stream import POINTS, encoder
+    from flowforge.llm.common import tokenizer_path
+    enc = encoder("word_bpe_49k.json")
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = [f"a{chr(c)}b 1{chr(c)}!" for c in POINTS if c < 0x20000]
+    for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert list(enc.encode(t)) == want.ids, t
