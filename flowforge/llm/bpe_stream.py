@@ -85,10 +85,18 @@ class BpeModel:
         self.first = [vocab[s] for s in byte_symbols()]
         self.final = [vocab[s + suffix] for s in byte_symbols()] if suffix else self.first
         self.stand: dict[tuple[int, int], bool] = {}
+        self.single: dict[int, bool] = {}
         # tokens that a BPE run can give: those that their own symbols encode to
         self.by_text: dict[tuple[int, ...], int] = {}
         for i in [*self.first, *self.final, *self.made]:
             self.by_text[tuple(self.symbols_of(i))] = i
+        # tokens by their symbols from the last one back; -1 holds the token
+        self.back: dict = {}
+        for symbols, i in self.by_text.items():
+            at = self.back
+            for x in reversed(symbols):
+                at = at.setdefault(x, {})
+            at[-1] = i
 
     def _symbols(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
@@ -151,7 +159,10 @@ class BpeModel:
 
     def alone(self, token: int) -> bool:
         """Whether a token's own symbols encode to it."""
-        return self.merge(self.symbols_of(token)) == [token]
+        got = self.single.get(token)
+        if got is None:
+            got = self.single[token] = self.merge(self.symbols_of(token)) == [token]
+        return got
 
     def stands(self, a: int, b: int) -> bool:
         """Whether the two tokens stay as they are side by side."""
@@ -176,17 +187,24 @@ class Transducer:
 
     def _step(self, symbol: int):
         self.window.append(symbol)
-        recent = list(self.window)
-        for size in range(len(recent), 0, -1):
-            if size > len(self.nodes):
-                continue
-            token = self.model.by_text.get(tuple(recent[-size:]))
+        model, nodes, at = self.model, self.nodes, self.model.back
+        for size, x in enumerate(reversed(self.window), 1):  # one token at most stands
+            at = at.get(x)
+            if at is None or size > len(nodes):
+                return None
+            token = at.get(-1)
             if token is None:
                 continue
-            before = self.nodes[-size]
+            before = nodes[-size]
             if before is None:
                 continue
-            if self.model.alone(token) if before[1] is None else self.model.stands(before[1], token):
+            last = before[1]
+            if last is None:
+                if model.alone(token):
+                    return (before, token, before[2] + 1)
+                continue
+            ok = model.stand.get((last, token))
+            if model.stands(last, token) if ok is None else ok:
                 return (before, token, before[2] + 1)
         return None
 
@@ -194,7 +212,7 @@ class Transducer:
         for k, s in enumerate(symbols):
             node = self._step(s)
             self.nodes.append(node)
-            if k % self.model.lookahead == 0:
+            if (k + 1) % self.model.lookahead == 0:
                 yield from self._agreed()
 
     def _chain(self, node) -> list:
