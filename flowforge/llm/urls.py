@@ -6,7 +6,9 @@ compile to one ``CASE`` (longest rule first) and the classifier is fitted once
 on the labelled table; scoring is a projection, so nothing is shuffled.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path;
-no rule fits an empty host; it goes to the classifier like any other.
+no rule fits an empty host; it goes to the classifier like any other.  Repeated
+rows stay repeated, an empty table gives no rows, and other columns are carried;
+those named host, path, rule, score or verdict give way to the results.
 """
 
 from __future__ import annotations
@@ -41,24 +43,67 @@ RULES = (
     UrlRule("block", "com", "/de/"),
 )
 
-#: The labelled table: unwanted kinds of site and of page against plain ones.
-_BAD_WORDS = ("spam-farm", "cheap-pills", "casino-bonus", "xxx-cams", "free-loans", "adult-chat",
-              "replica-watches", "poker-online", "hot-singles", "viagra-store", "win-prize", "click-bait")
-_GOOD_WORDS = ("library", "university", "gazette", "museum", "garden", "weather", "history",
-               "physics", "recipes", "science", "council", "thern", "thther", "tionth", "ththed")
-_HOST_FORMS = ("{}.example.com", "www.{}.example.net", "{}.example.org", "blog.{}.example.com")
-_GOOD_PATHS = ("/en/12", "/fr/640.html", "/de/77/", "/es/905", "/en/about", "/docs/index.html")
-_BAD_PATHS = ("/buy/now", "/casino/slots", "/xxx/video/3", "/pills/order.html")
+#: The labelled table, written by this criterion: a site whose trade is gambling,
+#: unprescribed medicine, sex, counterfeits, quick loans, advertising networks, link
+#: selling or sham prizes is unwanted; any other is plain, also one whose name says
+#: nothing.  Fixed values; no site name of the tested pages is among the hosts made of them.
+UNWANTED = (
+    "casino", "casinos", "poker", "pokerroom", "slots", "slot", "jackpot", "jackpots", "roulette", "bet", "bets",
+    "betting", "bookie", "blackjack",
+    "pill", "pills", "pillshop", "viagra", "cialis", "pharma", "pharmacy-direct", "steroid", "steroids",
+    "xxx", "porn", "pornos", "sex", "sexcam", "adult", "adults", "escort", "escorts", "nude", "nudes",
+    "replica", "replicas", "fake", "fakes", "knockoff", "knockoffs",
+    "loan", "loans", "payday", "paydayloan", "quickcash", "fastcash",
+    "ad", "ads", "adserver", "adnetwork", "banner", "banners", "popup", "popups", "clicktrack", "pixeltrack",
+    "spam", "spammer", "backlink", "backlinks", "linkfarm", "linkfarms", "seolinks",
+    "prize", "prizes", "lottery", "lotto", "sweepstake", "sweepstakes", "giveaway", "giveaways",
+)
+PLAIN = (
+    "library", "libraries", "university", "college", "gazette", "herald", "museum", "gallery", "garden", "gardens",
+    "weather", "climate", "history", "archive", "physics", "chemistry", "biology", "recipe", "recipes", "kitchen",
+    "science", "council", "parish", "theatre", "concert", "railway", "station", "harbour", "airport", "hospital",
+    "clinic", "school", "teacher", "student", "lecture", "journal", "review", "reader", "writer", "poetry", "novel",
+    "grammar", "language", "football", "cricket", "cycling", "running", "mountain", "river", "forest", "village",
+    "farm", "dairy", "bakery", "butcher", "carpenter", "plumber", "builder", "architect", "engineer", "software",
+    "hardware", "database", "network", "astronomy", "geology", "chess", "music", "orchestra", "choir", "painting",
+    "address", "shadows", "roads", "essex", "beta", "alphabet", "diabetes", "replicate", "spillway", "badge",
+)
+#: Words that stand beside the others in both classes, so they tell nothing.
+_BESIDE = ("online", "club", "shop", "world", "live", "track", "now", "store", "best", "home", "house", "direct")
+_HOST_FORMS = ("{}.example.com", "www.{}.example.net", "m.{}.example.org", "blog.{}.example.com",
+               "{}.example.org", "{}.example.net", "www.{}.example.com", "m.{}.example.net")
+_PATH_FORMS = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}", "/en/{}.html", "/es/{}/", "/fr/{}", "/de/{}.html")
+
+
+def _meaningless(n: int) -> list[str]:
+    """Invented names of two or three syllables, by a fixed rule."""
+    on, off = ("b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "sh", "t", "th", "v", "w"), \
+        ("an", "ar", "ed", "el", "en", "er", "es", "in", "ing", "is", "ol", "on", "or", "ou", "un")
+    out = []
+    for i in range(n):
+        out.append("".join(on[(7 * i + 5 * j * j + i // 17) % len(on)] + off[(4 * i + 7 * j + i // 15) % len(off)]
+                           for j in range(2 + i % 2)))
+    return out
+
+
+def labelled_words() -> list[tuple[str, float]]:
+    """(word, 1 for unwanted) that the sites of the labelled table are named after."""
+    return [(w, 1.0) for w in UNWANTED] + [(w, 0.0) for w in (*PLAIN, *_meaningless(120))]
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``url``, ``label`` (1 unwanted): every word in every host form, paths in turn."""
+def labelled_urls(spark: SparkSession, words: list[tuple[str, float]] | None = None) -> DataFrame:
+    """``url``, ``label`` (1 unwanted): each word alone, before and after two others, on
+    three paths; both classes go through the same forms and paths, so the host decides."""
     rows = []
-    for label, words, paths in ((1.0, _BAD_WORDS, _GOOD_PATHS + _BAD_PATHS),
-                                (0.0, _GOOD_WORDS, _GOOD_PATHS)):
-        for i, w in enumerate(words):
-            for j, form in enumerate(_HOST_FORMS):
-                rows.append((f"https://{form.format(w)}{paths[(3 * i + j) % len(paths)]}", label))
+    for label in (0.0, 1.0):
+        for i, w in enumerate(w for w, x in (labelled_words() if words is None else words) if x == label):
+            one, other = _BESIDE[i % len(_BESIDE)], _BESIDE[(i // 2 + 5) % len(_BESIDE)]
+            for j, name in enumerate((w, f"{w}-{one}", f"{other}-{w}", f"{w}{other}")):
+                k = 4 * i + j
+                host = _HOST_FORMS[(k + k // 8) % 8].format(name)
+                for n in range(3 * k, 3 * k + 3):
+                    path = _PATH_FORMS[(n + n // 8) % 8].format(7919 * (n % 216) % 9973)
+                    rows.append((f"https://{host}{path}", label))
     return spark.createDataFrame(rows, "url string, label double")
 
 
