@@ -4,9 +4,9 @@ Method
 ------
 The k-mers of a text are its runs of ``k`` code points, each with the number of
 its occurrence so far, so repeats count.  A numbered k-mer has one well-mixed
-64-bit value x, and hash function i is x - r_i modulo 2^64 with a random r_i: its
-smallest values are the first ones from r_i on in the sorted values, so one sort
-serves all functions.  For each of ``sketches`` functions, the ``picks`` numbered
+64-bit value x, and hash function i is x * a_i modulo 2^64 with a random odd a_i,
+so every function has an order of its own.  The products are taken in blocks of
+``BLOCK`` k-mers with the least so far carried on.  For each of ``sketches`` functions, the ``picks`` numbered
 k-mers of smallest hash are chosen, put back into text order, and their k-mers
 (without the number) hashed as a tuple.  Two
 texts agree in a sketch only when they share the chosen k-mers in the same
@@ -19,7 +19,11 @@ several passes, each over one residue class of the hashes, so memory stays bound
 beside the text itself.
 
 Defined results: a null text is the empty text; equal texts have equal
-fingerprints; likeness is the share of equal entries (0 to 1).
+fingerprints; likeness is the share of equal entries (0 to 1).  Every row has one
+row of output, repeated ones too; rows are in the order of id (null first), then of
+a hash of the text, then of the text, and the one after the last is the first, so a
+single row is its own next.  An empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +39,14 @@ from flowforge.llm.batches import mix
 from flowforge.llm.common import materialize, shuffle_width
 
 K, PICKS, SKETCHES = 8, 2, 64
+BLOCK = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _offsets(n: int) -> np.ndarray:
-    """r_i of the hash functions."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE)
+def _factors(n: int) -> np.ndarray:
+    """a_i of the hash functions."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
 def _kmer_hashes(code: np.ndarray, k: int) -> np.ndarray:
@@ -65,11 +71,28 @@ def _numbered(h: np.ndarray) -> np.ndarray:
     return mix(h + out * _BASE)
 
 
-def _chosen(x: np.ndarray, r: np.ndarray, picks: int) -> np.ndarray:
-    """Positions of the ``picks`` smallest x - r_i, a row for each r_i."""
-    order = np.argsort(x, kind="stable")
-    at = np.searchsorted(x[order], r)
-    return order[(at[:, None] + np.arange(min(picks, len(x)))) % len(x)]
+def _least(value: np.ndarray, picks: int) -> np.ndarray:
+    """Places of the ``picks`` smallest entries of each row, the smallest first (of
+    equal ones, the one on the left); ``value`` is overwritten."""
+    rows, out = np.arange(len(value)), []
+    for _ in range(min(picks, value.shape[1])):
+        out.append(value.argmin(axis=1))
+        value[rows, out[-1]] = _MOST
+    return np.stack(out, axis=1)
+
+
+def _chosen(x: np.ndarray, a: np.ndarray, picks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x * a_i, position) of its ``picks`` smallest, a row for each a_i."""
+    value, place = np.empty((len(a), 0), np.uint64), np.empty((len(a), 0), np.int64)
+    for at in range(0, len(x), BLOCK):
+        part = x[at:at + BLOCK]
+        s = _least(part * a[:, None], picks)
+        value = np.concatenate([value, part[s] * a[:, None]], axis=1)
+        place = np.concatenate([place, s + at], axis=1)
+        if value.shape[1] > picks:
+            best = _least(value.copy(), picks)
+            value, place = np.take_along_axis(value, best, 1), np.take_along_axis(place, best, 1)
+    return value, place
 
 
 def order_min_hash(text: str, k: int = K, picks: int = PICKS, sketches: int = SKETCHES,
@@ -80,7 +103,7 @@ def order_min_hash(text: str, k: int = K, picks: int = PICKS, sketches: int = SK
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(code) < k:
         code = np.concatenate([code, np.full(k - len(code), 0x110000, np.uint32)])
-    r = _offsets(sketches)
+    a = _factors(sketches)
     passes = -(-(len(code) - k + 1) // pass_kmers)
     values, places, kmers = [], [], []
     for p in range(passes):
@@ -89,17 +112,16 @@ def order_min_hash(text: str, k: int = K, picks: int = PICKS, sketches: int = SK
             at = np.arange(len(h))
         else:
             hs, ats = [], []
-            for a in range(0, len(code) - k + 1, pass_kmers):
-                part = _kmer_hashes(code[a:a + pass_kmers + k - 1], k)
+            for start in range(0, len(code) - k + 1, pass_kmers):
+                part = _kmer_hashes(code[start:start + pass_kmers + k - 1], k)
                 use = np.flatnonzero(part % np.uint64(passes) == p)
                 hs.append(part[use])
-                ats.append(use + a)
+                ats.append(use + start)
             h, at = np.concatenate(hs), np.concatenate(ats)
             if not len(h):
                 continue
-        x = _numbered(h)
-        s = _chosen(x, r, picks)
-        values.append(x[s] - r[:, None])
+        v, s = _chosen(_numbered(h), a, picks)
+        values.append(v)
         places.append(at[s])
         kmers.append(h[s])
     value, place, kmer = (np.concatenate(c, axis=1) for c in (values, places, kmers))
@@ -107,7 +129,7 @@ def order_min_hash(text: str, k: int = K, picks: int = PICKS, sketches: int = SK
         best = np.argsort(value, axis=1, kind="stable")[:, :picks]
         place, kmer = np.take_along_axis(place, best, 1), np.take_along_axis(kmer, best, 1)
     kmer = np.take_along_axis(kmer, np.argsort(place, axis=1, kind="stable"), 1)  # text order
-    out = r
+    out = a
     for j in range(kmer.shape[1]):
         out = mix(out * _BASE + kmer[:, j])
     return (out >> np.uint64(32)).astype(np.uint32)
