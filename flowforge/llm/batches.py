@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.common import shuffle_width
+from flowforge.llm.common import deal_width, text_bytes
 
 BATCH_BYTES = 4 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -26,13 +26,13 @@ _ONE = np.uint64(1)
 def in_batches(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BYTES,
                carry: list[str] | None = None, deal: bool = True) -> tuple[DataFrame, int]:
     """((batch, id, text, carried columns) dealt by batch, bytes of all texts)."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+    total = text_bytes(docs, text)
     n = max(1, math.ceil(total / batch_bytes))
     ident = F.col(doc_id).cast("long")
     key = F.xxhash64(ident, F.when(ident.isNull(), F.col(text)))
     out = docs.select(F.pmod(key, F.lit(n)).cast("long").alias("batch"), ident.alias("id"),
                       F.col(text).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    return (out.repartition(shuffle_width(docs.sparkSession), "batch") if deal else out), total
+    return (out.repartition(deal_width(docs.sparkSession, total), "batch") if deal else out), total
 
 
 def sorted_rows(t: pa.Table) -> tuple[list, list[bytes], list[int]]:
@@ -66,7 +66,7 @@ def in_packed_batches(docs: DataFrame, doc_id: str, text: str,
                                              names=["batch", "rows"])
 
     packed = plain.mapInArrow(run, "batch long, rows binary")
-    return packed.repartition(shuffle_width(docs.sparkSession), "batch"), total
+    return packed.repartition(deal_width(docs.sparkSession, total), "batch"), total
 
 
 def opened_rows(t: pa.Table) -> tuple[list, list[bytes]]:

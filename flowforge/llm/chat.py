@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.common import shuffle_width, tokenizer_path
+from flowforge.llm.common import deal_width, shuffle_width, text_bytes, tokenizer_path
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CHUNK_SCHEMA = ("conv_id long, chunk long, n_turns long, formatted string, input_ids array<int>,"
@@ -182,7 +182,7 @@ def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", tur
     dealt = (conversations.select(F.col(conv_id).cast("long").alias("c"), F.col(turn).alias("t"),
                                   F.coalesce(F.col(role), F.lit("")).alias("r"),
                                   F.coalesce(F.col(text), F.lit("")).alias("x"))
-             .repartition(shuffle_width(conversations.sparkSession), "c")
+             .repartition(deal_width(conversations.sparkSession, text_bytes(conversations, text)), "c")
              .sortWithinPartitions("c", "t", "r", "x").select("c", "r", "x"))
     return dealt.mapInArrow(run, CHUNK_SCHEMA)
 

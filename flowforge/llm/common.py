@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowforge.session import ensure_checkpoint_dir
 
@@ -38,6 +40,27 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most bytes of texts that one shuffle partition is meant to get.
+TASK_BYTES = 64 << 20
+
+
+def deal_width(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions for ``n_bytes``: as many as the session sets, and more where these
+    would get over ``TASK_BYTES`` each."""
+    return max(shuffle_width(spark), math.ceil(n_bytes / TASK_BYTES))
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    return df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+
+
+def dealt(df: DataFrame, key: str, n_bytes: int) -> DataFrame:
+    """``df`` dealt by ``key`` where its ``n_bytes`` ask for more partitions than the
+    session sets; otherwise as it is, and the grouping by ``key`` deals it."""
+    width = deal_width(df.sparkSession, n_bytes)
+    return df.repartition(width, key) if width > shuffle_width(df.sparkSession) else df
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file on this machine (driver or executor).
 

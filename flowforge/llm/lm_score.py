@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from flowforge.llm.batches import (blob_table, in_packed_batches, mix, opened_rows, pack, prefix_sums, span_hash,
                                    unpack)
-from flowforge.llm.common import materialize
+from flowforge.llm.common import dealt, materialize
 from flowforge.llm.substrings import Words
 
 ORDER, ALPHA = 3, 0.4
@@ -176,7 +176,7 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         send = _send(level, n_buckets)
         sent = by_batch.applyInArrow(send, sent_schema) if answers is None else \
             by_batch.cogroup(answers.groupBy("batch")).applyInArrow(send, sent_schema)
-        answers = sent.groupBy("part").applyInArrow(_add_up, "batch long, bucket long, counts binary")
+        answers = dealt(sent, "part", total).groupBy("part").applyInArrow(_add_up, "batch long, bucket long, counts binary")
     rows = materialize(by_batch.cogroup(answers.groupBy("batch")).applyInArrow(
         _score(order, alpha), "id long, n_tokens long, part double, n_single long, n_top long"))
     words = rows.agg(F.sum("n_tokens")).first()[0] or 0

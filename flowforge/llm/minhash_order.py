@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from flowforge.llm.batches import mix
-from flowforge.llm.common import materialize, shuffle_width
+from flowforge.llm.common import deal_width, materialize, text_bytes
 
 K, PICKS, SKETCHES = 8, 2, 64
 BLOCK = 2048
@@ -229,7 +229,7 @@ def fingerprint_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str =
                 yield batch(got, kinds)
 
     dealt = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-             .repartitionByRange(shuffle_width(spark), F.col("id").asc_nulls_first(), F.xxhash64("text"))
+             .repartitionByRange(deal_width(spark, text_bytes(docs, text)), F.col("id").asc_nulls_first(), F.xxhash64("text"))
              .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
              .select(F.spark_partition_id().alias("part"), "id", "text"))
     rows = materialize(dealt.mapInArrow(run, schema))

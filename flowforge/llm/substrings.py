@@ -21,7 +21,9 @@ Where a common passage meets the documents' own words the strings differ but sha
 minimisers, so one scan first finds the hot minimisers: pieces of the input report
 those with more windows than their share of ``hot_windows / 2``, and one is hot when
 the reports exceed ``hot_windows / 2``.  So any other has at most ``hot_windows``
-windows.  Windows of hot minimisers travel one by one to the bucket of their own
+windows.  Their list is broadcast: a window takes two bytes of text at least, so with
+``hot_windows`` raised to 1/``HOT_LIST`` of the bytes (from half a terabyte on) the
+list has at most ``HOT_LIST`` entries of eight bytes.  Windows of hot minimisers travel one by one to the bucket of their own
 hash: equal windows still meet, and no bucket gets the whole group.
 
 A passage that a third of all documents hold reaches its bucket once per batch,
@@ -44,12 +46,14 @@ from pyspark.sql import types as T
 
 from flowforge.llm.batches import (BATCH_BYTES, blob_table, by_bucket, in_batches, mix, pack, prefix_sums,
                                    sliding_min, sorted_rows, span_hash, unpack)
+from flowforge.llm.common import dealt
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PIECE_BYTES = 1 << 19
 BUCKET_BYTES = 6 << 20
 HOT_WINDOWS = 1 << 17
+HOT_LIST = 1 << 22
 NO_HOT = np.empty(0, np.uint64)
 
 
@@ -88,7 +92,9 @@ def super_kmers(w: Words, window: int, gram: int, hot: np.ndarray = NO_HOT):
     # also where the next window no longer holds this place of the minimiser, so
     # that runs are short in repetitive text too
     new[1:] = (low[1:] != low[:-1]) | (g[:n - 1] == low[:-1]) | ~ok[:-1] | (w.doc[1:n] != w.doc[:n - 1])
-    alone = np.isin(low, hot) & ok if len(hot) else np.zeros(n, bool)
+    alone = np.zeros(n, bool)
+    if len(hot):  # sorted
+        alone = (hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low) & ok
     new |= alone
     first = np.flatnonzero(new & ok)
     stop = np.flatnonzero(np.append(new | ~ok, True))
@@ -164,23 +170,24 @@ def _reports(window: int, gram: int, per_byte: float):
 
 def hot_minimisers(docs: DataFrame, doc_id: str, text: str, window: int, gram: int, total: int,
                    hot_windows: int) -> np.ndarray:
-    """At most ``2 * windows / hot_windows`` minimisers, among them every one with
+    """At most ``2 * windows / hot_windows`` minimisers, sorted, among them every one with
     more than ``hot_windows`` windows."""
     if not total:
         return NO_HOT
     half = hot_windows / 2
     found = (docs.filter(F.col(doc_id).isNotNull()).select(F.col(text).alias("text"))
              .mapInArrow(_reports(window, gram, half / total), "mini long, n long")
-             .groupBy("mini").agg(F.sum("n").alias("n")).filter(F.col("n") > half).select("mini").collect())
-    return np.sort(np.array([r["mini"] for r in found], np.int64).view(np.uint64))
+             .groupBy("mini").agg(F.sum("n").alias("n")).filter(F.col("n") > half).select("mini").toArrow())
+    return np.sort(found.column("mini").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _send(window: int, gram: int, n_buckets: int, hot: np.ndarray = NO_HOT):
+def _send(window: int, gram: int, n_buckets: int, hot=NO_HOT):
+    """``hot``: sorted minimisers, or a broadcast of them."""
     def run(key, t):
         ids, texts, _ = sorted_rows(t)
         known = [i for i, x in enumerate(ids) if x is not None]
         ids = np.array([ids[i] for i in known], np.int64)
-        s = Strings([texts[i] for i in known], window, gram, hot)
+        s = Strings([texts[i] for i in known], window, gram, getattr(hot, "value", hot))
         low = np.zeros(len(s.texts), np.int64)
         high = np.zeros(len(s.texts), np.int64)
         if len(s.entry):
@@ -277,11 +284,11 @@ def _answer(window: int):
     return run
 
 
-def _remove(window: int, gram: int, hot: np.ndarray = NO_HOT):
+def _remove(window: int, gram: int, hot=NO_HOT):
     def run(key, docs, answers):
         ids, texts, order = sorted_rows(docs)
         n_known = sum(x is not None for x in ids)  # rows without an id stand last
-        s = Strings(texts[:n_known], window, gram, hot)
+        s = Strings(texts[:n_known], window, gram, getattr(hot, "value", hot))
         base = np.concatenate(([0], np.cumsum(s.words)))
         parts = [unpack(b, np.int32, np.int32, np.int64) for b in answers.column("answer").to_pylist()]
         cover = np.zeros(base[-1] + 1, np.int32)
@@ -322,11 +329,12 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """One row per input row: (doc_id, n_words, n_removed, kept_text), and with
     ``carry`` a struct ``carried`` of those columns, as they are."""
     batched, total = in_batches(docs, doc_id, text, carry=carry)
-    hot = hot_minimisers(docs, doc_id, text, window, gram, total, hot_windows)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_minimisers(
+        docs, doc_id, text, window, gram, total, max(hot_windows, math.ceil(total / HOT_LIST))))
     spark_buckets = max(1, math.ceil(total * 3 / BUCKET_BYTES))
     sent = batched.groupBy("batch").applyInArrow(
         _send(window, gram, spark_buckets, hot), "bucket long, batch long, strings binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer(window), "batch long, answer binary")
+    answers = dealt(sent, "bucket", 3 * total).groupBy("bucket").applyInArrow(_answer(window), "batch long, answer binary")
     out = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         _remove(window, gram, hot), T.StructType(
             [T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),

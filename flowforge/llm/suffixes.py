@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame
 
 from flowforge.llm.batches import (blob_table, by_bucket, in_batches, mix, pack, prefix_sums,
                                    sliding_min, sorted_rows, span_hash, unpack)
+from flowforge.llm.common import dealt
 
 GRAM = 32
 PIECE_BYTES = 1 << 20
@@ -412,7 +413,7 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         _repeated_minimisers(hot_bytes / (2 * length - gram)), "batch long, answer binary")
     sent = by_batch.cogroup(hot.groupBy("batch")).applyInArrow(
         _send_segments(length, gram, n_buckets), "bucket long, batch long, segments binary")
-    ranges = sent.groupBy("bucket").applyInArrow(_find_repeats(length, shard_bytes), "batch long, answer binary")
+    ranges = dealt(sent, "bucket", total).groupBy("bucket").applyInArrow(_find_repeats(length, shard_bytes), "batch long, answer binary")
     return (by_batch.cogroup(ranges.groupBy("batch"))
             .applyInArrow(_remove(length, gram),
                           "id long, n_bytes long, n_removed long, n_spans long, kept binary")

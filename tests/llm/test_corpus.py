@@ -224,6 +224,39 @@ def test_windows_of_hot_minimisers_are_split(spark, docs):
     assert got == want
 
 
+def test_partitions_follow_the_bytes(docs, monkeypatch):
+    from flowforge.llm import common
+    from flowforge.llm.lm_score import stupid_backoff
+    from flowforge.llm.minhash_order import fingerprint_neighbours
+    from flowforge.llm.substrings import remove_repeated_windows
+    from flowforge.llm.suffixes import remove_repeated_bytes
+
+    def results():
+        return [Counter(map(str, op(docs).collect())) for op in (
+            remove_repeated_windows, remove_repeated_bytes, lambda d: stupid_backoff(d, batch_bytes=4000),
+            fingerprint_neighbours)]
+
+    few = results()
+    monkeypatch.setattr(common, "TASK_BYTES", 5000)  # more partitions than the session sets
+    width = common.deal_width(docs.sparkSession, common.text_bytes(docs, "text"))
+    assert width > common.shuffle_width(docs.sparkSession)
+    assert common.dealt(docs, "doc_id", 10 * 5000).rdd.getNumPartitions() == 10
+    assert results() == few
+
+
+def test_hot_list_is_bounded(docs, monkeypatch):
+    from flowforge.llm import substrings as S
+    asked = []
+    find = S.hot_minimisers
+    monkeypatch.setattr(S, "HOT_LIST", 4000)
+    monkeypatch.setattr(S, "hot_minimisers", lambda *a: asked.append((find(*a), a[-2], a[-1])) or asked[-1][0])
+    want = Counter(map(str, S.remove_repeated_windows(docs, hot_windows=1 << 17).collect()))
+    got = Counter(map(str, S.remove_repeated_windows(docs, hot_windows=1).collect()))
+    assert got == want
+    hot, total, limit = asked[-1]
+    assert 0 < len(hot) <= 4000 and limit >= total / 4000 and (np.diff(hot.view(np.int64)) != 0).all()
+
+
 def test_window_sort_survives_hash_collisions(monkeypatch):
     from flowforge.llm import substrings as S
     r = np.random.default_rng(1)
