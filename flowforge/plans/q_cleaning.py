@@ -16,7 +16,7 @@ from flowforge.operators.profile import class_counts as _class_counts
 from flowforge.operators.profile import null_counts as _null_counts
 from flowforge.operators.profile import type_list as _type_list
 from flowforge.operators.projection import (canonical_labels, cast_all, drop_columns,
-                                            rename_by_position)
+                                            rename_by_position, select_label)
 from flowforge.operators.split import append_by_name as _append
 from flowforge.plans.tables import table
 
@@ -89,6 +89,14 @@ def canonical_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_labels(o, PRIORITY_NAMES)
 
 
+def picked_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status picked as label in place of the priority, counted by priority name."""
+    o = _orders(spark, sf_dir, F.col("o_orderpriority").alias("label"), "o_orderstatus", "o_orderkey")
+    both = canonical_labels(o, PRIORITY_NAMES).withColumn("priority", F.col("label"))
+    return select_label(both, "o_orderstatus").groupBy("priority", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
 def class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir, "o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("label"))
     return class_rows(o, "F")
@@ -117,6 +125,7 @@ QUERIES = {
     "null_counts": null_counts,
     "rename_drop_cast": rename_drop_cast,
     "canonical_label": canonical_label,
+    "picked_label": picked_label,
     "class_filter": class_filter,
     "label_check": label_check,
     "append_by_name": append_by_name,
@@ -188,6 +197,13 @@ SELECT o_orderkey,
             WHEN '3-MEDIUM' THEN 'medium' WHEN '4-NOT SPECIFIED' THEN 'unspecified'
             ELSE o_orderpriority END AS label
 FROM orders
+""",
+    "picked_label": """
+SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high'
+            WHEN '3-MEDIUM' THEN 'medium' WHEN '4-NOT SPECIFIED' THEN 'unspecified'
+            ELSE o_orderpriority END AS priority, o_orderstatus AS label,
+       count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+FROM orders GROUP BY 1, 2
 """,
     "class_filter": """
 SELECT o_orderkey, o_totalprice, o_orderstatus AS label FROM orders WHERE o_orderstatus = 'F'

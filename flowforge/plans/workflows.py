@@ -21,7 +21,7 @@ from flowforge.session import ensure_checkpoint_dir, wide_table_settings
 from flowforge.operators.labelling import label_by_day
 from flowforge.operators.metrics import binary_metrics, metric_rows, metric_table
 from flowforge.operators.profile import class_counts, constant_features
-from flowforge.operators.projection import canonical_labels, select_features
+from flowforge.operators.projection import canonical_labels, select_features, select_label
 from flowforge.operators.scaling import apply_label_index, fit_label_index, normalize_splits
 from flowforge.operators.split import hash_rank, shuffle_sets, sort_flows, split_sizes, stratified_split
 from flowforge.schema import (CANONICAL_CLASSES, INFINITY_TOKENS, ORIGINAL_CLASSES,
@@ -126,12 +126,12 @@ def build_dataset(spark: SparkSession, paths: Sequence[str], dataset: str,
 
 def compare_classifiers(spark: SparkSession, root: str, dataset: str,
                         output: str | None = None, models: Sequence[str] = tuple(C.MODELS),
-                        knn_block_rows: int = 4096) -> DataFrame:
-    """K4: load the sets, select features, index labels on train, z-score with
+                        knn_block_rows: int = 4096, label_col: str = "label") -> DataFrame:
+    """K4: load the sets, pick the label column, select features, index labels on train, z-score with
     training statistics (no clip, float64), fit each model on train, score on
     test, and return the 13 x models metric table."""
     wide_table_settings(spark)
-    sets = load_splits(spark, root, dataset)
+    sets = {name: select_label(df, label_col) for name, df in load_splits(spark, root, dataset).items()}
     feats = feature_columns(dataset)
     idx = fit_label_index(sets["train"])
     tagged = None
