@@ -168,3 +168,22 @@ def test_empty_inputs(spark):
     assert stratified_split(df, "label", ["v"], {"a": 50.0}).count() == 0
     assert subsamples(df, 3, ["v"]).count() == 0
     assert head_percent(df, 50.0, ["v"]).count() == 0
+
+
+def test_set_order_is_worked_out_once_a_row(spark):
+    """The sort compares a column; an expression in it would be hashed in every comparison."""
+    from flowforge.functions.exprs import hash_key
+    from flowforge.operators.split import row_order, shuffle_sets, stratified_split
+
+    df = spark.range(500).selectExpr("id", "cast(id % 3 as string) as label", "id / 7.0 as x")
+    keys = df.columns
+    sets = stratified_split(df, "label", keys, {"0": 40, "1": 50})
+    shuffled = shuffle_sets(sets, ["split"], keys)
+    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Sort [" in line and "md5" in line]
+
+    # stored keys give the same sets in the same order
+    stored = df.withColumns({"_a": row_order(df, keys, 0), "_b": hash_key(keys, "shuffle")})
+    again = stratified_split(stored, "label", keys, {"0": 40, "1": 50}, order="_a")
+    assert again.columns == [*keys, "_b", "split"]
+    assert shuffle_sets(again, ["split"], keys, order="_b").collect() == shuffled.collect()
