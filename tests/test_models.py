@@ -192,3 +192,29 @@ def test_all_seven_models_tell_languages_apart(spark):
         rows = [(r["label_idx"], r["prediction"]) for r in pred.collect()]
         got[name] = sum(a == b for a, b in rows) / len(rows)
     assert all(got[m] >= f for m, f in floors.items()), got
+
+
+def test_knn_vote_is_told_without_a_search_where_all_near_cells_are_of_one_class(spark):
+    """Rows of classes far apart meet no block; rows of one id have to agree, others are searched."""
+    from flowforge.operators.classifiers import _knn_blocks, knn, knn_candidates
+
+    rng = np.random.default_rng(5)
+    schema = "id long, label_idx int, features array<double>"
+
+    def rows(n, first):
+        return [(first + i, i % 3, (rng.random(4) + 100 * (i % 3)).tolist()) for i in range(n)]
+    train = spark.createDataFrame(rows(300, 0), schema)
+    far = rows(60, 1000)
+    te, _, sure = _knn_blocks(train, spark.createDataFrame(far, schema), 5, "label_idx", "features", "id", 64, vote=True)
+    assert te.count() == 0
+    assert sorted(map(tuple, sure.collect())) == [(r[0], r[1]) for r in far]
+
+    twice = far + [far[0], (far[1][0], 0, [0.5] * 4), (2000, 1, [150.0] * 4), (2001, 2, [50.0] * 4)]
+    test = spark.createDataFrame(twice, schema)
+    got = knn(train, test, block_rows=64).collect()
+    assert len(got) == len(twice)
+    votes = {}
+    for r in knn_candidates(train, test, 5, block_rows=64).collect():
+        votes.setdefault(r["test_id"], []).append(r["nb_label"])
+    assert {r["id"]: r["prediction"] for r in got} == {
+        i: min(set(v), key=lambda c: (-v.count(c), c)) for i, v in votes.items()}
