@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 512
+#: Rows whose copies a task holds at a time.
+PLACED_ROWS = 256
 
 
 def _sides(x: np.ndarray, planes: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -61,8 +63,10 @@ def approximate_neighbours(train: DataFrame, test: DataFrame, k: int = 5, label:
 
     def placed(probe, columns):
         def run(it):
-            for pdf in it:
-                if len(pdf):
+            for whole in it:
+                # a few rows at a time: each is copied to all of its buckets
+                for a in range(0, len(whole), PLACED_ROWS):
+                    pdf = whole.iloc[a:a + PLACED_ROWS]
                     row, table, code = buckets(np.stack(pdf["x"].to_numpy()).astype(np.float64), probe)
                     yield pdf.iloc[row].assign(t=table, b=code)[[*columns, "t", "b"]]
         return run
