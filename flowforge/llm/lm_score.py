@@ -47,7 +47,6 @@ ORDER, ALPHA = 3, 0.4
 BATCH = 8 << 20
 BUCKET_GRAMS = 1 << 20
 _NEXT = np.uint64(0xD1342543DE82EF95)
-_DOC = np.uint64(0x2545F4914F6CDD1D)
 
 
 class Levels:
@@ -73,14 +72,17 @@ class Levels:
                 low = self.others[k - 1] > 0
                 need &= low & np.concatenate(([False], low[:-1]))
             at = np.flatnonzero(need)
-            grams, inv, counts = np.unique(h[at], return_inverse=True, return_counts=True)
             if k > len(totals):  # not answered yet
-                self.grams, self.counts = grams, counts
+                self.grams, self.counts = np.unique(h[at], return_counts=True)
                 return
-            pair = mix(h[at] ^ (w.doc[at].astype(np.uint64) * _DOC))
-            _, which, own = np.unique(pair, return_inverse=True, return_counts=True)
+            # words stand by text, so a stable order has the n-grams of one text together
+            at = at[np.argsort(h[at], kind="stable")]
+            gram, doc = h[at], w.doc[at]
+            new = np.r_[True, gram[1:] != gram[:-1]][:len(at)]
+            first = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]][:len(at)])
+            own = np.diff(first, append=len(at))
             c = np.zeros(n, np.int64)
-            c[at] = totals[k - 1][inv] - own[which]
+            c[at] = np.repeat(totals[k - 1][np.cumsum(new)[first] - 1] - own, own)
             self.others.append(c)
 
 
