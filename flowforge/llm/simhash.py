@@ -30,6 +30,7 @@ a null id takes part but never names a component unless all ids in it are null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -291,25 +292,33 @@ def _link_batch(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
 
 # --------------------------------------------------------------- components
 
+#: Links that one task is meant to get; tasks that any number of links is dealt to.
+LINKS_PER_TASK, LEAST_TASKS = 50_000, 12
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node of the component.
 
     Large-star then small-star until nothing changes; each round is a grouped
-    minimum (combined map-side) and a join, checkpointed."""
+    minimum (combined map-side) and a join, checkpointed.  Few links run in few tasks,
+    whatever the width of a shuffle: every task of a round leaves files of its own."""
     edges = materialize(links.filter(F.col("src") != F.col("dst"))
                         .select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u"))
                         .distinct())
+    tasks = max(LEAST_TASKS, math.ceil(edges.count() / LINKS_PER_TASK))  # no round has more links
+    edges = edges.coalesce(tasks)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")) \
             .select(F.col("v").alias("n"), F.least("m", "v").alias("m"))
         large = (both.join(low, F.col("v") == F.col("n")).filter(F.col("u") > F.col("v"))
-                 .select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
+                 .select(F.col("u").alias("v"), F.col("m").alias("u"))
+                 .coalesce(tasks).distinct().coalesce(tasks))
         low2 = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "n")
         small = (large.join(low2, F.col("v") == F.col("n"))
                  .select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"),
                          F.col("m").alias("u"))
-                 .filter(F.col("v") != F.col("u")).distinct())
+                 .filter(F.col("v") != F.col("u")).coalesce(tasks).distinct().coalesce(tasks))
         after = materialize(small)
         # stars: every node has one parent and no parent is a child
         changed = (after.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v").limit(1)

@@ -64,3 +64,19 @@ def test_pairs_of_tokens_are_judged_without_merging_and_words_are_remembered_who
                 hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
     n, numerals, raw = enc.known["ok"]
     assert n == len(numerals.split()) and raw
+
+
+def test_components_of_few_links_run_in_few_tasks(spark):
+    from flowforge.llm.simhash import LEAST_TASKS, connected_components
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (9, 7), (7, 9), (5, 3)], "src long, dst long")
+        got = connected_components(links)
+        assert sorted(map(tuple, got.collect())) == [(2, 1), (3, 1), (5, 1), (9, 7)]
+        assert got.rdd.getNumPartitions() <= LEAST_TASKS
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
