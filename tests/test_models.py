@@ -218,3 +218,64 @@ def test_knn_vote_is_told_without_a_search_where_all_near_cells_are_of_one_class
         votes.setdefault(r["test_id"], []).append(r["nb_label"])
     assert {r["id"]: r["prediction"] for r in got} == {
         i: min(set(v), key=lambda c: (-v.count(c), c)) for i, v in votes.items()}
+
+
+def test_letters_are_counted_in_one_pass_over_a_text(spark, tmp_path):
+    """Shares as counted one letter at a time, odd texts included; a text is not read once a letter."""
+    from flowforge.plans.q_models import LANGUAGES, LETTERS, language_features
+    texts = ["Abc eéE o", "", None, "İo Kß \U0001f600e", "zzz\n\x00a", " "]
+    rows = [(i, t, LANGUAGES[i % 4]) for i, t in enumerate(texts)] + [(90, "e", "xx"), (91, "e", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for letters in (LETTERS, "eo"):
+        found = language_features(spark, str(tmp_path), letters)
+        got = {r["id"]: (r["label_idx"], r["features"]) for r in found.collect()}
+        want = {}
+        for i, t, lang in rows[:len(texts)]:
+            low = (t or "").lower()
+            want[i] = (LANGUAGES.index(lang), [100.0 * low.count(c) / len(low) if low else 0.0 for c in letters])
+        assert got == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("replace(") == 0
+
+
+def test_knn_fills_blocks_where_all_cells_are_visited(spark):
+    """Rows that no cell can be ruled out for are copied to blocks of about the asked size, not to
+    blocks of a cell each; results as brute force."""
+    from flowforge.operators.classifiers import _knn_blocks, knn_candidates
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(2000, 40)), rng.normal(size=(600, 40))
+    schema = "id long, label_idx int, features array<double>"
+    train = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(x.tolist())], schema)
+    test = spark.createDataFrame([(i, 0, v) for i, v in enumerate(q.tolist())], schema)
+    te, tr = _knn_blocks(train, test, 5, "label_idx", "features", "id", 200)
+    assert te.count() <= 600 * 20  # blocks are half full at least
+    assert tr.count() <= 2000 * 8
+    got = {}
+    for r in knn_candidates(train, test, 5, block_rows=200).orderBy("test_id", "rank").collect():
+        got.setdefault(r["test_id"], []).append(r["train_id"])
+    d2 = ((q[:, None, :] - x[None]) ** 2).sum(-1)
+    assert got == {i: np.lexsort((np.arange(2000), d))[:5].tolist() for i, d in enumerate(d2)}
+
+
+def test_knn_screen_keeps_rows_beside_missing_numbers(spark):
+    """Columns of NaN fill most groups of the screen; the finite rows are found all the same."""
+    from flowforge.operators.classifiers import knn_candidates
+    schema = "id long, label_idx int, features array<double>"
+    rows = [(i, 0, [float(i)] * 2 if i % 40 == 0 else [float("nan")] * 2) for i in range(200)]
+    train = spark.createDataFrame(rows, schema)
+    got = knn_candidates(train, spark.createDataFrame([(1, 0, [81.0, 81.0])], schema), 3).orderBy("rank").collect()
+    assert [r["train_id"] for r in got] == [80, 120, 40]
+
+
+def test_network_is_trained_beside_the_other_models(spark, monkeypatch):
+    """The network waits for a model that is fitted after it in order."""
+    import threading
+    from flowforge.plans import q_models as q
+    fitted = threading.Event()
+    empty = spark.createDataFrame([(1, 0, 0)], "id long, label_idx int, prediction int")
+
+    def network():
+        assert fitted.wait(60)
+    monkeypatch.setattr(q.C, "model_runs", lambda *_: {
+        "MLP": (network, lambda _: empty), "LDA": (fitted.set, lambda _: empty)})
+    got = q.language_predictions(empty, empty)
+    assert list(got) == ["MLP", "LDA"] and all(p.count() == 1 for p in got.values())
