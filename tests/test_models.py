@@ -279,3 +279,21 @@ def test_network_is_trained_beside_the_other_models(spark, monkeypatch):
         "MLP": (network, lambda _: empty), "LDA": (fitted.set, lambda _: empty)})
     got = q.language_predictions(empty, empty)
     assert list(got) == ["MLP", "LDA"] and all(p.count() == 1 for p in got.values())
+
+
+def test_network_is_timed_beside_the_other_models(spark):
+    """The models are reported in their order, and the network is not waited for by the others."""
+    import threading
+    from flowforge.operators.classifiers import timed_runs
+    others_done = threading.Event()
+
+    def predict(name):
+        return lambda _: spark.createDataFrame([(name,)], "name string")
+
+    def wait():
+        assert others_done.wait(60)
+    runs = {"MLP": (wait, predict("MLP")), "LDA": (lambda: None, predict("LDA")), "DT": (others_done.set, predict("DT"))}
+    done = timed_runs(spark, runs)
+    assert list(done) == ["MLP", "LDA", "DT"]
+    assert [done[m][0].first()["name"] for m in done] == ["MLP", "LDA", "DT"]
+    assert all(a >= 0 and b >= 0 for _, a, b in done.values())
