@@ -165,3 +165,19 @@ def test_iso_8859_1_labels(spark, tmp_path):
     _write_csv(tmp_path / "x.csv", header, rows)
     labels = {r["label"] for r in read_flows(spark, str(tmp_path / "x.csv"), "original").collect()}
     assert labels == {"Web Attack \x96 Brute Force"}
+
+
+def test_jobs_remove_what_only_they_read(spark, scratch, monkeypatch):
+    """The cleaned flows of a build, the lines of a comparison and its model input are gone at the end."""
+    import os
+
+    from flowforge.plans import q_files
+    from flowforge.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    spark.range(1500).withColumnRenamed("id", "event_id").write.parquet(f"{scratch}/events.parquet")
+    rows = q_files.compare_files(spark, scratch).collect()
+    assert {r["LDA"] for r in rows if r["metric"] == "Accuracy"} == {1.0}
+    left = {f.split("-")[0] for f in set(os.listdir(folder)) - before}
+    assert "sets" in left and "metrics" in left
+    assert not left & {"flows", "lines", "model"}
