@@ -297,3 +297,46 @@ def test_network_is_timed_beside_the_other_models(spark):
     assert list(done) == ["MLP", "LDA", "DT"]
     assert [done[m][0].first()["name"] for m in done] == ["MLP", "LDA", "DT"]
     assert all(a >= 0 and b >= 0 for _, a, b in done.values())
+
+
+def test_knn_copies_of_a_row_do_not_grow_with_the_rows(spark):
+    """Where no cell can be ruled out, a row is copied to a bounded number of blocks, however many
+    blocks of the asked size there would be; results as brute force."""
+    from flowforge.operators.classifiers import COPIES, _knn_blocks, knn_candidates
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(3000, 40)), rng.normal(size=(800, 40))
+    schema = "id long, label_idx int, features array<double>"
+    train = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(x.tolist())], schema)
+    test = spark.createDataFrame([(i, 0, v) for i, v in enumerate(q.tolist())], schema)
+    te, tr = _knn_blocks(train, test, 5, "label_idx", "features", "id", 10)
+    assert te.count() <= 800 * 2 * COPIES and tr.count() <= 3000 * 2 * COPIES
+    got = {}
+    for r in knn_candidates(train, test, 5, block_rows=10).orderBy("test_id", "rank").collect():
+        got.setdefault(r["test_id"], []).append(r["train_id"])
+    d2 = ((q[:, None, :] - x[None]) ** 2).sum(-1)
+    assert got == {i: np.lexsort((np.arange(3000), d))[:5].tolist() for i, d in enumerate(d2)}
+
+
+def test_knn_block_search_is_exact_on_odd_rows():
+    """Ties, rows with infinite or missing numbers, a far offset, bounds, blocks of few rows."""
+    from flowforge.operators import classifiers
+    rng = np.random.default_rng(10)
+    x = np.vstack([rng.integers(0, 3, (700, 3)).astype(float), rng.normal(0, 1, (700, 3)), np.full((400, 3), 1.0)])
+    q = np.vstack([rng.integers(0, 3, (300, 3)).astype(float), rng.normal(0, 1, (300, 3))])
+    tid = rng.permutation(len(x))
+    x[5], x[6], q[3], q[4] = [np.inf, 0, 0], [np.nan, 0, 0], [np.inf, 0, 0], [0, np.nan, 0]
+    for own, at in ((x, 0.0), (x, 1e9), (x[:7], 0.0), (x[[5, 6]], 0.0)):
+        y, z = own + at, q + at
+        with np.errstate(invalid="ignore"):
+            d2 = ((z[:, None, :] - y[None]) ** 2).sum(-1)
+        want = []
+        for i, d in enumerate(d2):
+            best = np.lexsort((tid[:len(y)], d))[:5]
+            want += [(i, c, d[c]) for c in best.tolist() if not np.isnan(d[c])]
+        kth = np.full(len(z), np.inf)
+        for i, _, d in want:
+            kth[i] = np.sqrt(d)
+        for bound in (np.full(len(z), np.inf), kth):
+            got = sorted(zip(*(v.tolist() for v in classifiers._found(z, bound, y, tid[:len(y)], 5))))
+            assert [g[:2] for g in got] == sorted(w[:2] for w in want)
+            assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], rtol=1e-12)
