@@ -340,3 +340,22 @@ def test_knn_block_search_is_exact_on_odd_rows():
             got = sorted(zip(*(v.tolist() for v in classifiers._found(z, bound, y, tid[:len(y)], 5))))
             assert [g[:2] for g in got] == sorted(w[:2] for w in want)
             assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], rtol=1e-12)
+
+
+def test_knn_of_rows_alike_meets_few_of_them(spark):
+    """Of training rows with the same features the k least ids are all that is dealt to blocks,
+    repeated ids and test rows alike included; results as brute force."""
+    from flowforge.operators.classifiers import _knn_blocks, knn, knn_candidates
+    schema = "id long, label_idx int, features array<double>"
+    tr = [(i // 2 * 7 % 3001, (i // 2 * 7 % 3001) % 3, [float(i % 3), float(i % 2)]) for i in range(3000)]
+    te = [(9000 + i, i % 3, [float(i % 4), 0.5 * (i % 3)]) for i in range(60)]
+    train, test = spark.createDataFrame(tr, schema), spark.createDataFrame(te, schema)
+    _, dealt = _knn_blocks(train, test, 5, "label_idx", "features", "id", 100)
+    assert dealt.count() <= 6 * 5 * 2
+    x, ids = np.array([r[2] for r in tr]), np.array([r[0] for r in tr])
+    got, votes = {}, {r["id"]: r["prediction"] for r in knn(train, test, block_rows=100).collect()}
+    for r in knn_candidates(train, test, 5, block_rows=100).orderBy("test_id", "rank").collect():
+        got.setdefault(r["test_id"], []).append(r["train_id"])
+    want = {i: ids[np.lexsort((ids, ((x - np.array(q)) ** 2).sum(1)))[:5]].tolist() for i, _, q in te}
+    assert got == want
+    assert votes == {i: int(np.bincount([w % 3 for w in v]).argmax()) for i, v in want.items()}
